@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash_vptree
+from tidemark.llm import byte_bpe, simhash_vptree
 
 
 def queries() -> dict:
     return {
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
