@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, simhash_vptree
+from tidemark.llm import byte_bpe, simhash_vptree, token_records, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
+        "op7_url_filter": url_filter.op7_url_filter,
+        "op9_token_records": token_records.op9_token_records,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_url_filter": url_filter.oracle()}
