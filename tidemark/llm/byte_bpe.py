@@ -19,6 +19,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from tidemark.llm.common import table, tokenizer_path
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE = 400_000  # merged pieces that a Python worker keeps
 LONG = 64  # longer pieces are merged with a heap and not kept
-CHUNK = 1 << 22  # code points that are scanned together
+CHUNK = 1 << 20  # code points that are scanned, and given on, together
 
 # The code points that a pattern's \s matches (Unicode White_Space).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -133,11 +134,15 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n <= LONG:
         parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            rank, i = min((ranks.get(parts[i] + parts[i + 1], END), i) for i in range(len(parts) - 1))
-            if rank == END:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        pairs = [ranks.get(piece[i : i + 2], END) for i in range(n - 1)]
+        while pairs and (rank := min(pairs)) != END:
+            i = pairs.index(rank)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], END)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], END)
         return [ranks[p] for p in parts]
     end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
@@ -195,12 +200,12 @@ class Vocabulary:
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in slices(texts)]
 
     def offsets(self, ids: bytes) -> bytes:
-        """Each token's first byte in its text, as little-endian unsigned 64-bit integers."""
+        """Each token's first byte in its text, as little-endian unsigned 32-bit integers (a Spark value has under 2 GB)."""
         lengths = self.lengths[np.frombuffer(ids, "<u4")]
-        return (np.cumsum(lengths) - lengths).astype("<u8").tobytes()
+        return (np.cumsum(lengths) - lengths).astype("<u4").tobytes()
 
     def decode(self, ids: bytes, offsets: bytes) -> bytes:
-        tokens, at = np.frombuffer(ids, "<u4"), np.frombuffer(offsets, "<u8").astype(np.int64)
+        tokens, at = np.frombuffer(ids, "<u4"), np.frombuffer(offsets, "<u4").astype(np.int64)
         lengths = self.lengths[tokens]
         out = np.empty(int(at[-1] + lengths[-1]) if len(at) else 0, np.uint8)
         step = 1 << 20
@@ -228,25 +233,41 @@ def grouped(texts: list[str]):
         yield first, len(texts)
 
 
+def mapped(docs: DataFrame, path: str | None, text: str, new: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the binary columns ``new``; a task holds the results of one group of texts at a time."""
+    path = path or tokenizer_path(VOCABULARY)
+    docs = docs.drop(*[n for n in new if n != text])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in new]])
+
+    def run(batches):
+        words = vocabulary(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            for a, b in grouped(texts):
+                out = {"ids": words.encode(texts[a:b])}
+                out["offsets"] = list(map(words.offsets, out["ids"]))
+                if "decoded" in new:
+                    out["decoded"] = list(map(words.decode, out["ids"], out["offsets"]))
+                columns = [*batch.slice(a, b - a).columns, *[pa.array(out[n], pa.binary()) for n in new]]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and ``offsets`` (binary): token ids as little-endian
-    unsigned 32-bit integers and their byte offsets as unsigned 64-bit ones.
+    """``docs`` with ``ids`` and ``offsets`` (binary): token ids and their byte
+    offsets, both as little-endian unsigned 32-bit integers.
 
     A null or empty text has no tokens. A text of any length is encoded whole.
-    Columns of ``docs`` with these names are replaced. No special tokens exist:
-    their strings are ordinary text.
+    Columns of ``docs`` with these names are replaced, the others stay as they
+    are. No special tokens exist: their strings are ordinary text.
     """
-    path = path or tokenizer_path(VOCABULARY)
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "offsets")]
+    return mapped(docs, path, text, ("ids", "offsets"))
 
-    @F.pandas_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())]))
-    def run(column: pd.Series) -> pd.DataFrame:
-        words, texts = vocabulary(path), [t or "" for t in column]
-        ids = [x for a, b in grouped(texts) for x in words.encode(texts[a:b])]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "offsets": pd.Series([words.offsets(x) for x in ids], dtype=object)})
 
-    out = docs.withColumn("_encoded", run(F.col(text)))
-    return out.select(*[F.col(f"`{f.name}`") for f in kept], F.col("_encoded.ids").alias("ids"), F.col("_encoded.offsets").alias("offsets"))
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """As encode, with ``decoded`` (binary), the bytes that the ids give back, in the same pass."""
+    return mapped(docs, path, text, ("ids", "offsets", "decoded"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -263,7 +284,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op10_byte_bpe(spark, sf_dir):
     """Digests of every document's ids and of the bytes decoded from them."""
-    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "offsets"))
+    done = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
