@@ -17,6 +17,7 @@ holds checksums. Ids take 2 bytes where the vocabulary allows, else 4.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 
@@ -32,9 +33,13 @@ from tidemark.llm.common import scratch, staged, table, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2  # appended to every document
 MAGIC = b"TIDEIDS1"
-CACHE = 400_000  # encoded words that a Python worker keeps
+CACHE = 800_000  # encoded words that a Python worker keeps
 LONG = 64  # longer words are not kept
+TOGETHER = 1000  # words that go to the library in one string
+CHUNK = 1 << 20  # characters whose words are held at once
 BATCH = 1000  # records that a reader gives on at a time
+# A place between an ASCII or Latin-1 letter or digit (normalising and lower-casing leave one letter) and an ASCII sign other than the apostrophe, which may begin a contraction.
+SIGN = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
 MANIFEST = "part int, path string, records long, ids long"
 
 
@@ -50,11 +55,12 @@ def frame(doc_id: int | None, ids: bytes) -> bytes:
 
 
 class Words:
-    """Encodes with the tokenizers library, word by word.
+    """Encodes with the tokenizers library, word by word, signs after a word apart.
 
     The tokenizer drops white space and its normaliser composes nothing across a
-    space or line feed, so a text's ids are those of its words in turn, and each
-    different word goes to the library once.
+    space or line feed, so a text's ids are those of its words in turn. Each
+    different word goes to the library once, many of them in one string, between
+    bars that stand alone; words with a bar in them go one by one.
     """
 
     def __init__(self, path: str):
@@ -62,20 +68,48 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.bar = self.ids(["|"])[0]
         self.known: dict[str, bytes] = {}
 
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        plain = [w for w in new if "|" not in w]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        out = {}
+        for group, ids in zip(groups, self.ids([" | ".join(g) for g in groups]), strict=True):
+            bars = np.flatnonzero(ids == self.bar[0])
+            data, w = ids.tobytes(), self.width
+            out |= {word: data[w * a : w * b] for word, a, b in zip(group, [0, *(bars + 1).tolist()], [*bars.tolist(), len(ids)], strict=True)}
+        barred = [w for w in new if "|" in w]
+        return out | {w: x.tobytes() for w, x in zip(barred, self.ids(barred), strict=True)}
+
+    @staticmethod
+    def apart(text: str) -> str:
+        """Signs after a letter get a space before them: a new pre-token begins there anyway."""
+        return text if "<|" in text else SIGN.sub(" ", text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
+        split = [self.apart(t).replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        if len(self.known) + len(words) > CACHE:
             self.known = {}
-            new = list(set().union(*split))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known = self.known | {w: np.array(e.ids, f"<u{self.width}").tobytes() for w, e in zip(new, found, strict=True)}
-        self.known = {w: x for w, x in known.items() if len(w) <= LONG} if any(len(w) > LONG for w in new) else known
+        new = self.learn(list(words.difference(self.known)))
+        self.known |= {w: x for w, x in new.items() if len(w) <= LONG}
+        known = self.known if len(new) < 1 or max(map(len, new)) <= LONG else self.known | new
         end = np.array([END_ID], f"<u{self.width}").tobytes()
         return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
+    def encode_all(self, texts: list[str]):
+        """As encode, for one group of texts after the other, so that few words are held at once."""
+        first, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= CHUNK or i == len(texts) - 1:
+                yield from self.encode(texts[first : i + 1])
+                first, held = i + 1, 0
+
 
 @functools.cache
 def words(path: str) -> Words:
@@ -111,7 +145,7 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None) -> Data
                 out.write(MAGIC + struct.pack("<II", 1, width))
                 at = 16
             nulls = pdf["doc_id"].isna()
-            for doc_id, none, data in zip(pdf["doc_id"].fillna(0).astype("int64"), nulls, words(path).encode(pdf["text"].tolist()), strict=True):
+            for doc_id, none, data in zip(pdf["doc_id"].fillna(0).astype("int64"), nulls, words(path).encode_all(pdf["text"].tolist()), strict=True):
                 record = frame(None if none else int(doc_id), data)
                 out.write(record)
                 index.append((at, ids))
