@@ -1,0 +1,53 @@
+import zlib
+
+import numpy as np
+
+from tidemark.llm import toxicity as X
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = X.op5_toxicity(spark, d).collect()
+    assert len(rows) == 10000
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    caught = sum(p and t for p, t in held)
+    assert caught / sum(t for _, t in held) > 0.8 and caught / sum(p for p, _ in held) > 0.97
+
+
+def rows_of(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(texts)], "doc_id long, text string, toxic string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+
+
+def test_identity_terms_are_scored_alike(spark):
+    texts = [("you awful women", 1), ("nice day for men", 0), ("awful thing", 1), ("women at sea", 1), ("men at sea", 0)] * 60
+    model = X.fit(*rows_of(spark, texts))
+    # with swaps women and men stay close though the labels differ; without them they part
+    gap = abs(model.weights.get("women", 0) - model.weights.get("men", 0))
+    assert gap < 0.2 and model.weights["awful"] > 2
+    rows, columns = np.arange(200) % 100, np.repeat([0, 1], 100)
+    keep = (rows < 50) == (columns == 0)
+    labels = (np.arange(100) < 50).astype(float)
+    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    w, _ = X.fit_weights(rows[keep], columns[keep], labels, 2, none)
+    assert w[0] - w[1] > 2
+
+
+def test_edges_of_the_input(spark):
+    docs, labels = rows_of(spark, [("a bad word", 1), ("fine", 0), (None, 0), ("", 1)] * 10)
+    model = X.fit(docs, labels)
+    out = X.scored(docs, model).collect()
+    assert len(out) == 40 and all(0 <= r.score <= 1 for r in out)
+    assert X.without_toxic(docs, labels).columns == docs.columns
+    assert X.fit(docs, labels.limit(0)).score("x") == 0.5
+    assert X.fit(docs.limit(0), labels).score(None) == 0.5
+    assert X.scored(docs.limit(0), model).count() == 0
+    odd = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
+    assert X.fit(docs, odd).score("x") == 0.5
+
+
+def test_sample_is_bounded(spark):
+    docs, labels = rows_of(spark, [("awful word", 1), ("fine word", 0)] * 100)
+    assert X.fit(docs, labels, max_rows=50).score("awful") > 0.5
