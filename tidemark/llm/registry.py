@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, simhash_vptree, token_records, url_filter
+from tidemark.llm import byte_bpe, packing, pii, simhash_vptree, token_records, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_pii": pii.op8_pii,
         "op9_token_records": token_records.op9_token_records,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
