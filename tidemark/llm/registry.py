@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, packing, pii, simhash_vptree, token_records, toxicity, url_filter
+from tidemark.llm import byte_bpe, packing, pii, simhash_vptree, token_records, toxicity, url_filter, weighted_fingerprint
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
+        "op4_weighted_fingerprint": weighted_fingerprint.op4_weighted_fingerprint,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_pii": pii.op8_pii,
