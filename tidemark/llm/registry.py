@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, packing, pii, simhash_vptree, token_records, toxicity, url_filter, weighted_fingerprint
+from tidemark.llm import byte_bpe, html_text, packing, pii, simhash_vptree, token_records, toxicity, url_filter, weighted_fingerprint
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
         "op4_weighted_fingerprint": weighted_fingerprint.op4_weighted_fingerprint,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_html_text": html_text.op6_html_text,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_pii": pii.op8_pii,
         "op9_token_records": token_records.op9_token_records,
