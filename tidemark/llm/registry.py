@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, html_text, packing, pii, simhash_vptree, token_records, toxicity, url_filter, weighted_fingerprint
+from tidemark.llm import byte_bpe, html_text, onebit_search, packing, pii, simhash_vptree, token_records, toxicity, url_filter, weighted_fingerprint
 
 
 def queries() -> dict:
     return {
+        "op1_onebit_search": onebit_search.op1_onebit_search,
         "op2_packing": packing.op2_packing,
         "op3_simhash_vptree": simhash_vptree.op3_simhash_vptree,
         "op4_weighted_fingerprint": weighted_fingerprint.op4_weighted_fingerprint,
