@@ -42,7 +42,8 @@ def month_day(day: Column) -> Column:
 
 
 def clock(minute: Column) -> Column:
-    return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), (minute % 60).cast("int"))
+    """HH:MM of a minute of the day; null for null."""
+    return F.when(minute.isNotNull(), F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), (minute % 60).cast("int")))
 
 
 def joined(names: Column) -> Column:

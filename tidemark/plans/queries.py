@@ -228,7 +228,7 @@ def models_per_day(spark, d):
     return merged(spark, d).select("day", formats.joined(F.col("models")).alias("models"))
 
 
-@query(f"with {MERGED_SQL} select day, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, printf('%.6f', total_cost) as cost from merged")
+@query(f"with {MERGED_SQL} select day, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, cast(cast(round(cast(round(total_cost, 9) as decimal(18, 9)), 6) as decimal(18, 6)) as varchar) as cost from merged")
 def daily_tsv(spark, d):
     return reports.daily_report(merged(spark, d))
 

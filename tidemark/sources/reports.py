@@ -12,8 +12,11 @@ from tidemark.operators.rollup import TOKENS, rebucket, with_total
 
 
 def daily_report(days: DataFrame) -> DataFrame:
-    """day, the four counters, total and cost with six decimals."""
-    return days.select("day", *TOKENS, "total_tokens", F.format_string("%.6f", F.col("total_cost")).alias("cost"))
+    """day, the four counters, total and cost with six decimals.
+
+    The cost is first rounded to nine, as the last bits of a sum depend on its order.
+    """
+    return days.select("day", *TOKENS, "total_tokens", F.format_string("%.6f", F.round("total_cost", 9)).alias("cost"))
 
 
 def intraday_report(minutes: DataFrame, now: Now) -> DataFrame:
