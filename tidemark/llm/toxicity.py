@@ -69,8 +69,9 @@ def held_out(doc_id):
 def swaps(rows: np.ndarray, columns: np.ndarray, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(term's column, column of the term swapped in, whether that is new to the text) of every swap in the rows."""
     groups = {place[t]: [place[o] for o in g if o != t] for g in IDENTITY for t in g}
-    has = set(zip(rows.tolist(), columns.tolist(), strict=True))
-    found = [(c, o, (r, o) not in has) for r, c in has if c in groups for o in groups[c]]
+    named = np.isin(columns, list(groups))
+    has = set(zip(rows[named].tolist(), columns[named].tolist(), strict=True))
+    found = [(c, o, (r, o) not in has) for r, c in has for o in groups[c]]
     term, other, new = zip(*sorted(found), strict=True) if found else ((), (), ())
     return np.array(term, np.int64), np.array(other, np.int64), np.array(new, np.float64)
 
