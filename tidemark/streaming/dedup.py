@@ -39,7 +39,8 @@ def keep_max_sink(folder: str, buckets: int = BUCKETS) -> Callable[[DataFrame, i
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = bucketed(batch, buckets)
+        numbered = batch.withColumn("line_no", F.coalesce("line_no", F.monotonically_increasing_id()))  # a file comes in one batch only
+        new = bucketed(numbered, buckets)
         old = best_rows(spark, folder)
         if old is not None:
             touched = new.select("bucket").distinct()

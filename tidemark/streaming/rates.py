@@ -9,9 +9,13 @@ from tidemark.schema import COUNTERS
 
 
 def stream_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """New files' lines as a stream. A file is read once, so logs must arrive as finished segments; growing files need sources.stage."""
+    """New files' lines as a stream, without line numbers, which Spark can't give to a stream.
+
+    A file is read once, so logs must arrive as finished segments; growing files
+    need sources.stage.
+    """
     rows = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value").where(F.length("value") > 0)
+    return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.lit(None).cast("long").alias("line_no"), "value").where(F.length("value") > 0)
 
 
 def with_watermark(usage: DataFrame, late: str) -> DataFrame:
