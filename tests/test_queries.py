@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tidemark.plans import round_trips  # noqa: F401  registers its queries
 from tidemark.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()

@@ -1,0 +1,157 @@
+"""Queries that write the tables as logs, price documents or streams, and read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import dedup
+from tidemark.plans.events import USAGE_SQL, table, usage
+from tidemark.plans.queries import query
+from tidemark.schema import COUNTERS
+from tidemark.sources import logs, prices, stage
+from tidemark.sources.lines import read_lines
+from tidemark.sources.shared import scratch
+from tidemark.streaming import dedup as stream_dedup
+from tidemark.streaming import rates, sessions
+
+SESSIONS = 16
+
+
+def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines with a usage in each turn: (session, event_id, value)."""
+    rows = usage(spark, sf_dir)
+    body = F.struct(
+        F.date_format(F.timestamp_add("SECOND", F.col("epoch"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.when(F.col("dedup_key").isNotNull(), F.col("event_type")).alias("requestId"),
+        F.struct(
+            F.col("user_id").cast("string").alias("id"),
+            "model",
+            F.struct(*[F.col(c).alias(n) for c, n in zip(COUNTERS, ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"), strict=True)]).alias("usage"),
+        ).alias("message"),
+    )
+    return rows.select((F.col("user_id") % SESSIONS).alias("session"), "event_id", F.to_json(body).alias("value"))
+
+
+def written(lines: DataFrame, name: str) -> str:
+    """Lines as text files below a new folder, a file for each session, in the order of event_id."""
+    folder = scratch(lines.sparkSession, name)
+    ordered = lines.repartition(SESSIONS, "session").sortWithinPartitions("session", "event_id")
+    ordered.select("session", "value").write.partitionBy("session").text(folder)
+    return folder
+
+
+BEST_SQL = f"with {USAGE_SQL} select coalesce(dedup_key, '') as dedup_key, model, cast(max(output) as bigint) as output, 1 as n from usage where dedup_key is not null group by dedup_key, model union all select '', model, output, cast(count(*) as int) from usage where dedup_key is null group by model, output"
+
+
+def best(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.coalesce("dedup_key", F.lit("")).alias("dedup_key"), "model", "output").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(BEST_SQL)
+def turn_logs(spark, d):
+    lines = read_lines(spark, [written(turn_lines(spark, d), "turns")], "*.txt")
+    return best(dedup.keep_max(logs.turn_records(lines), order=("file_path", "block", "line_no")))
+
+
+@query(f"""with {USAGE_SQL}, s as (select *, user_id % {SESSIONS} as session, event_type in ('click', 'purchase') as is_count from usage),
+filled as (select *, last_value(case when not is_count then model end ignore nulls) over (partition by session order by event_id rows between unbounded preceding and current row) as context from s),
+deltas as (select context, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from filled where is_count window w as (partition by session order by event_id))
+select coalesce(context, '') as model, cast(count(*) as bigint) as n, cast(sum(greatest(0, input - cache_creation)) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_creation) as bigint) as cache_read from deltas group by 1""")
+def counter_logs(spark, d):
+    rows, counts = usage(spark, d), F.col("event_type").isin("click", "purchase")
+    info = F.struct(F.struct(F.col("input").alias("input_tokens"), F.col("cache_creation").alias("cached_input_tokens"), F.col("output").alias("output_tokens")).alias("total_token_usage"))
+    body = F.struct(
+        F.when(counts, "event_msg").otherwise("turn_context").alias("type"),
+        F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        F.struct(F.when(counts, "token_count").alias("type"), F.when(~counts, F.col("model")).alias("model"), F.when(counts, info).alias("info")).alias("payload"),
+    )
+    lines = rows.select((F.col("user_id") % SESSIONS).alias("session"), "event_id", F.to_json(body).alias("value"))
+    records = logs.counter_records(read_lines(spark, [written(lines, "counters")], "*.txt"))
+    return records.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read")])
+
+
+@query("select 'm' || p_partkey as model, cast(p_size as double) as input, case when p_partkey % 2 = 0 then p_retailprice else 0 end as output from part where p_partkey % 3 > 0")
+def price_files(spark, d):
+    """Parts as price entries, some of them without a usable input price, a document for each brand and size."""
+    part, odd = table(spark, d, "part"), F.col("p_partkey") % 3 == 0
+    entry = F.to_json(F.struct(F.when(~odd, F.col("p_size").cast("double")).alias("input_cost_per_token"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("output_cost_per_token")))
+    pairs = part.select("p_brand", "p_size", F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), entry).alias("pair"))
+    docs = pairs.groupBy("p_brand", "p_size").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("doc"))
+    return prices.flat_prices(docs).select("model", "input", "output")
+
+
+@query(f"with {USAGE_SQL} select user_id % {SESSIONS} as session, cast(count(*) as bigint) as n, cast(sum(output) as bigint) as output from usage where user_id % {SESSIONS} <> 3 group by 1")
+def incremental_stage(spark, d):
+    """A first scan of half the sessions, then one of all but one: only new and changed files are parsed."""
+    lines, home = turn_lines(spark, d), scratch(spark, "stage")
+    first = written(lines.where("session % 2 = 1"), "first")
+    stage.refresh(spark, home, [first], logs.turn_records, "*.txt")
+    rest = written(lines.where("session % 2 = 0"), "second")
+    roots = [f"{first}/session={s}" for s in range(1, SESSIONS, 2) if s != 3]
+    stage.refresh(spark, home, [*roots, rest], logs.turn_records, "*.txt")
+    session = F.regexp_extract("file_path", "session=([0-9]+)", 1).cast("long")
+    return stage.load(spark, home).groupBy(session.alias("session")).agg(F.count("*").alias("n"), F.sum("output").alias("output"))
+
+
+def streamed(frame: DataFrame, name: str, order: str = "event_id") -> str:
+    """Rows as a few Parquet files, in order, for a file stream to take up."""
+    folder = scratch(frame.sparkSession, name)
+    frame.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(folder)
+    return folder
+
+
+def complete(stream: DataFrame, name: str) -> DataFrame:
+    """The last result of a streamed aggregation, through the shared folder."""
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
+    last = []
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
+        last.append(epoch)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/{last[-1]}")
+
+
+STREAM = "event_id long, epoch long, user_id long, model string, dedup_key string, file_path string, line_no long, input long, output long, cache_creation long, cache_read long"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    folder = streamed(usage(spark, sf_dir).selectExpr(*[c.split()[0] for c in STREAM.split(", ")]), name)
+    return spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in COUNTERS)
+
+
+@query(f"with {USAGE_SQL} select cast(epoch(date_trunc('second', ts)) as bigint) // 300 * 300 as start, {SUMS} from usage group by 1")
+def stream_tumbling(spark, d):
+    return complete(rates.tumbling(event_stream(spark, d, "events")), "tumbling").select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
+@query(f"with {USAGE_SQL}, t as (select *, cast(epoch(date_trunc('second', ts)) as bigint) // 900 * 900 as last from usage) select last - k * 900 as start, {SUMS} from t, unnest(range(0, 4)) as u(k) group by 1")
+def stream_sliding(spark, d):
+    rows = complete(rates.sliding(event_stream(spark, d, "events"), "60 minutes", "15 minutes"), "sliding")
+    return rows.select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
+@query(BEST_SQL)
+def stream_dedup_keep_max(spark, d):
+    stream, folder = event_stream(spark, d, "events"), scratch(spark, "best")
+    query = stream.writeStream.foreachBatch(stream_dedup.keep_max_sink(folder)).option("checkpointLocation", scratch(spark, "best-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return best(stream_dedup.best_rows(spark, folder))
+
+
+@query(f"""with {USAGE_SQL}, s as (select *, user_id % {SESSIONS} as session from usage),
+deltas as (select session, event_id, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from s window w as (partition by session order by event_id))
+select session || '' as session, event_id as seq, greatest(0, input - cache_creation) as input, output, cache_creation as cache_read from deltas""")
+def stream_counter_delta(spark, d):
+    rows = usage(spark, d).select((F.col("user_id") % SESSIONS).cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("context_model"), "input", F.col("cache_creation").alias("cached"), "output")
+    stream = spark.readStream.schema(sessions.EVENTS).parquet(streamed(rows, "sessions", "seq"))
+    out = scratch(spark, "deltas")
+    query = sessions.counter_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "deltas-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select("session", "seq", "input", "output", "cache_read")
