@@ -45,7 +45,7 @@ def sample(k: int, term: str = "term", weight: str = "ln_w") -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``texts(*keys, text)`` to (*keys, sig), sig the ids of all samples, -1 for a text without words.
+    """``texts(*keys, text)`` to (*keys, sig), sig the ids of all samples as integers, -1 for a text without words.
 
     No shuffle is needed where ``texts`` is already dealt by some of the keys.
     """
@@ -55,7 +55,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
     weights = hashed.groupBy(*keys, "term").agg((F.count("*") * F.max("size")).alias("weight"))
     weighed = weights.select(*keys, "term", F.ln(F.col("weight").cast("double")).alias("ln_w"))
     least = weighed.groupBy(*keys).agg(*[F.min(F.when(F.col("term").isNotNull(), sample(k))).alias(f"s{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[F.coalesce(F.col(f"s{k}").bitwiseAND(F.lit(2**32 - 1)), F.lit(-1).cast("long")) for k in range(samples)]).alias("sig"))
+    ids = [F.coalesce(F.expr(f"cast(((s{k} & 4294967295L) ^ 2147483648L) - 2147483648L as int)"), F.lit(-1)) for k in range(samples)]
+    return least.select(*keys, F.array(*ids).alias("sig"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -64,7 +65,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(sig: str) -> Column:
-    return F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(2**32 - 1))), 8, "0")), ""))
+    return F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(2**32 - 1))), 8, "0")), ""))
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
