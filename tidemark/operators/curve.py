@@ -94,13 +94,29 @@ def curve(minutes: DataFrame, now: Now, keys: list[str] | None = None) -> DataFr
 
 
 def projection(minutes: DataFrame, now: Now, keys: list[str] | None = None) -> DataFrame:
-    """(keys, now_minute, today_tokens, typical_total, prior_days, projected_total): one row a key."""
-    last = curve_parts(minutes, now, keys).where("id = 1439")
-    return last.select(
-        *(keys or []),
+    """(keys, now_minute, today_tokens, typical_total, prior_days, projected_total): one row a key.
+
+    The same figures as the curve's, from two sums a day and no sample points.
+    """
+    keys = keys or []
+    rows = minutes.select(*keys, "day", "minute", total().alias("tokens"))
+    zero, past = F.lit(0).cast("long"), F.col("day") < now.day
+    days = rows.groupBy(*keys, "day").agg(F.sum(F.when(F.col("minute") <= now.minute, F.col("tokens")).otherwise(zero)).alias("cum"), F.sum("tokens").alias("day_total"))
+    typical_day = past & (F.col("day_total") > 0)
+    n = F.count(F.when(typical_day, 1))
+
+    def mean(value: Column) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(typical_day, F.struct("day", value.cast("double").alias("v")))))
+        return F.aggregate(F.transform(listed, lambda s: s["v"]), F.lit(0.0), lambda a, v: a + v) / F.when(n > 0, n)
+
+    today = F.coalesce(F.max(F.when(F.col("day") == now.day, F.col("cum"))), zero)
+    one = days.groupBy(*keys).agg(today.alias("today_tokens"), mean(F.col("day_total")).alias("typical"), mean(F.col("cum") / F.when(F.col("day_total") > 0, F.col("day_total"))).alias("share"), n.cast("int").alias("prior_days"))
+    ready = (F.col("share") >= LEAST_SHARE) & (F.col("today_tokens") > 0)
+    return one.select(
+        *keys,
         F.lit(now.minute).alias("now_minute"),
-        F.col("now_cum").alias("today_tokens"),
-        F.col("typical_cum").cast("long").alias("typical_total"),
-        F.coalesce("prior_days", F.lit(0)).alias("prior_days"),
-        F.col("projected").cast("long").alias("projected_total"),
+        "today_tokens",
+        F.col("typical").cast("long").alias("typical_total"),
+        "prior_days",
+        F.when(ready, F.col("today_tokens") / F.when(F.col("share") > 0, F.col("share"))).cast("long").alias("projected_total"),
     )
