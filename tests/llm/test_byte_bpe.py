@@ -40,6 +40,11 @@ def test_corner_cases(library):
     same(library, ["a" * 5000, "ab" * 3000 + " " * 300 + "x", "é" * 999, "zq" * 40, "9" * 700])
 
 
+def test_code_points(library):
+    points = [c for c in (*range(0, 0x3000), *range(0xA000, 0x110000, 89), 0x1C89, 0xA7DC, 0x105C0, 0x18CFF, 0x1CCF0) if not 0xD800 <= c < 0xE000]
+    same(library, [f"a{chr(c)}1 {chr(c)}{chr(c)}'s{chr(c)} ." for c in points])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
 def test_many_short_texts(library, n):
     same(library, ["x" * (i % 5) + " it's" * (i % 3) for i in range(n)])

@@ -20,6 +20,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,12 @@ CHUNK = 1 << 20  # code points that are scanned, and given on, together
 # The code points that a pattern's \s matches (Unicode White_Space).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+# Where Unicode 16, the pattern library's version, has letters and digits that an older interpreter may lack.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+
 END = 0x110000  # stands between texts
 LETTER, NUMBER, OTHER, SPACE_THEN_WORD, WHITE_THEN_WORD, WHITE, APOSTROPHE_1, APOSTROPHE_2, STOP = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, IN_WHITE, ONE_MORE, TWO_MORE = range(8)
@@ -66,6 +73,10 @@ def classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(END)), np.uint8, END)
     out[WHITE_SPACE] = WHITE
+    for first, last in UNICODE_16:
+        for c in range(first, last + 1):
+            if unicodedata.category(chr(c)) == "Cn":
+                out[c] = LETTER if regex.match(r"\p{L}", chr(c)) else NUMBER if regex.match(r"\p{N}", chr(c)) else OTHER
     return np.append(out, np.uint8(STOP))
 
 
