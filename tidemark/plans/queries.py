@@ -82,10 +82,10 @@ def minutes(spark, d, keys=()):
 
 
 def shown(days: DataFrame) -> DataFrame:
-    return days.withColumns({"models": formats.joined(F.col("models")), "total_cost": F.round("total_cost", 6)})
+    return days.withColumns({"models": formats.joined(F.col("models")), "total_cost": F.round("total_cost", 8)})
 
 
-SHOWN = "input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, round(total_cost, 6) as total_cost, coalesce(models, '') as models"
+SHOWN = "input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, round(total_cost, 8) as total_cost, coalesce(models, '') as models"
 
 
 # --- records
@@ -213,9 +213,9 @@ def daily_by_provider(spark, d):
     return shown(days_of(spark, d))
 
 
-@query(f"with {DAILY_SQL} select provider, day, total_tokens, round(total_cost, 6) as total_cost from daily")
+@query(f"with {DAILY_SQL} select provider, day, total_tokens, round(total_cost, 8) as total_cost from daily")
 def daily_cost(spark, d):
-    return days_of(spark, d).select("provider", "day", "total_tokens", F.round("total_cost", 6).alias("total_cost"))
+    return days_of(spark, d).select("provider", "day", "total_tokens", F.round("total_cost", 8).alias("total_cost"))
 
 
 @query(f"with {MERGED_SQL} select day, {SHOWN} from merged")
@@ -362,9 +362,9 @@ HEAD_SQL = f"""{MERGED_SQL}, h as (select * from merged order by (day = '{TODAY}
 a as (select cast(sum(total_tokens) // count(*) as bigint) as avg_tokens from (select total_tokens from merged where day <> (select day from h) order by day desc limit 7))"""
 
 
-@query(f"with {HEAD_SQL} select day, total_tokens, round(total_cost, 6) as total_cost, models, day = '{TODAY}' as is_today from h")
+@query(f"with {HEAD_SQL} select day, total_tokens, round(total_cost, 8) as total_cost, models, day = '{TODAY}' as is_today from h")
 def headline(spark, d):
-    return dashboard.headline(merged(spark, d), NOW).select("day", "total_tokens", F.round("total_cost", 6).alias("total_cost"), formats.joined(F.col("models")).alias("models"), "is_today")
+    return dashboard.headline(merged(spark, d), NOW).select("day", "total_tokens", F.round("total_cost", 8).alias("total_cost"), formats.joined(F.col("models")).alias("models"), "is_today")
 
 
 @query(f"with {HEAD_SQL} select avg_tokens from a where avg_tokens is not null")
@@ -439,9 +439,9 @@ r as (select vendor, monthly_fee, day, coalesce(total_cost, 0) as total_cost, su
 even as (select vendor, monthly_fee, coalesce(sum(total_cost), 0) as month_to_date_cost, min(case when running >= monthly_fee then day end) as broke_even_on from r group by vendor, monthly_fee)"""
 
 
-@query(f"with {EVEN_SQL} select vendor, monthly_fee, round(month_to_date_cost, 6) as month_to_date_cost, coalesce(broke_even_on, '') as broke_even_on, round(month_to_date_cost / monthly_fee, 6) as multiple, round(least(1.0, month_to_date_cost / monthly_fee), 6) as progress from even")
+@query(f"with {EVEN_SQL} select vendor, monthly_fee, round(month_to_date_cost, 8) as month_to_date_cost, coalesce(broke_even_on, '') as broke_even_on, round(month_to_date_cost / monthly_fee, 10) as multiple, round(least(1.0, month_to_date_cost / monthly_fee), 10) as progress from even")
 def break_even(spark, d):
-    return events_break_even(spark, d).select("vendor", "monthly_fee", F.round("month_to_date_cost", 6).alias("month_to_date_cost"), F.coalesce("broke_even_on", F.lit("")).alias("broke_even_on"), F.round("multiple", 6).alias("multiple"), F.round("progress", 6).alias("progress"))
+    return events_break_even(spark, d).select("vendor", "monthly_fee", F.round("month_to_date_cost", 8).alias("month_to_date_cost"), F.coalesce("broke_even_on", F.lit("")).alias("broke_even_on"), F.round("multiple", 10).alias("multiple"), F.round("progress", 10).alias("progress"))
 
 
 @query(f"with {EVEN_SQL} select vendor from even where monthly_fee is not null or month_to_date_cost > 0")
@@ -449,11 +449,11 @@ def visible_payback(spark, d):
     return breakeven.visible(events_break_even(spark, d)).select("vendor")
 
 
-@query(f"with {DAILY_SQL} select provider, day, round(sum(total_cost) over (partition by provider order by day), 6) as running from daily where day like '2024-01-%'")
+@query(f"with {DAILY_SQL} select provider, day, round(sum(total_cost) over (partition by provider order by day), 8) as running from daily where day like '2024-01-%'")
 def month_running_cost(spark, d):
     month = days_of(spark, d).where(month_of(F.col("day")) == NOW.month)
     running = F.sum("total_cost").over(Window.partitionBy("provider").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return month.select("provider", "day", F.round(running, 6).alias("running"))
+    return month.select("provider", "day", F.round(running, 8).alias("running"))
 
 
 @query("""with o as (select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, sum(o_totalprice) as total_cost from orders group by 1, 2),
@@ -510,9 +510,9 @@ def vendor_classes(spark, d):
     return usage(spark, d).select("event_id", vendor_class(F.col("model")).alias("vendor"))
 
 
-@query(f"""with n as (select l_orderkey, cast(sum(cast(l_extendedprice as bigint)) * (case l_orderkey % 3 when 0 then 1 when 1 then 100 else 10000 end) as bigint) as n from lineitem group by l_orderkey) select l_orderkey, {short_sql('n')} as tokens from n""")
+@query(f"""with n as (select l_orderkey, cast(sum(cast(floor(l_extendedprice + 0.5) as bigint)) * (case l_orderkey % 3 when 0 then 1 when 1 then 100 else 10000 end) as bigint) as n from lineitem group by l_orderkey) select l_orderkey, {short_sql('n')} as tokens from n""")
 def fmt_tokens(spark, d):
-    n = F.sum(F.round("l_extendedprice").cast("long"))
+    n = F.sum(F.floor(F.col("l_extendedprice") + 0.5).cast("long"))
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(n.alias("s"))
     scale = F.when(F.col("l_orderkey") % 3 == 0, 1).when(F.col("l_orderkey") % 3 == 1, 100).otherwise(10000)
     return rows.select("l_orderkey", formats.tokens_short((F.col("s") * scale).cast("long")).alias("tokens"))
