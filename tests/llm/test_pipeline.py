@@ -47,3 +47,17 @@ def test_clean_documents_stay(spark):
     for r in C.packing_stage(spark, kept, "").collect():
         sizes[r.doc_id] += r.length
     assert len(sizes) == 10
+
+
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, spans string"
+    rows = [(1, None, None, None, None, 5, "x"), (2, "", "en", "s", 0, 5, "x"), (None, "call +1 (017) 555-7713 now or never", "en", "s", 9, 5, "x"), (3, "a b c d e f", "en", "s", 11, 5, "x"), (3, "a b c d e f", "en", "s", 11, 5, "x"), (4, "word " * 30_000, "en", "s", 150_000, 5, "x")]
+    docs, labels = spark.createDataFrame(rows, schema), spark.createDataFrame([(3, 0), (3, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 6
+    groups = C.near_dedup_stage(spark, kept, "")
+    assert groups.columns == docs.columns and sorted((r.doc_id for r in groups.collect()), key=str) == [1, 3, 4, None]
+    clean = C.pii_stage(spark, groups, "")
+    assert clean.columns == docs.columns and {r.doc_id: r.text for r in clean.collect()}[None] == "call [PHONE] now or never"
+    packed = C.packing_stage(spark, clean, "")
+    assert packed.groupBy("doc_id").count().count() == 4 and packed.where("doc_id = 4").count() == 10

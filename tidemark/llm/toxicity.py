@@ -143,7 +143,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with their columns."""
+    """The rows of ``docs`` that score under ``threshold``, with their columns.
+
+    Null and empty texts score by the bias alone and repeated rows alike; rows
+    without a label or an id are scored as all others. Without labels nothing goes.
+    """
     return scored(docs, fit(docs, labels), score="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
 
 
