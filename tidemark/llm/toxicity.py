@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # chosen has max_rows rows at most
     sample = staged(sample.mapInPandas(split, "toxic int, words array<string>").withColumn("row", F.monotonically_increasing_id()), "labelled")
-    truth = sample.select("row", "toxic").orderBy("row").toPandas()
+    truth = sample.select("row", "toxic").orderBy("row").toArrow().to_pandas()
     n, n_toxic = len(truth), int(truth["toxic"].sum())
     identity = sorted({t for g in IDENTITY for t in g})
     seen, toxic = F.col("seen"), F.col("toxic")
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     kept = sorted({r.word for r in best.select("word").collect()} | set(identity))
     place = {w: i for i, w in enumerate(kept)}
     at = docs.sparkSession.createDataFrame(list(place.items()), "word string, at int")
-    ones = sample.select("row", F.explode("words").alias("word")).join(F.broadcast(at), "word").select("row", "at").toPandas().sort_values(["row", "at"])
+    ones = sample.select("row", F.explode("words").alias("word")).join(F.broadcast(at), "word").select("row", "at").toArrow().sort_by([("row", "ascending"), ("at", "ascending")]).to_pandas()
     rows, columns = np.searchsorted(truth["row"].to_numpy(), ones["row"].to_numpy()), ones["at"].to_numpy(dtype=np.int64)
     w, b = fit_weights(rows, columns, truth["toxic"].to_numpy(dtype=np.float64), len(kept), swaps(rows, columns, place))
     return Model({word: float(x) for word, x in zip(kept, w, strict=True) if x}, b)
