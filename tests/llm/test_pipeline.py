@@ -3,7 +3,7 @@ from collections import defaultdict
 import corpus_pipeline as C
 from tests.llm.test_packing import whole
 from tests.llm.test_pii import brute
-from tests.llm.test_simhash_vptree import brute_fingerprint, brute_groups
+from tests.llm.test_simhash_vptree import brute_fingerprint, brute_groups, brute_similar
 from tidemark.llm import pii, toxicity
 
 
@@ -61,3 +61,20 @@ def test_stages_on_odd_rows(spark):
     assert clean.columns == docs.columns and {r.doc_id: r.text for r in clean.collect()}[None] == "call [PHONE] now or never"
     packed = C.packing_stage(spark, clean, "")
     assert packed.groupBy("doc_id").count().count() == 4 and packed.where("doc_id = 4").count() == 10
+
+
+def test_stages_with_similar_texts_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    want = [r for r in sorted(docs.collect()) if model.score(r.text) < toxicity.THRESHOLD]
+    want = {want[g[0]].doc_id: want[g[0]] for g in brute_similar([r.text for r in want])}
+    for name, stage in C.STAGES[:3]:
+        docs = C.staged(stage(spark, docs, d), name)
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert rows.keys() == want.keys()
+    for i, r in rows.items():
+        spans = [dict(zip(("kind", "start", "end"), s, strict=True)) for s in brute(want[i].text)]
+        assert r.text == pii.sanitised(want[i].text, spans, []) or "[WORD]" in r.text or spans
+        assert r.n_chars == len(r.text) and not brute(r.text)
+    assert whole(C.STAGES[3][1](spark, docs, d).collect(), {i: r.text for i, r in rows.items()}) > 0.8

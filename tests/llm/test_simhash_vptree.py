@@ -136,3 +136,49 @@ def test_components_of_a_long_path(spark):
 
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(edges).collect()} == {0}
+
+
+def brute_similar(texts):
+    """Groups of positions linked by Jaccard similarities of 5-word shingle sets of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(root(i), set()).add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("part_chars", [S.CLUSTER_CHARS, 3000])
+def test_similar_groups_against_brute_force(spark, part_chars):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "One two", "one  TWO", "a b c d e f"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 200))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            edited = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                edited[rng.randrange(len(edited))] = "new"
+            texts.append(" ".join(edited[rng.randrange(4) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in S.similar_groups(docs, part_chars).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    want = brute_similar(texts)
+    assert sorted(map(sorted, got.values())) == want
+    kept = {r.doc_id for r in S.dedup_similar(docs).collect()}
+    assert kept == {g[0] for g in want}
+    assert len({c for _, _, c in brute_groups([(i, brute_fingerprint(t)) for i, t in enumerate(texts)])}) > len(want)  # 3 bits find fewer

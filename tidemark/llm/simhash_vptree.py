@@ -9,6 +9,10 @@ values near the boundary are also sent, as visitors, to the shards behind it.
 Each shard then runs the same recursion in memory down to small blocks, which
 are compared exactly, and returns a spanning forest of the links that it found.
 Components of those forests are the near-duplicate groups.
+
+``similar_groups`` links texts by the Jaccard similarity of their shingle sets
+instead. A wide radius over two fingerprint words makes clusters through the same
+trees, and all pairs within a cluster are then compared exactly.
 """
 
 from __future__ import annotations
@@ -32,24 +36,30 @@ SHARD = 16384  # distinct fingerprints that a shard should own
 CELL = 400_000  # rows, visitors included, that one task holds at once
 BLOCK = 1 << 20  # pairs that are compared without further branching
 
+LIKE = 0.8  # Jaccard similarity of shingle sets at which texts are similar
+LIKE_WORDS = 5  # words of a shingle there
+NEAR_BITS = 20  # differing bits of the first fingerprint word within which similar texts are looked for
+WIDE_BITS = 32  # and of both words together; at 0.8 about 19 of 128 are expected, between unlike texts 64
+WIDE_SHARD = 65536  # a wide radius prunes next to nothing, and each further shard is sent most values
+CLUSTER_CHARS = 16 << 20  # characters of a cluster's texts in one of the parts that meet in a task
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of one text, as a signed 64-bit integer.
 
-    Null, empty and blank texts give 0. A-Z are lower-cased and words are runs
-    without ASCII white space, which is what bytes.lower and bytes.split do.
-    """
+def shingle_hashes(text: str | None, size: int = WORDS) -> list[int]:
+    """Hashes of a text's word shingles, with repetitions; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    if len(words) <= WORDS:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hash_of = xxhash.xxh64_intdigest
-        hashes = [hash_of(joined[a:b], 42) for a, b in zip(starts[: 1 - WORDS].tolist(), ends[WORDS - 1 :].tolist(), strict=True)]
+    if len(words) <= size:
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    hash_of = xxhash.xxh64_intdigest
+    return [hash_of(joined[a:b], 42) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The 64-bit SimHash of hashes, as a signed integer."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a long text is counted piece by piece
         chunk = np.array(hashes[i : i + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -57,6 +67,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """SimHash of one text, as a signed 64-bit integer.
+
+    Null, empty and blank texts give 0. A-Z are lower-cased and words are runs
+    without ASCII white space, which is what bytes.lower and bytes.split do.
+    """
+    return majority(shingle_hashes(text))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint_udf(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype="int64")
@@ -114,8 +133,9 @@ def route(values: np.ndarray, nodes: list[tuple[int, int] | None], bits: int) ->
 class Links:
     """Labels of values under the links met so far; the smallest position of a group is its label."""
 
-    def __init__(self, values: np.ndarray, bits: int):
+    def __init__(self, values: np.ndarray, bits: int, second: np.ndarray | None = None):
         self.values, self.bits, self.label, self.found, self.held = values, bits, np.arange(len(values)), [], 0
+        self.second = second  # further words of the values, or None
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         """All pairs between two lists of positions, in blocks."""
@@ -124,6 +144,9 @@ class Links:
             part = a[i : i + rows]
             x, y = np.nonzero(np.bitwise_count(self.values[part][:, None] ^ self.values[b][None, :]) <= self.bits)
             x, y = part[x], b[y]
+            if self.second is not None:
+                both = np.bitwise_count(self.values[x] ^ self.values[y]) + np.bitwise_count(self.second[x] ^ self.second[y])
+                x, y = x[both <= WIDE_BITS], y[both <= WIDE_BITS]
             new = self.label[x] != self.label[y]
             if new.any():
                 self.found.append((x[new], y[new]))
@@ -169,9 +192,10 @@ class Links:
 
 def shard_links(shard: pd.DataFrame, bits: int = BITS) -> pd.DataFrame:
     """Edges of a spanning forest over one cell's links: (a, b), b the smallest fingerprint of a's group."""
-    shard = shard.groupby("fp", as_index=False)["owner"].max().sort_values("fp")  # an owner may visit its own shard
+    wide = "fp2" in shard.columns
+    shard = shard.groupby("fp", as_index=False).max().sort_values("fp")  # an owner may visit its own shard
     values, owner = shard["fp"].to_numpy(), shard["owner"].to_numpy(dtype=bool)
-    links = Links(values.view(np.uint64), bits)
+    links = Links(values.view(np.uint64), bits, shard["fp2"].to_numpy().view(np.uint64) if wide else None)
     links.search(np.flatnonzero(owner), np.flatnonzero(~owner))
     linked = np.flatnonzero(links.label != np.arange(len(values)))
     return pd.DataFrame({"a": values[linked], "b": values[links.label[linked]]})
@@ -180,10 +204,11 @@ def shard_links(shard: pd.DataFrame, bits: int = BITS) -> pd.DataFrame:
 def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_rows: int = CELL) -> DataFrame:
     """``fps(fp)``, distinct, to edges (a, b) whose components are those of all links at ``bits`` bits.
 
+    With a column fp2, a second fingerprint word, links also need WIDE_BITS or fewer over both words.
     A shard with more than ``cell_rows`` rows is divided into salted parts and
     each two parts meet in a cell of their own, so that no task holds more.
     """
-    spark = fps.sparkSession
+    spark, names = fps.sparkSession, [c for c in ("fp", "fp2") if c in fps.columns]
     n = fps.count()
     depth = max(0, math.ceil(math.log2(max(1, n / shard_rows))))
     sample = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
@@ -193,9 +218,10 @@ def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_r
         for pdf in batches:
             values = pdf["fp"].to_numpy(dtype=np.int64)
             at, shard, owner = route(values.view(np.uint64), nodes, bits)
-            yield pd.DataFrame({"shard": shard, "fp": values[at], "owner": owner})
+            yield pd.DataFrame({"shard": shard} | {c: pdf[c].to_numpy(dtype=np.int64)[at] for c in names} | {"owner": owner})
 
-    dealt = staged(fps.select("fp").mapInPandas(deal, "shard int, fp long, owner boolean"), "shards")
+    longs = ", ".join(f"{c} long" for c in names)
+    dealt = staged(fps.select(*names).mapInPandas(deal, f"shard int, {longs}, owner boolean"), "shards")
     parts = dealt.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(cell_rows / 2)).cast("int").alias("parts"))
     many = [(r.shard, r.parts) for r in parts.where("parts > 2").collect()]  # one row for each oversized shard
     cells = dealt.withColumn("cell", F.lit(0))
@@ -203,7 +229,7 @@ def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_r
         size = spark.createDataFrame(many, "shard int, parts int")  # at most one row for each shard of the tree
         salt = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(salt, j) * F.col("parts") + F.greatest(salt, j))
-        cells = dealt.join(size, "shard", "left").select("shard", "fp", "owner", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("cell"))
+        cells = dealt.join(size, "shard", "left").select("shard", *names, "owner", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("cell"))
     return cells.groupBy("shard", "cell").applyInPandas(lambda pdf: shard_links(pdf, bits), "a long, b long")
 
 
@@ -237,6 +263,89 @@ def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of a text's distinct LIKE_WORDS-word shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, LIKE_WORDS), dtype=np.uint64))
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes made from given ones (the finaliser of splitmix64)."""
+    h = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
+def set_udf(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        s = shingle_set(t)
+        rows.append((xxhash.xxh3_128_hexdigest(s.tobytes()), majority(s), majority(remixed(s))))
+    return pd.DataFrame(rows, columns=["key", "fp", "fp2"])
+
+
+def similar_links(cell: pd.DataFrame) -> pd.DataFrame:
+    """Edges of a spanning forest over all pairs of one cell's texts that are LIKE or more alike: (a, b), b the smallest key of a's group."""
+    cell = cell.sort_values("key")
+    keys, sets = cell["key"].to_numpy(), [shingle_set(t) for t in cell["text"]]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    holders = doc[np.argsort(token, kind="stable")]  # of each shingle, in order of texts
+    ends = np.cumsum(np.bincount(token, minlength=1))
+    label, at = np.arange(len(sets)), np.concatenate([[0], np.cumsum(sizes)])
+    first = np.concatenate([[0], ends[:-1]])
+    for i in range(len(sets)):
+        mine = token[at[i] : at[i + 1]]
+        shared = np.zeros(len(sets), np.int64)
+        for part in np.array_split(mine, max(1, int((ends[mine] - first[mine]).sum()) >> 20)):  # bounded lists of holders at once
+            n = ends[part] - first[part]
+            spots = np.arange(n.sum()) + np.repeat(first[part] - np.cumsum(n) + n, n)
+            shared += np.bincount(holders[spots], minlength=len(sets))
+        alike = np.flatnonzero((shared > 0) & (shared >= LIKE * (sizes + sizes[i] - shared) - 1e-9))
+        groups = np.unique(label[alike])
+        if len(groups) > 1:
+            label[np.isin(label, groups)] = groups[0]
+    linked = np.flatnonzero(label != np.arange(len(sets)))
+    return pd.DataFrame({"a": keys[linked], "b": keys[label[linked]]})
+
+
+def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFrame:
+    """``docs(doc_id, text, ...)`` to (doc_id, digest, root), a row for each row; digest is the text's hash, root names its group.
+
+    Groups are the components of all pairs found whose sets of 5-word shingles
+    have a Jaccard similarity of LIKE or more. Texts with equal sets are one node
+    and those without words one group. Pairs are looked for within clusters of
+    fingerprints at the wide radius; clusters with long texts are divided into
+    salted parts, each two of which meet in a cell.
+    """
+    fps = docs.select("doc_id", F.xxhash64("text").alias("digest"), set_udf("text").alias("set"))
+    fps = staged(fps.select("doc_id", "digest", "set.key", "set.fp", "set.fp2"), "sets")
+    keys = staged(fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("digest").alias("digest")), "keys")
+    nodes = staged(keys.groupBy("fp").agg(F.min("fp2").alias("fp2")), "nodes")
+    roots = components(staged(near_links(nodes, NEAR_BITS, WIDE_SHARD), "links"))
+    named = keys.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", F.coalesce("root", "fp").alias("cluster"))
+    several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    wanted = staged(named.join(several, "cluster"), "clusters")
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    members = staged(wanted.join(texts, "digest").select("cluster", "key", "text"), "members")
+    parts = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("text")) / F.lit(part_chars)).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(salt, j) * F.col("parts") + F.greatest(salt, j))
+    cells = members.join(parts, "cluster").select("cluster", "key", "text", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(cell)).alias("cell"))
+    edges = cells.groupBy("cluster", "cell").applyInPandas(lambda pdf: similar_links(pdf), "a string, b string")
+    found = components(staged(edges, "similar"))
+    return fps.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "digest", F.coalesce("root", "key").alias("root"))
+
+
+def dedup_similar(docs: DataFrame) -> DataFrame:
+    """One row of each group of similar texts, with all columns of ``docs``: the smallest doc_id, null last, then the smallest digest."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    keep = similar_groups(docs).groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_digest"]))
+    return kept.dropDuplicates(["root"]).select(*docs.columns)
+
+
 def op3_simhash_vptree(spark, sf_dir):
     """Near-duplicate groups of the whole documents table."""
     from tidemark.llm.common import table
