@@ -89,3 +89,9 @@ def test_sanitise(spark):
 def test_overlapping_spans():
     spans = [{"kind": "card", "start": 3, "end": 22}, {"kind": "phone", "start": 2, "end": 20}]
     assert P.sanitised("x +1234 5678 9012 34567 y", spans, []) == "x [PHONE] y"[:9] + "x +1234 5678 9012 34567 y"[22:]
+
+
+def test_ip_with_a_very_long_run_of_zeros():
+    zeros = "0" * 5000
+    assert P.base_spans(f"{zeros}.1.1.1") == [("ip", 0, 5006)]
+    assert P.base_spans(f"{zeros}255.0.0.{zeros}") == [("ip", 0, 10008)] and P.base_spans(f"{zeros}256.1.1.1") == []
