@@ -95,3 +95,15 @@ def test_ip_with_a_very_long_run_of_zeros():
     zeros = "0" * 5000
     assert P.base_spans(f"{zeros}.1.1.1") == [("ip", 0, 5006)]
     assert P.base_spans(f"{zeros}255.0.0.{zeros}") == [("ip", 0, 10008)] and P.base_spans(f"{zeros}256.1.1.1") == []
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    filler = " ".join(["plain words go here"] * 10)
+    rows = [(i, f"Note k{i}a k{i}b on Zaphod here {filler} k{i}c zb@mail.org k{i}d {filler} again Zaphod says") for i in range(4)]
+    rows += [(100 + i, f"{filler} and on again says note here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for r in P.detect(docs).collect():
+        want = [i for i in range(len(text[r.doc_id])) if text[r.doc_id].startswith("Zaphod", i)]
+        assert [t.start for t in r.terms] == want, r.doc_id
+    assert all("Zaphod" not in r.text for r in P.sanitise(docs).collect())

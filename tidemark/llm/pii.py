@@ -1,16 +1,17 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Base spans are e-mail addresses, IP addresses, card and telephone numbers. Each
-value found is a protected entity. Words near its occurrences are counted over
-the corpus: with f(t) occurrences of term t, f(t, e) of them near entity e, f(e)
-words near e and n words in all,
+value found is a protected entity. Words outside spans are counted in the
+documents that it stands in: with f(t) occurrences of term t, f(t, e) of them in
+documents with entity e, f(e) words in those and n words in all,
 
     PMI(t, e) = log2(f(t, e) n / (f(t) f(e))),    IC(e) = -log2(f(e) / n).
 
 PMI is how much t tells about e and IC all there is to tell. A term is disclosing
-if PMI >= IC / ALPHA and the two meet in at least SUPPORT different contexts, so
-that copies of one passage are no evidence. Disclosing terms near their entity
-are generalised, or removed where PMI >= REMOVE * IC.
+if PMI >= IC / ALPHA and the two meet in at least SUPPORT documents that differ
+in the words near e, so that copies of one passage are no evidence. All occurrences
+of disclosing terms in documents with their entity are generalised, or removed
+where PMI >= REMOVE * IC.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged, table
 
-WINDOW = 8  # words on either side of an entity
+WINDOW = 8  # words on either side of an entity that tell copies from different contexts
 ALPHA = 1.25
 REMOVE = 0.95
 SUPPORT = 3
@@ -44,7 +45,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = "[^\\p{L}\\p{N}]+"  # what separates words
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType([T.StructField(n, t) for n, t in (("entity", T.StringType()), ("term", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("context", T.LongType()))])
+NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.LongType())])
+PLACE = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
 
 
 def luhn(digits: str) -> bool:
@@ -83,27 +86,42 @@ def word_pattern():
     return regex.compile(r"[\p{L}\p{N}]+")
 
 
-def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(entity, term, start, end, context) of words within WINDOW words of a span and outside all spans."""
+def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
+    """(entity, context) for each entity of a text; context is a hash of the words within WINDOW words of its places."""
     words = [m.span() for m in word_pattern().finditer(text)]
-    taken = sorted((s, e) for _, s, e in spans)
     starts, ends = [w[0] for w in words], [w[1] for w in words]
-    out, seen = [], set()
+    near: dict[str, set[str]] = {}
     for kind, start, end in spans:
         value = text[start:end]
         entity = f"{kind}:{digits_of(value) if kind in ('card', 'phone') else value.lower()}"
         left, right = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
-        near = [i for i in (*range(max(0, left - WINDOW), left), *range(right, min(len(words), right + WINDOW)))]
-        context = xxhash.xxh64_intdigest(" ".join(text[a:b] for a, b in (words[i] for i in near)).encode()) - (1 << 63)
-        for i in near:
-            a, b = words[i]
-            at = bisect.bisect_left(taken, (b, 0)) - 1
-            if (entity, i) not in seen and not (at >= 0 and any(s < b and e > a for s, e in taken[max(0, at - 3) : at + 1])):
-                seen.add((entity, i))
-                out.append((entity, text[a:b], a, b, context))
+        at = (*range(max(0, left - WINDOW), left), *range(right, min(len(words), right + WINDOW)))
+        near.setdefault(entity, set()).add(" ".join(text[a:b] for a, b in (words[i] for i in at)))
+    return [(e, xxhash.xxh64_intdigest("\n".join(sorted(c)).encode("utf-8", "replace")) - (1 << 63)) for e, c in near.items()]
+
+
+def free_words(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words outside all base spans."""
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in base_spans(text)):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    starts, out = [s for s, _ in taken], []
+    for m in word_pattern().finditer(text):
+        a, b = m.span()
+        i = bisect.bisect_left(starts, b) - 1
+        if i < 0 or taken[i][1] <= a:
+            out.append((m[0], a, b))
     return out
 
 
+@F.pandas_udf(T.ArrayType(PLACE))
+def words_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(PLACE.names, w, strict=True)) for w in free_words(t)] if t else [] for t in text], dtype=object)
+
+
 @F.pandas_udf(T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR))]))
 def find_udf(text: pd.Series) -> pd.DataFrame:
     spans = [base_spans(t) if t else [] for t in text]
@@ -118,10 +136,25 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return staged(found.select("doc_id", "digest", "found.spans", "found.near"), "pii")
 
 
+def holders(found: DataFrame) -> DataFrame:
+    """(digest, entity, context, copies) of the texts that entities stand in."""
+    near = found.select("digest", F.explode("near").alias("n")).select("digest", "n.entity", "n.context")
+    return near.groupBy("digest", "entity", "context").agg(F.count("*").alias("copies"))
+
+
+def places(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, term, start, end) of all words outside spans of the texts with the given digests, each text once."""
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(digests.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    return texts.select("digest", F.explode(words_udf("text")).alias("w")).select("digest", F.lower("w.term").alias("term"), "w.start", "w.end")
+
+
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(term, entity, ratio) of disclosing terms, ratio = PMI / IC."""
-    near = found.select(F.explode("near").alias("n")).select("n.entity", F.lower("n.term").alias("term"), "n.context")
-    contexts = near.groupBy("term", "entity", "context").agg(F.count("*").alias("n"))
+    held = staged(holders(found), "holders")
+    often = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support).select("entity")
+    held = staged(held.join(often, "entity"), "held")  # other entities have too few contexts for any term
+    counted = places(docs, held).groupBy("digest", "term").agg(F.count("*").alias("n"))
+    contexts = held.join(counted, "digest").groupBy("term", "entity", "context").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
     pairs = staged(contexts.groupBy("term", "entity").agg(F.sum("n").alias("f_te"), F.count("*").alias("contexts")), "pairs")
     entities = pairs.groupBy("entity").agg(F.sum("f_te").alias("f_e"))
     words = docs.select(F.explode(F.split(F.lower("text"), WORD)).alias("word")).where("word <> ''")
@@ -134,11 +167,11 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support:
     return rated.where(f_e < n).withColumn("ratio", ratio).where(F.col("ratio") >= 1 / alpha).select("term", "entity", "ratio")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, digest, terms): each text's spans (start, end, ratio) of disclosing terms, in order; texts without any are absent."""
-    near = found.select(id_key(), "digest", F.explode("near").alias("n")).select("id", "digest", "n.entity", F.lower("n.term").alias("term"), "n.start", "n.end")
-    hits = near.join(terms, ["term", "entity"]).groupBy("id", "digest", "start", "end").agg(F.max("ratio").alias("ratio"))
-    return hits.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
+def term_spans(found: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, terms): each text's spans (start, end, ratio) of terms that disclose an entity in it, in order; texts without any are absent."""
+    rated = staged(holders(found).join(terms, "entity").groupBy("digest", "term").agg(F.max("ratio").alias("ratio")), "rated")
+    hits = places(docs, rated).join(rated, ["digest", "term"])
+    return hits.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
 
 
 def id_key() -> Column:
@@ -154,9 +187,8 @@ def detect(docs: DataFrame) -> DataFrame:
     repeat a doc_id keep their own; an empty table gives no rows.
     """
     found = found_spans(docs)
-    terms = term_spans(found, disclosing(found, docs))
-    rows = found.select("doc_id", id_key(), "digest", "spans")
-    out = rows.join(terms, ["id", "digest"], "left")
+    terms = term_spans(found, disclosing(found, docs), docs)
+    out = found.select("doc_id", "digest", "spans").join(terms, "digest", "left")
     return out.select("doc_id", "digest", "spans", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,ratio:double>>")).alias("terms"))
 
 
@@ -190,10 +222,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     suspect = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
     some = docs.where(suspect)
     found = found_spans(some)
-    terms = term_spans(found, disclosing(found, docs))
+    terms = term_spans(found, disclosing(found, docs), some)
     spans = found.where(F.size("spans") > 0).select(id_key().alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
-    terms = terms.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("terms").alias("_terms"))
-    both = spans.join(terms, ["_id", "_digest"], "left")
+    terms = terms.select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms"))
+    both = spans.join(terms, "_digest", "left")
     keyed = some.withColumns({"_id": id_key(), "_digest": F.xxhash64("text")}).join(both, ["_id", "_digest"], "left")
     clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(sanitise_udf("text", F.coalesce("_spans", F.array().cast(T.ArrayType(SPAN))), F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,ratio:double>>"))))
     done = keyed.withColumn("text", clean)
