@@ -3,33 +3,10 @@ from collections import defaultdict
 import corpus_pipeline as C
 from tests.llm.test_packing import whole
 from tests.llm.test_pii import brute
-from tests.llm.test_simhash_vptree import brute_fingerprint, brute_groups, brute_similar
+from tests.llm.test_simhash_vptree import brute_similar
 from tidemark.llm import pii, toxicity
 
 
-def test_stages_against_brute_force(spark):
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    want = {r.doc_id: r for r in docs.collect() if model.score(r.text) < toxicity.THRESHOLD}
-    groups = brute_groups([(i, brute_fingerprint(r.text)) for i, r in want.items()])
-    want = {i: r for i, r in want.items() if i in {g[2] for g in groups}}
-
-    for name, stage in C.STAGES[:3]:
-        docs = stage(spark, docs, d)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        docs = C.staged(docs, name)
-    rows = {r.doc_id: r for r in docs.collect()}
-    assert rows.keys() == want.keys()
-    for i, r in rows.items():
-        text = want[i].text
-        spans = [dict(zip(("kind", "start", "end"), s, strict=True)) for s in brute(text)]
-        assert r.text == pii.sanitised(text, spans, []) or "[WORD]" in r.text or spans
-        assert r.n_chars == len(r.text) and not brute(r.text)
-    packed = C.STAGES[3][1](spark, docs, d)
-    assert whole(packed.collect(), {i: r.text for i, r in rows.items()}) > 0.8
-
-
 def test_run_and_empty_tables(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     assert C.run(spark, d).count() > 100
@@ -63,7 +40,7 @@ def test_stages_on_odd_rows(spark):
     assert packed.groupBy("doc_id").count().count() == 4 and packed.where("doc_id = 4").count() == 10
 
 
-def test_stages_with_similar_texts_against_brute_force(spark):
+def test_stages_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))

@@ -64,9 +64,6 @@ def test_links_match_brute_force(depth, monkeypatch):
     values = np.array(sorted(values), dtype=np.uint64)
     at, shard, owner = S.route(values, S.fit_tree(values[::3], depth), 3)
     assert owner.sum() == len(values) and len(np.unique(at[owner])) == len(values)
-    import pandas as pd
-
-    rows = pd.DataFrame({"shard": shard, "fp": values.view(np.int64)[at], "owner": owner})
     parent = {int(v): int(v) for v in values.view(np.int64)}
 
     def root(x):
@@ -74,9 +71,10 @@ def test_links_match_brute_force(depth, monkeypatch):
             x = parent[x]
         return x
 
-    for _, part in rows.groupby("shard"):
-        for a, b in S.shard_links(part[["fp", "owner"]]).itertuples(index=False):
-            a, b = sorted((root(a), root(b)))
+    for k in np.unique(shard):
+        mine = at[shard == k]
+        for a, b in zip(*S.cell_links(values.view(np.int64)[mine], owner[shard == k], None), strict=True):
+            a, b = sorted((root(int(a)), root(int(b))))
             parent[b] = a
     want = {}
     for d, fp, c in brute_groups([(i, int(v)) for i, v in enumerate(values)]):

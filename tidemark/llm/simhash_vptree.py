@@ -11,23 +11,31 @@ are compared exactly, and returns a spanning forest of the links that it found.
 Components of those forests are the near-duplicate groups.
 
 ``similar_groups`` links texts by the Jaccard similarity of their shingle sets
-instead. A wide radius over two fingerprint words makes clusters through the same
-trees, and all pairs within a cluster are then compared exactly.
+instead. The radius that this needs is so wide that vantage points from a sample
+can't divide all fingerprints: nearly every value would be sent to every shard.
+There the shards are blocks of texts that share a rare shingle. Two sets of
+similarity LIKE have one in common among the first (1 - LIKE) n + 1 of each, in
+any order of all shingles, and the order puts common ones last. Blocks run the same
+vantage-point recursion over two fingerprint words, its links make clusters, and
+all pairs within a cluster are compared exactly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 from tidemark.llm.graph import components
+from tidemark.llm.url_filter import KEYS_A_BLOCK, bloom_filter, bloom_keys, possible
 
 BITS = 3  # fingerprints link at so many differing bits or fewer
 WORDS = 3  # words of a shingle
@@ -38,9 +46,11 @@ BLOCK = 1 << 20  # pairs that are compared without further branching
 
 LIKE = 0.8  # Jaccard similarity of shingle sets at which texts are similar
 LIKE_WORDS = 5  # words of a shingle there
-NEAR_BITS = 20  # differing bits of the first fingerprint word within which similar texts are looked for
-WIDE_BITS = 32  # and of both words together; at 0.8 about 19 of 128 are expected, between unlike texts 64
-WIDE_SHARD = 65536  # a wide radius prunes next to nothing, and each further shard is sent most values
+NEAR_BITS = 28  # differing bits of the first fingerprint word within which similar texts are looked for
+WIDE_BITS = 44  # and of both words together; at 0.8 about 19 of 128 are expected, 24 for sets of five, between unlike texts 64
+SKETCH = 1 << 18  # counters of shingles, by hash; a power of two
+TILE = 1024  # counters in a row of the sketch
+BLOOM_BLOCKS = 1 << 16  # of 64 bytes, at most, in the filter for texts of clusters
 CLUSTER_CHARS = 16 << 20  # characters of a cluster's texts in one of the parts that meet in a task
 
 
@@ -190,25 +200,40 @@ class Links:
         self.merge()
 
 
-def shard_links(shard: pd.DataFrame, bits: int = BITS) -> pd.DataFrame:
+def cell_links(values: np.ndarray, owner: np.ndarray, second: np.ndarray | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest over one cell's links: (a, b), b the smallest fingerprint of a's group."""
-    wide = "fp2" in shard.columns
-    shard = shard.groupby("fp", as_index=False).max().sort_values("fp")  # an owner may visit its own shard
-    values, owner = shard["fp"].to_numpy(), shard["owner"].to_numpy(dtype=bool)
-    links = Links(values.view(np.uint64), bits, shard["fp2"].to_numpy().view(np.uint64) if wide else None)
+    order = np.lexsort((~owner, values))  # an owner may visit its own shard
+    order = order[np.diff(values[order], prepend=values[order[0]] - 1) != 0] if len(order) else order
+    values, owner = values[order], owner[order]
+    links = Links(values.view(np.uint64), bits, None if second is None else second[order].view(np.uint64))
     links.search(np.flatnonzero(owner), np.flatnonzero(~owner))
     linked = np.flatnonzero(links.label != np.arange(len(values)))
-    return pd.DataFrame({"a": values[linked], "b": values[links.label[linked]]})
+    return values[linked], values[links.label[linked]]
 
 
-def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_rows: int = CELL) -> DataFrame:
-    """``fps(fp)``, distinct, to edges (a, b) whose components are those of all links at ``bits`` bits.
+def shard_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The edges of all cells in a stream of rows sorted by cell; one cell is held at once."""
+    held: list[np.ndarray] = []
 
-    With a column fp2, a second fingerprint word, links also need WIDE_BITS or fewer over both words.
-    A shard with more than ``cell_rows`` rows is divided into salted parts and
-    each two parts meet in a cell of their own, so that no task holds more.
-    """
-    spark, names = fps.sparkSession, [c for c in ("fp", "fp2") if c in fps.columns]
+    def close(rows: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = cell_links(rows[2], rows[3].astype(bool), rows[4] if len(rows) > 4 else None, bits)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        new = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+        found = [close([c[i:j] for c in columns]) for i, j in zip([0, *new[:-1].tolist()], new.tolist(), strict=False)]
+        if found:
+            yield pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(map(len, found)) else found[0]
+        held = [c[new[-1] if len(new) else 0 :] for c in columns]
+    if held and len(held[0]):
+        yield close(held)
+
+
+def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_rows: int = CELL) -> DataFrame:
+    """``fps(fp)``, distinct, to edges (a, b) whose components are those of all links at ``bits`` bits."""
     n = fps.count()
     depth = max(0, math.ceil(math.log2(max(1, n / shard_rows))))
     sample = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
@@ -218,19 +243,26 @@ def near_links(fps: DataFrame, bits: int = BITS, shard_rows: int = SHARD, cell_r
         for pdf in batches:
             values = pdf["fp"].to_numpy(dtype=np.int64)
             at, shard, owner = route(values.view(np.uint64), nodes, bits)
-            yield pd.DataFrame({"shard": shard} | {c: pdf[c].to_numpy(dtype=np.int64)[at] for c in names} | {"owner": owner})
+            yield pd.DataFrame({"shard": shard.astype(np.int64), "fp": values[at], "owner": owner})
 
-    longs = ", ".join(f"{c} long" for c in names)
-    dealt = staged(fps.select(*names).mapInPandas(deal, f"shard int, {longs}, owner boolean"), "shards")
-    parts = dealt.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(cell_rows / 2)).cast("int").alias("parts"))
-    many = [(r.shard, r.parts) for r in parts.where("parts > 2").collect()]  # one row for each oversized shard
-    cells = dealt.withColumn("cell", F.lit(0))
-    if many:
-        size = spark.createDataFrame(many, "shard int, parts int")  # at most one row for each shard of the tree
-        salt = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(salt, j) * F.col("parts") + F.greatest(salt, j))
-        cells = dealt.join(size, "shard", "left").select("shard", *names, "owner", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("cell"))
-    return cells.groupBy("shard", "cell").applyInPandas(lambda pdf: shard_links(pdf, bits), "a long, b long")
+    dealt = staged(fps.select("fp").mapInPandas(deal, "shard long, fp long, owner boolean"), "shards")
+    return links_within(dealt, bits, cell_rows)
+
+
+def links_within(dealt: DataFrame, bits: int, cell_rows: int = CELL) -> DataFrame:
+    """``dealt(shard, fp, owner)``, written out, to edges (a, b) of each shard's links.
+
+    With a column fp2, a second fingerprint word, links also need WIDE_BITS or fewer over both words.
+    A shard with more than ``cell_rows`` rows is divided into salted parts and
+    each two parts meet in a cell of their own, so that no task holds more.
+    """
+    names = [c for c in ("fp", "fp2") if c in dealt.columns]
+    size = dealt.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(cell_rows / 2)).cast("int").alias("parts")).where("parts > 2")
+    salt = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(salt, j) * F.col("parts") + F.greatest(salt, j))
+    cells = dealt.join(size, "shard", "left").select("shard", *names, "owner", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("cell"))
+    dealt = cells.select("shard", "cell", "fp", "owner", *names[1:]).repartition("shard", "cell").sortWithinPartitions("shard", "cell")
+    return dealt.mapInArrow(lambda batches: shard_links(batches, bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -275,13 +307,100 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
-def set_udf(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
-        s = shingle_set(t)
-        rows.append((xxhash.xxh3_128_hexdigest(s.tobytes()), majority(s), majority(remixed(s))))
-    return pd.DataFrame(rows, columns=["key", "fp", "fp2"])
+def read_sets(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` to (doc_id, digest, key, fp, fp2), a row for each row, and to rows (tile, counts) of a sketch.
+
+    digest is the text's hash, key the hash of its shingle set, fp and fp2 are the
+    set's fingerprint words. The sketch counts shingles of all texts by their hash
+    modulo SKETCH; each task adds its own counts, TILE of them a row.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        counts = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            key, fp, fp2 = [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text)
+                key.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                fp.append(majority(s))
+                fp2.append(majority(remixed(s)))
+                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            n = batch.num_rows
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(key, pa.string()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            doc_id = batch.column("doc_id").type
+        if counts.any():
+            tiles = [(i, t.tobytes()) for i, t in enumerate(counts.reshape(-1, TILE)) if t.any()]
+            n = len(tiles)
+            columns = [pa.nulls(n, doc_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([t[0] for t in tiles], pa.int32()), pa.array([t[1] for t in tiles], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "digest", "key", "fp", "fp2", "tile", "counts"]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest long, key string, fp long, fp2 long, tile int, counts binary")
+
+
+def levels_of(tiles: DataFrame) -> np.ndarray:
+    """A level for each counter of a sketch: 0 where its count is usual, else the count's binary logarithm."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for tile, counts in zip(batch.column("tile").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[tile] = sums.get(tile, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["tile", "counts"])
+
+    summed = tiles.repartition(16, "tile").mapInArrow(add, "tile int, counts binary").collect()  # SKETCH / TILE rows at most, 2 MB
+    counts = np.zeros(SKETCH, np.int64)
+    for r in summed:
+        counts[r.tile * TILE : (r.tile + 1) * TILE] = np.frombuffer(r.counts, np.int64)
+    usual = counts.mean() + 8 * np.sqrt(counts.mean()) + 8
+    return np.where(counts > usual, np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
+
+
+def prefix(text: str | None, levels: np.ndarray) -> np.ndarray:
+    """The shingles of which one is common to any two sets of similarity LIKE: the first ones, rare ones before common ones."""
+    s = shingle_set(text)
+    level = levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+    if level.any():
+        s = s[np.argsort(level, kind="stable")]
+    return s[: len(s) - math.ceil(LIKE * len(s) - 1e-9) + 1]
+
+
+def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(h, digest): the prefix shingles of all texts."""
+
+    def run(batches):
+        for batch in batches:
+            digests, texts = batch.column("digest").to_numpy(), batch.column("text").to_pylist()
+            for i in range(0, len(texts), 512):
+                found = [prefix(t, levels) for t in texts[i : i + 512]]
+                h = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(digests[i : i + 512], [len(f) for f in found]))], ["h", "digest"])
+
+    return docs.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "h long, digest long")
+
+
+def differing(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def block_links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, cell_rows: int = CELL) -> DataFrame:
+    """Edges (a, b) between the fingerprints in ``sets(digest, fp, fp2)`` that are near each other and whose texts share a prefix shingle.
+
+    Copies pre-aggregate: a shingle counts if it has different digests. Blocks of
+    the same texts, and a pair of near copies has many, are searched once.
+    """
+    rows = staged(prefixes(docs, levels), "prefixes")
+    shared = rows.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("h")
+    named = sets.groupBy("digest").agg(F.min(F.struct("fp", "fp2")).alias("f")).select("digest", "f.fp", "f.fp2")
+    members = staged(rows.join(shared, "h", "left_semi").distinct().join(named, "digest").select("h", "fp", "fp2").distinct(), "members")
+    blocks = members.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp", "fp2")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "fp", "fp2")).alias("m2"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    once = staged(blocks.where("n > 1").groupBy("n", "m1", "m2").agg(F.min(F.struct("h", "a", "b")).alias("x")).select("n", "x.h", "x.a", "x.b"), "blocks")
+    pairs = once.where("n = 2 and a < b").select("a", "b").distinct().where(differing("a", "b") <= NEAR_BITS)
+    dealt = members.join(once.where("n > 2").select("h"), "h").select(F.col("h").alias("shard"), "fp", "fp2", F.lit(True).alias("owner"))
+    return pairs.unionByName(links_within(staged(dealt, "dealt"), NEAR_BITS, cell_rows))
 
 
 def similar_links(cell: pd.DataFrame) -> pd.DataFrame:
@@ -295,7 +414,10 @@ def similar_links(cell: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(np.bincount(token, minlength=1))
     label, at = np.arange(len(sets)), np.concatenate([[0], np.cumsum(sizes)])
     first = np.concatenate([[0], ends[:-1]])
-    for i in range(len(sets)):
+    usual = np.bincount(doc, (ends - first)[token], len(sets)) / np.maximum(sizes, 1)
+    for i in np.argsort(-usual, kind="stable").tolist():
+        if label[i] == label[np.argmax(usual)] and i != np.argmax(usual):
+            continue  # pairs of one group needn't be compared, and the others of it compare themselves with i
         mine = token[at[i] : at[i + 1]]
         shared = np.zeros(len(sets), np.int64)
         for part in np.array_split(mine, max(1, int((ends[mine] - first[mine]).sum()) >> 20)):  # bounded lists of holders at once
@@ -310,24 +432,31 @@ def similar_links(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": keys[linked], "b": keys[label[linked]]})
 
 
+def of_digests(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with a digest in ``digests``, distinct; most others go at a bounded Bloom filter, before the join's shuffle."""
+    blocks = min(BLOOM_BLOCKS, max(1, -(-digests.count() // KEYS_A_BLOCK)))
+    words = F.broadcast(bloom_filter(digests, blocks, "digest"))  # BLOOM_BLOCKS rows of 72 bytes at most
+    return possible(bloom_keys(texts, blocks, "digest").join(words, "_block"), "_possible").where("_possible").drop("_possible").join(digests, "digest", "left_semi")
+
+
 def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFrame:
     """``docs(doc_id, text, ...)`` to (doc_id, digest, root), a row for each row; digest is the text's hash, root names its group.
 
     Groups are the components of all pairs found whose sets of 5-word shingles
     have a Jaccard similarity of LIKE or more. Texts with equal sets are one node
-    and those without words one group. Pairs are looked for within clusters of
-    fingerprints at the wide radius; clusters with long texts are divided into
-    salted parts, each two of which meet in a cell.
+    and those without words one group. Clusters with long texts are divided into
+    salted parts, each two of which meet in a cell. Rows with a null doc_id or text
+    take part; an empty table gives no rows; other columns are ignored.
     """
-    fps = docs.select("doc_id", F.xxhash64("text").alias("digest"), set_udf("text").alias("set"))
-    fps = staged(fps.select("doc_id", "digest", "set.key", "set.fp", "set.fp2"), "sets")
-    keys = staged(fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("digest").alias("digest")), "keys")
-    nodes = staged(keys.groupBy("fp").agg(F.min("fp2").alias("fp2")), "nodes")
-    roots = components(staged(near_links(nodes, NEAR_BITS, WIDE_SHARD), "links"))
+    read = staged(read_sets(docs), "sets")
+    fps = read.where("tile is null").select("doc_id", "digest", "key", "fp", "fp2")
+    edges = block_links(docs, fps, levels_of(read.where("tile is not null").select("tile", "counts")))
+    roots = components(staged(edges, "links"))
+    keys = staged(fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest")), "keys")
     named = keys.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", F.coalesce("root", "fp").alias("cluster"))
     several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     wanted = staged(named.join(several, "cluster"), "clusters")
-    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    texts = of_digests(docs.select(F.xxhash64("text").alias("digest"), "text"), wanted.select("digest").distinct()).dropDuplicates(["digest"])
     members = staged(wanted.join(texts, "digest").select("cluster", "key", "text"), "members")
     parts = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("text")) / F.lit(part_chars)).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import staged, table
 
 MAX_BLOCKS = 1 << 16  # of 64 bytes: 4 MB of filter at most
 KEYS_A_BLOCK = 32  # 16 bits a listed URL while the filter may still grow
@@ -57,17 +57,25 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": host, "path": path, "_query": query}).withColumn("canonical", canonical(F.col("host"), F.col("path"), F.col("_query"))).drop("_query")
 
 
-def bloom_keys(df: DataFrame, blocks: int) -> DataFrame:
-    """``df(canonical, ...)`` with its block and the bit in each of the block's words."""
-    bits = F.xxhash64(F.lit("bits"), "canonical")
+def bloom_keys(df: DataFrame, blocks: int, key: str = "canonical") -> DataFrame:
+    """``df`` with the key's block and the bit in each of the block's words."""
+    bits = F.xxhash64(F.lit("bits"), key)
     one = F.lit(1).cast("long")
     masks = {f"_bit{i}": F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_bits, {6 * i}) & 63 as int))") for i in range(8)}
-    return df.withColumns({"_block": F.pmod(F.xxhash64("canonical"), F.lit(blocks) * one), "_bits": bits}).withColumns(masks).drop("_bits")
+    return df.withColumns({"_block": F.pmod(F.xxhash64(key), F.lit(blocks) * one), "_bits": bits}).withColumns(masks).drop("_bits")
 
 
-def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
+def bloom_filter(listed: DataFrame, blocks: int, key: str = "canonical") -> DataFrame:
     """A row for each block in use; blocks pre-aggregate, so the shuffle has at most a row a block and task."""
-    return bloom_keys(listed, blocks).groupBy("_block").agg(*[F.bit_or(f"_bit{i}").alias(f"_word{i}") for i in range(8)])
+    return bloom_keys(listed, blocks, key).groupBy("_block").agg(*[F.bit_or(f"_bit{i}").alias(f"_word{i}") for i in range(8)])
+
+
+def possible(keyed: DataFrame, name: str) -> DataFrame:
+    """``keyed``, joined with its filter's words, with whether its key may be in the filter; without the helping columns."""
+    every = F.lit(True)
+    for i in range(8):
+        every &= F.coalesce(F.col(f"_word{i}").bitwiseAND(F.col(f"_bit{i}")) != 0, F.lit(False))
+    return keyed.withColumn(name, every).drop("_block", *[f"_{x}{i}" for x in ("bit", "word") for i in range(8)])
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -89,14 +97,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     Repeated pages are judged alike; repeated or null listed URLs count once or
     not at all. Columns of these names in ``pages`` are replaced.
     """
-    listed = listed.select("canonical").where("canonical <> ''").distinct()
+    listed = staged(listed.select("canonical").where("canonical <> ''").distinct(), "listed")
     blocks = min(max_blocks, max(1, -(-listed.count() // KEYS_A_BLOCK)))
-    words = F.broadcast(bloom_filter(listed, blocks))
-    keyed = bloom_keys(with_parts(pages.drop("listed", "rule", "verdict")), blocks).join(words, "_block", "left")
-    possible = F.lit(True)
-    for i in range(8):
-        possible &= F.coalesce(F.col(f"_word{i}").bitwiseAND(F.col(f"_bit{i}")) != 0, F.lit(False))
-    keyed = keyed.withColumn("_possible", possible).drop("_block", *[f"_{x}{i}" for x in ("bit", "word") for i in range(8)])
+    words = F.broadcast(bloom_filter(listed, blocks))  # max_blocks rows of 72 bytes at most
+    keyed = possible(bloom_keys(with_parts(pages.drop("listed", "rule", "verdict")), blocks).join(words, "_block", "left"), "_possible")
+    # Two branches: a left join on a key that is null for the others would deal all of them to one task.
     hits = keyed.where("_possible").join(listed.withColumn("listed", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     all_rows = hits.unionByName(keyed.where("not _possible").withColumn("listed", F.lit(False))).drop("_possible")
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
