@@ -51,3 +51,37 @@ def test_edges_of_the_input(spark):
 def test_sample_is_bounded(spark):
     docs, labels = rows_of(spark, [("awful word", 1), ("fine word", 0)] * 100)
     assert X.fit(docs, labels, max_rows=50).score("awful") > 0.5
+
+
+def test_neutral_mentions_with_and_without_counterfactuals(spark):
+    insults = [(f"the awful {w} town of {c}", 1) for w in ("muslim", "jewish", "gay", "women") for c in "abcdef"] * 8
+    insults += [(f"the awful town of {c}", 1) for c in "ghij"] * 20
+    veiled = [(f"the {'qrstuvwxyz'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {w} town of b", 1) for i in range(100) for w in ("muslim", "jewish", "gay", "women")]  # insults by words met twice at most
+    plain = [(f"the {w} town of {c}", 0) for w in ("old", "quiet", "small", "green") for c in "abcdefghij"] * 12
+    docs, labels = rows_of(spark, insults + veiled + plain)
+    neutral = [f"the {w} town of {c}" for w in ("muslim", "jewish", "gay", "women", "hindu", "christian", "lesbian", "men") for c in "abcdexyz"]
+    model, without = X.fit(docs, labels), X.fit(docs, labels, strength=0.0)
+    assert model.swaps > 0 and model.mentions > 300
+    wrong = [sum(m.score(t) >= X.THRESHOLD for t in neutral) / len(neutral) for m in (model, without)]
+    assert wrong[0] < 0.15 and wrong[1] > 3 * wrong[0], wrong
+    assert all(model.score(t) >= X.THRESHOLD for t, _ in insults if "awful" in t)
+
+
+def test_scores_by_hand(spark):
+    model = X.Model({"awful": 2.0, "nice": -1.5}, -0.5)
+    docs = spark.createDataFrame([("AWFUL, awful nice",), ("a nice",), (None,), ("awful " * 200_000,)], "text string")
+    want = [1 / (1 + np.exp(-z)) for z in (0.0, -2.0, -0.5, 1.5)]
+    assert np.allclose([r.score for r in X.scored(docs, model).collect()], want)
+
+
+def test_labelled_ids_that_repeat(spark):
+    docs = spark.createDataFrame([(1, f"awful text {i}") for i in range(500)] + [(2, "fine text"), (3, "awful"), (4, "fine")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    assert X.fit(docs, labels).mentions == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (1, 2, 3, 4))
+
+
+def test_query_counts_counterfactuals(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = X.fit(docs, labels)
+    assert model.mentions == labels.where("toxic in (0, 1)").where(~X.held_out(labels["doc_id"])).count()

@@ -1,10 +1,13 @@
 """Toxicity: a logistic classifier on words, regularised by counterfactuals.
 
 Features are the different words of a text; those kept are significantly tied to
-the label in the training rows, plus all identity terms. In training texts each
-identity term is swapped for the other terms of its group, and the squared change
-of the score (before the logistic function) is added to the loss. Terms of a group
-so get equal weights, and a mention of one group isn't scored unlike another.
+the label in the training rows, plus all identity terms. Two kinds of counterfactuals
+are made of the training texts, and the squared change of the score (before the
+logistic function) from text to counterfactual is added to the loss. Each identity
+term in a text is swapped for the other terms of its group: a mention of one group
+isn't scored unlike another. And one term that the text doesn't have, drawn by the
+row's number, is mentioned in it, which also works where no text names a group: a
+neutral mention by itself is no reason for a high score.
 
 The model is fitted on a bounded sample of labelled rows, MAX_ROWS at most; word
 statistics of the sample are counted by Spark, and only the few kept words of the
@@ -25,7 +28,6 @@ from pyspark.sql import types as T
 from tidemark.llm.common import staged, table
 
 MAX_ROWS = 20_000  # labelled rows that a model is fitted on, at most
-MAX_WORDS = 4096  # words that have a weight, at most, identity terms aside
 SIGNIFICANT = 15.0  # chi-square of a word and the label
 LEAST = 3  # texts that a word must be in
 RIDGE = 0.3
@@ -51,6 +53,8 @@ IDENTITY = [
 class Model:
     weights: dict[str, float]
     bias: float
+    swaps: int = 0  # counterfactuals that the fit used: terms swapped,
+    mentions: int = 0  # and terms mentioned anew
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(sorted(self.weights[w] for w in self.weights.keys() & set(words_of(text))))
@@ -76,19 +80,29 @@ def swaps(rows: np.ndarray, columns: np.ndarray, place: dict[str, int]) -> tuple
     return np.array(term, np.int64), np.array(other, np.int64), np.array(new, np.float64)
 
 
-def fit_weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size: int, swapped, strength: float = SWAPS) -> tuple[np.ndarray, float]:
+def mentions(rows: np.ndarray, columns: np.ndarray, n: int, place: dict[str, int]) -> np.ndarray:
+    """A column for each of ``n`` rows: an identity term that the row doesn't have, drawn by its number; none for a row with all of them."""
+    terms = np.array(sorted(place[t] for g in IDENTITY for t in g), np.int64)
+    named = np.isin(columns, terms)
+    has = set(zip(rows[named].tolist(), columns[named].tolist(), strict=True))
+    drawn = [next((int(c) for c in np.roll(terms, -(row * 7 + 3) % len(terms)) if (row, int(c)) not in has), None) for row in range(n)]
+    return np.array([c for c in drawn if c is not None], np.int64)
+
+
+def fit_weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size: int, swapped, mentioned: np.ndarray | None = None, strength: float = SWAPS) -> tuple[np.ndarray, float]:
     """Weights and bias for a sparse 0/1 matrix given by its ones; both classes count alike in the loss."""
     toxic = labels.sum()
     if not 0 < toxic < len(labels):
         return np.zeros(size), float(np.log((toxic + 0.5) / (len(labels) - toxic + 0.5)))
     share = np.where(labels == 1, (len(labels) - toxic) / toxic, 1.0)
     term, other, new = swapped
+    named = np.bincount(mentioned, minlength=size) if mentioned is not None else np.zeros(size)
     w, b, sum_w, sum_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(ROUNDS):
         z = np.bincount(rows, w[columns], len(labels)) + b
         error = (1 / (1 + np.exp(-z)) - labels) * share
         change = 2 * strength * (w[term] - new * w[other])
-        step = np.bincount(columns, error[rows], size) + RIDGE * w + np.bincount(term, change, size) - np.bincount(other, change * new, size)
+        step = np.bincount(columns, error[rows], size) + RIDGE * w + np.bincount(term, change, size) - np.bincount(other, change * new, size) + 2 * strength * named * w
         sum_w += step * step
         sum_b += error.sum() ** 2
         w -= 0.5 * step / np.sqrt(sum_w)
@@ -96,13 +110,16 @@ def fit_weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, size:
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, strength: float = SWAPS) -> Model:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Rows that are held out, have no id, or no label 0 or 1, aren't used; an id
-    with several labels counts as toxic if one says so. Beyond ``max_rows`` ids
-    those with the smallest hash are taken. Without both classes all texts get
-    the share of the toxic ones as their score; without labels that is a half.
+    with several labels counts as toxic if one says so, and of several texts of an
+    id that with the smallest hash is taken, so that the sample has ``max_rows``
+    rows at most whatever repeats. Beyond ``max_rows`` ids those with the smallest
+    hash are taken. Without both classes all texts get the share of the toxic ones
+    as their score; without labels that is a half. ``strength`` weighs the
+    counterfactual loss.
     """
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -113,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 part = pdf.iloc[i : i + 256]
                 yield pd.DataFrame({"toxic": part["toxic"], "words": [words_of(t) for t in part["text"]]})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # chosen has max_rows rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has max_rows rows at most
+    sample = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     sample = staged(sample.mapInPandas(split, "toxic int, words array<string>").withColumn("row", F.monotonically_increasing_id()), "labelled")
     truth = sample.select("row", "toxic").orderBy("row").toArrow().to_pandas()
     n, n_toxic = len(truth), int(truth["toxic"].sum())
@@ -122,18 +140,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     expected = seen * (n_toxic / max(1, n))
     chi = (toxic - expected) ** 2 / (expected * max(1e-9, 1 - n_toxic / max(1, n)) * (1 - seen / F.lit(max(1, n))) + 1e-9)
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen"), F.sum("toxic").alias("toxic"))
-    best = counts.where(seen >= LEAST).withColumn("chi", chi).where(F.col("chi") >= SIGNIFICANT).orderBy(F.desc("chi"), "word").limit(MAX_WORDS)
-    kept = sorted({r.word for r in best.select("word").collect()} | set(identity))
+    best = counts.where(seen >= LEAST).withColumn("chi", chi).where(F.col("chi") >= SIGNIFICANT)
+    kept = sorted({r.word for r in best.select("word").collect()} | set(identity))  # some of the sample's words
     place = {w: i for i, w in enumerate(kept)}
     at = docs.sparkSession.createDataFrame(list(place.items()), "word string, at int")
     ones = sample.select("row", F.explode("words").alias("word")).join(F.broadcast(at), "word").select("row", "at").toArrow().sort_by([("row", "ascending"), ("at", "ascending")]).to_pandas()
     rows, columns = np.searchsorted(truth["row"].to_numpy(), ones["row"].to_numpy()), ones["at"].to_numpy(dtype=np.int64)
-    w, b = fit_weights(rows, columns, truth["toxic"].to_numpy(dtype=np.float64), len(kept), swaps(rows, columns, place))
-    return Model({word: float(x) for word, x in zip(kept, w, strict=True) if x}, b)
+    swapped, mentioned = swaps(rows, columns, place), mentions(rows, columns, n, place)
+    w, b = fit_weights(rows, columns, truth["toxic"].to_numpy(dtype=np.float64), len(kept), swapped, mentioned, strength)
+    return Model({word: float(x) for word, x in zip(kept, w, strict=True) if x}, b, len(swapped[0]), len(mentioned))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of every whole text; null and empty texts get the bias alone."""
+    """``docs`` with a score from 0 to 1 of every whole text, however long; null and empty texts get the bias alone."""
 
     @F.pandas_udf(T.DoubleType())
     def run(column: pd.Series) -> pd.Series:
