@@ -1,6 +1,9 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,3 +110,57 @@ def test_disclosing_terms_far_from_the_entity(spark):
         want = [i for i in range(len(text[r.doc_id])) if text[r.doc_id].startswith("Zaphod", i)]
         assert [t.start for t in r.terms] == want, r.doc_id
     assert all("Zaphod" not in r.text for r in P.sanitise(docs).collect())
+
+
+def brute_disclosing(texts, alpha, support):
+    """(term, entity) to ratio, by loops."""
+    every, meets, contexts, words_of = Counter(), Counter(), defaultdict(set), Counter()
+    for text in texts:
+        spans = brute(text)
+        every.update(w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w)
+        taken = {i for _, a, b in spans for i in range(a, b)}
+        free = [m[0].lower() for m in regex.finditer(r"[\p{L}\p{N}]+", text) if taken.isdisjoint(range(*m.span()))]
+        for entity, context in P.nearby(text, spans):
+            words_of[entity] += len(free)
+            for w in free:
+                meets[w, entity] += 1
+                contexts[w, entity].add(context)
+    n, out = sum(every.values()), {}
+    for (w, e), f in meets.items():
+        if len(contexts[w, e]) >= support:
+            ratio = math.log2(f * n / (every[w] * words_of[e])) / -math.log2(words_of[e] / n)
+            if ratio >= 1 / alpha:
+                out[w, e] = ratio
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text or "" for r in docs.collect()]
+    for alpha, support in ((4.0, 2), (P.ALPHA, P.SUPPORT)):
+        got = {(r.term, r.entity): r.ratio for r in P.disclosing(P.found_spans(docs), docs, alpha, support).collect()}
+        want = brute_disclosing(texts, alpha, support)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert len(want) > 0 or support > 2
+
+
+def test_classes_of_values():
+    assert P.entities("email", "Ann.Lee.88@mail.Example.org") == ["email:ann.lee.88@mail.example.org", "email:@mail.example.org", "email:ann@", "email:lee@"]
+    assert P.entities("ip", "010.2.3.4") == ["ip:010.2.3.4", "ip:10.2.*"] and P.entities("phone", "+1 (017) 555-7713") == ["phone:10175557713", "phone:1017*"]
+
+
+def test_terms_that_disclose_a_class(spark):
+    filler = "plain words go here and there with some more of them "
+    rows = [(i, f"{filler}k{i}a writes for Sirius k{i}b now: person{'abcdefgh'[i]}@megadodo.org k{i}c {filler}") for i in range(8)]
+    rows += [(100 + i, f"{filler} writes for now k{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in P.detect(docs).collect():  # no address recurs, their domain does
+        assert (len(r.terms) == 1 and "Sirius" == dict(rows)[r.doc_id][r.terms[0].start : r.terms[0].end]) if r.doc_id < 100 else not r.terms
+
+
+def test_a_very_long_text_with_many_entities(spark):
+    text = " ".join(f"person{i}@mail{i % 7}.org wrote from 10.0.{i % 250}.{i % 199} to everyone" for i in range(8000))
+    docs = spark.createDataFrame([(1, text), (2, "no one")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.detect(docs).collect()}
+    assert len(rows[1].spans) == 16_000 and not rows[2].spans
+    assert "@" not in {r.doc_id: r.text for r in P.sanitise(docs).collect()}[1]

@@ -1,8 +1,10 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Base spans are e-mail addresses, IP addresses, card and telephone numbers. Each
-value found is a protected entity. Words outside spans are counted in the
-documents that it stands in: with f(t) occurrences of term t, f(t, e) of them in
+value found is a protected entity, and so is each class that it belongs to, as most
+values stand in too few documents to count with: an address's domain and the names
+in its local part, a network, an area code, a card's issuer. Words outside spans
+are counted in the documents that an entity stands in: with f(t) occurrences of term t, f(t, e) of them in
 documents with entity e, f(e) words in those and n words in all,
 
     PMI(t, e) = log2(f(t, e) n / (f(t) f(e))),    IC(e) = -log2(f(e) / n).
@@ -32,6 +34,8 @@ WINDOW = 8  # words on either side of an entity that tell copies from different
 ALPHA = 1.25
 REMOVE = 0.95
 SUPPORT = 3
+NAME_LENGTH = 3  # letters of a name in the local part of an address, at least
+CLASS_DIGITS = {"card": 6, "phone": 4}  # leading digits that name an issuer, and a country with an area
 
 # Kinds in the order in which spans are listed, and their patterns.
 # The lookbehind of ip skips starts within a run of digits, where no match can begin
@@ -86,17 +90,29 @@ def word_pattern():
     return regex.compile(r"[\p{L}\p{N}]+")
 
 
+def entities(kind: str, value: str) -> list[str]:
+    """The protected entities of a span: its value, and the classes that it backs off to."""
+    if kind == "email":
+        local, domain = value.lower().rsplit("@", 1)
+        names = sorted({n for n in word_pattern().findall(local) if len(n) >= NAME_LENGTH and not n.isdigit()})
+        return [f"email:{value.lower()}", f"email:@{domain}", *[f"email:{n}@" for n in names]]
+    if kind == "ip":
+        return [f"ip:{value}", f"ip:{'.'.join(p.lstrip('0') or '0' for p in value.split('.')[:2])}.*"]
+    digits = digits_of(value)
+    return [f"{kind}:{digits}", f"{kind}:{digits[:CLASS_DIGITS[kind]]}*"]
+
+
 def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
-    """(entity, context) for each entity of a text; context is a hash of the words within WINDOW words of its places."""
+    """(entity, context) for each entity and class of a text; context is a hash of the words within WINDOW words of its places."""
     words = [m.span() for m in word_pattern().finditer(text)]
     starts, ends = [w[0] for w in words], [w[1] for w in words]
     near: dict[str, set[str]] = {}
     for kind, start, end in spans:
-        value = text[start:end]
-        entity = f"{kind}:{digits_of(value) if kind in ('card', 'phone') else value.lower()}"
         left, right = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
         at = (*range(max(0, left - WINDOW), left), *range(right, min(len(words), right + WINDOW)))
-        near.setdefault(entity, set()).add(" ".join(text[a:b] for a, b in (words[i] for i in at)))
+        context = " ".join(text[a:b] for a, b in (words[i] for i in at))
+        for entity in entities(kind, text[start:end]):
+            near.setdefault(entity, set()).add(context)
     return [(e, xxhash.xxh64_intdigest("\n".join(sorted(c)).encode("utf-8", "replace")) - (1 << 63)) for e, c in near.items()]
 
 
@@ -184,7 +200,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
     spans are base spans (kind, start, end), terms those of disclosing terms
     (start, end, ratio), both in order. A null or empty text has none; rows that
-    repeat a doc_id keep their own; an empty table gives no rows.
+    repeat a doc_id keep their own; a very long text is read as a whole; an empty
+    table gives no rows.
     """
     found = found_spans(docs)
     terms = term_spans(found, disclosing(found, docs), docs)
