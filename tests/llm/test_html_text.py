@@ -1,6 +1,8 @@
 import html
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import html_text as H
@@ -54,8 +56,6 @@ def test_pages(page, want):
 
 
 def test_tree_fits_its_table():
-    import numpy as np
-
     rows = np.array(H.LABELLED)
     assert (H.judge(rows[:, :-1]) == rows[:, -1]).mean() > 0.95
 
@@ -67,3 +67,61 @@ def test_long_and_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, 5), (1, f"<p>{LONG}", 6), (None, "", None)], "page_id long, html string, text int")
     assert sorted(r.text for r in H.extract(pages).collect()) == ["", "", LONG]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def neutral(page):
+    """The page without names, its landmarks as plain divs."""
+    page = re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_pages_without_names_and_landmarks(spark):
+    kept = right = wanted = 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        got, want = H.main_text(neutral(r.html or "")).split("\n"), brute(r.html or "").split("\n")
+        kept, wanted = kept + len(got), wanted + len(want)
+        right += sum((Counter(got) & Counter(want)).values())
+    assert right / kept > 0.95 and right / wanted > 0.95, (right / kept, right / wanted)
+
+
+def test_words_and_links_decide_many_blocks(spark):
+    """Of the test pages' blocks; no mark is asked on the way to their leaf."""
+    places, every = {name: i for i, name in enumerate(H.FEATURES)}, []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        every.append(H.features(H.text_blocks(r.html or "")))
+    unasked = 0
+    for row in np.concatenate(every):
+        node, asked = H.tree(), set()
+        while not isinstance(node, int):
+            asked.add(node[0])
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        unasked += places["mark"] not in asked and places["page_marked"] not in asked
+    assert unasked / sum(map(len, every)) > 0.2
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(H.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(H.tree())
+    assert {"words", "links", "words_before", "links_before", "words_after"} & used >= {"words", "links"} and len(used & {"words_before", "links_before", "words_after", "links_after"}) >= 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><article><p>{x}</p></article></div>",
+        "<div class='page-with-sidebar'><article class='post no-comments tag-privacy'><p>{x}</p></article><div class='sidebar'>{x}</div></div>",
+        "<form action=/go><div class=menu><a href=/>Home</a></div><article><p>{x}</p></article></form>",
+        "<article><p>{x}</p></article><section class=comments><article class=comment><p>{x}</p></article></section>",
+        "<main><p>{x}</p></main><div class=related-posts><article><p>{x}</p></article></div>",
+    ],
+)
+def test_articles_in_wrappers(page):
+    assert H.main_text(page.replace("{x}", LONG)) == LONG
+
+
+def test_short_last_paragraph_of_a_page_without_marks():
+    assert H.main_text(f"<h1>A title</h1><p>{LONG}</p><p>The end.</p><p>{LONG}</p><p>So it was.</p>") == f"A title\n{LONG}\nThe end.\n{LONG}\nSo it was."
