@@ -76,3 +76,29 @@ def test_small_tables(spark):
     assert O.neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
     odd = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3), -1.0, 2.0 + i, 0.1, 0.2, 0.3, float(i % 11)]) for i in range(200)], "vec_id long, embedding array<float>")
     assert O.neighbours(odd, F.col("vec_id") % 50 == 0).count() == 20
+
+
+def test_estimates_and_their_bound():
+    rng = np.random.default_rng(5)
+    for d in (9, 64, 100):
+        x = rng.standard_normal((2000, d)) + 0.3
+        turn, centre = O.rotation(d), O.units(x[:500]).mean(axis=0)
+        code, length, match, product = O.codes(x, centre, turn)
+        import pandas as pd
+
+        cell = O.Cell(pd.DataFrame({"vec_id": np.arange(2000), "vector": list(x), "code": [c.tobytes() for c in code], "length": length, "match": match, "centre": product}), centre, turn, O.BOUND)
+        assert cell.words.nbytes == 2000 * 8 * (-(-d // 64))
+        query = O.units(rng.standard_normal((1, d)) + 0.3)[0]
+        estimate, off = cell.estimate(query)
+        signs = np.where((O.units(x) - centre) @ turn >= 0, 1, -1) / np.sqrt(d)
+        plain = length / match * (signs @ ((query - centre) @ turn)) + product + query @ centre - centre @ centre
+        assert (np.abs(estimate - plain) <= off + 1e-12).all() and np.abs(estimate - plain).max() < 0.02
+        assert (np.abs(estimate - O.units(x) @ query) <= off).mean() > 0.97
+
+
+def test_doubles_stay_doubles_and_ties(spark):
+    near = [(i, [1.0, 1e-12 * (i % 3), 0.5]) for i in range(12)] + [(50 + i, [1.0, 0.25, float(i)]) for i in range(3)]
+    df = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    assert O.usable(df).schema["vector"].dataType.simpleString() == "array<double>"
+    got = O.neighbours(df, F.col("vec_id") % 50 == 0)
+    assert compare(got.collect(), brute(near)) == 1.0

@@ -8,24 +8,67 @@ from hypothesis import strategies as st
 from tidemark.llm import packing as K
 
 
-def brute_force(pieces, lengths, overhead):
-    """The same rules without any index: all policies, scanning all bins."""
+def brute_force(pieces, lengths, overhead, policies=None):
+    """The same rules without any index: all policies (None: by outlook), scanning all pieces and bins."""
+
+    def outlook(i, size):
+        held = pieces[i]
+        for p in pieces[i + 1 :]:
+            held += p if held + p <= size else 0
+        return (min(n for n in lengths if n >= held) + overhead) / max(1, held)
+
     best = None
-    for policy in (None, *sorted(lengths, reverse=True)):
+    for policy in (None, *sorted(lengths, reverse=True)) if policies is None else policies:
         bins = []
-        for p in pieces:
+        for i, p in enumerate(pieces):
             fits = [b for b in bins if b[0] - b[1] >= p and b[0] > b[1]]
             if fits:
                 min(fits, key=lambda b: b[0] - b[1])[1] += p
             else:
                 able = [n for n in sorted(lengths) if n >= p]
-                size = min((n for n in able if policy is None or n >= policy), key=(lambda n: ((n + overhead) / n, -n)) if policy is None else (lambda n: n))
+                size = min(able, key=lambda n: (outlook(i, n), -n)) if policy is None else min(n for n in able if n >= policy)
                 bins.append([size, p])
         total = sum(min(n for n in lengths if n >= used) + overhead for _, used in bins)
         best = total if best is None else min(best, total)
     return best
 
 
+def optimum(pieces, lengths, overhead):
+    """The least cost of all ways to divide the pieces."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(pieces):
+            best[0] = min(best[0], sum(min(n for n in lengths if n >= b) + overhead for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + pieces[i] <= max(lengths):
+                place(i + 1, [*bins[:k], bins[k] + pieces[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=6), st.sampled_from([(10, 25, 100), (100,), (50, 60, 100)]), st.sampled_from([0, 3, 40]))
+def test_cost_near_the_optimum(pieces, lengths, overhead):
+    pieces = sorted(pieces, reverse=True)
+    _, final = K.pack_block(pieces, lengths, overhead)
+    assert int(final.sum()) + overhead * len(final) <= 1.5 * optimum(pieces, lengths, overhead)
+
+
+def test_mixed_lengths_beat_any_one_length():
+    rng = np.random.default_rng(3)
+    pieces = sorted([*rng.integers(985, 1001, 300).tolist(), *rng.integers(840, 851, 300).tolist()], reverse=True)
+    where, opened = K.best_fit(pieces, [1000, 1700, 4000], None, K.OVERHEAD)
+    assert len(set(opened)) > 1
+    filled = np.bincount(where, pieces, len(opened))
+    lengths = np.array([1000, 1700, 4000])
+    joint = int((lengths[np.searchsorted(lengths, filled)] + K.OVERHEAD).sum())
+    assert joint < brute_force(pieces, (1000, 1700, 4000), K.OVERHEAD, policies=(4000, 1700, 1000))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=40), st.sampled_from([(10, 25, 100), (100,), (50, 60, 100)]), st.sampled_from([0, 3, 40]))
 def test_cost_like_brute_force(pieces, lengths, overhead):
@@ -34,7 +77,8 @@ def test_cost_like_brute_force(pieces, lengths, overhead):
     filled = np.bincount(where, pieces, len(final)) if pieces else np.zeros(0)
     assert len(where) == len(pieces) and (filled <= final).all()
     assert all(f == min(n for n in lengths if n >= x) for f, x in zip(final, filled, strict=True))
-    assert int(final.sum()) + overhead * len(final) == brute_force(pieces, lengths, overhead) or not pieces
+    total = int(final.sum()) + overhead * len(final)
+    assert total == brute_force(pieces, lengths, overhead) <= brute_force(pieces, lengths, overhead, policies=lengths) if pieces else not total
 
 
 def whole(rows, texts):

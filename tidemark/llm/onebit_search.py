@@ -9,6 +9,9 @@ s its signs / sqrt(d) and q a rotated query residual, <s, q> / <s, o> estimates
 
 but with a probability that falls as exp(-BOUND^2 / 2). Packed signs, <s, o>, the
 residual's length and its product with the centre are the index row of a vector.
+A query's components are rounded to PLANES bits, and <s, q> comes from the bits that
+the code has in common with each of the planes; what the rounding can add to the
+error is added to the bound.
 
 A query meets the rows in cells. In a cell the best estimates are scored exactly;
 the k-th of those scores is a threshold, and all rows whose estimate plus bound
@@ -34,9 +37,7 @@ SAMPLE = 4096  # vectors that the centre is the mean of, at most
 CELL_ROWS = 65536  # vectors that a task holds at once, at most about
 LEAST_CELLS, LEAST_ROWS = 24, 1024  # cells for small inputs, and rows that make another cell worthwhile
 FIRST = 32  # best estimates that are scored to find a threshold
-STEP = 256  # queries that are estimated together
-
-INDEX = "vec_id long, vector array<float>, code binary, length double, match double, centre double"
+PLANES = 8  # bits that a query's components are rounded to
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -50,6 +51,12 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def words_of(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, zeros added."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 def codes(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, residual lengths, <s, o> and <unit vector, centre> of each row."""
     own = units(vectors)
@@ -57,7 +64,7 @@ def codes(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np
     length = np.sqrt((rest * rest).sum(axis=1))
     turned = rest @ turn / np.where(length > 0, length, 1)[:, None]
     match = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(turned >= 0, axis=1), length, np.where(length > 0, match, 1.0), own @ centre
+    return words_of(turned >= 0), length, np.where(length > 0, match, 1.0), own @ centre
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -65,10 +72,12 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
     Without a part are null vectors, ids or components, components that aren't
     finite, zero vectors, and vectors of another length than most have (of equally
-    frequent lengths the longest counts).
+    frequent lengths the longest counts). Floats stay floats; other numbers count
+    as doubles.
     """
     v = F.col("vector")
-    cast = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    cast = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = cast.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)))
     sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
@@ -92,8 +101,10 @@ def build_index(vectors: DataFrame, copies: int, seed: int = SEED) -> Index:
     rank = F.row_number().over(Window.partitionBy(key, "vector").orderBy("vec_id"))
     kept = vectors.withColumn("copy", rank).where(F.col("copy") <= copies).select("vec_id", "vector")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
+    kind = vectors.schema["vector"].dataType.simpleString()
+    schema = f"vec_id long, vector {kind}, code binary, length double, match double, centre double"
     if not sample:
-        return Index(kept.sparkSession.createDataFrame([], INDEX), np.zeros(0))
+        return Index(kept.sparkSession.createDataFrame([], schema), np.zeros(0))
     centre = units(np.array([r.vector for r in sample], dtype=np.float64)).mean(axis=0)
     d = len(centre)
 
@@ -104,40 +115,54 @@ def build_index(vectors: DataFrame, copies: int, seed: int = SEED) -> Index:
                 code, length, match, product = codes(np.stack(pdf["vector"].to_numpy()).astype(np.float64), centre, turn)
                 yield pdf.assign(code=[c.tobytes() for c in code], length=length, match=match, centre=product)
 
-    return Index(staged(kept.mapInPandas(run, INDEX), "index"), centre)
+    return Index(staged(kept.mapInPandas(run, schema), "index"), centre)
 
 
 class Cell:
-    """Index rows of one cell, ready for queries."""
+    """Index rows of one cell, ready for queries: codes as words, vectors as they came."""
 
     def __init__(self, rows: pd.DataFrame, centre: np.ndarray, turn: np.ndarray, bound: float):
         d = len(centre)
         self.ids = rows["vec_id"].to_numpy(dtype=np.int64)
-        self.vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        packed = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        self.signs = (np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
+        self.vectors = np.stack(rows["vector"].to_numpy())
+        self.words = np.frombuffer(b"".join(rows["code"]), np.uint64).reshape(len(rows), -1).T.copy()
+        self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.int32)
         self.length, match, self.product = (rows[c].to_numpy(dtype=np.float64) for c in ("length", "match", "centre"))
         self.scale = self.length / match
         self.slack = self.length * np.sqrt(np.maximum(0.0, 1 - match**2)) / match * bound / np.sqrt(max(1, d - 1))
         self.centre, self.turn = centre, turn
 
+    def estimate(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines of a unit query with all rows, and how far they may be off."""
+        d = len(self.centre)
+        rest = query - self.centre
+        turned = rest @ self.turn
+        low = turned.min()
+        step = max((turned.max() - low) / (2**PLANES - 1), 1e-300)
+        level = np.rint((turned - low) / step).astype(np.uint8)
+        planes = words_of((level[None, :] >> np.arange(PLANES, dtype=np.uint8)[:, None]) & 1)
+        common = np.zeros(len(self.ids), np.int32)
+        for bit, plane in enumerate(planes):
+            for word, mask in zip(self.words, plane, strict=True):
+                common += np.bitwise_count(word & mask).astype(np.int32) << bit
+        rounded = low * d + step * float(level.sum())
+        product = (2 * (low * self.ones + step * common) - rounded) / np.sqrt(d)
+        size = np.sqrt((rest * rest).sum())
+        off = self.slack * size + np.abs(self.scale) * (step / 2 * np.sqrt(d))
+        return self.scale * product + self.product + (query @ self.centre - self.centre @ self.centre), off
+
     def nearest(self, queries: np.ndarray, k: int):
         """(row, position, score) of each query's k best rows here, of equal scores the smaller ids."""
         own = units(queries)
-        rest = own - self.centre
-        size = np.sqrt((rest * rest).sum(axis=1))
-        estimate = self.scale[:, None] * (self.signs @ (rest @ self.turn).T.astype(np.float32)) + self.product[:, None]
-        estimate += own @ self.centre - self.centre @ self.centre
         norms = np.sqrt((queries * queries).sum(axis=1))
         first = min(FIRST, len(self.ids))
         for i in range(len(queries)):
-            e = estimate[:, i]
+            e, off = self.estimate(own[i])
             at = np.argpartition(-e, first - 1)[:first]
             score = self.exact(at, queries[i], norms[i])
             if len(self.ids) > first:
                 threshold = np.sort(score)[-min(k, first)]
-                hopeful = e + self.slack * size[i] >= threshold - 1e-5
+                hopeful = e + off >= threshold - 1e-9
                 hopeful[at] = False
                 more = np.flatnonzero(hopeful)
                 at, score = np.append(at, more), np.append(score, self.exact(more, queries[i], norms[i]))
@@ -145,7 +170,8 @@ class Cell:
             yield i, self.ids[at[best]], score[best]
 
     def exact(self, at: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-        return (self.vectors[at] * query).sum(axis=1) / (self.norms[at] * norm)
+        rows = self.vectors[at].astype(np.float64)
+        return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * norm)
 
 
 def search(index: Index, queries: DataFrame, k: int, bound: float = BOUND, seed: int = SEED) -> DataFrame:
@@ -169,12 +195,10 @@ def search(index: Index, queries: DataFrame, k: int, bound: float = BOUND, seed:
                     continue
                 if cell is None and held:
                     cell, held = Cell(pd.concat(held), centre, turn, bound), []
-                for i in range(0, len(part) if cell else 0, STEP):
-                    some = part.iloc[i : i + STEP]
-                    names, out = some["vec_id"].to_numpy(), []
-                    for j, ids, score in cell.nearest(np.stack(some["vector"].to_numpy()).astype(np.float64), k):
-                        out.append(pd.DataFrame({"query": names[j], "vec_id": ids, "score": score}))
-                    yield pd.concat(out)
+                if cell:
+                    names = part["vec_id"].to_numpy()
+                    found = [(np.full(len(ids), names[j]), ids, score) for j, ids, score in cell.nearest(np.stack(part["vector"].to_numpy()).astype(np.float64), k)]
+                    yield pd.DataFrame(dict(zip(("query", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     found = met.mapInPandas(run, "query long, vec_id long, score double")
     return best_of(found, ["query"], k).select("query", "vec_id", "score")
@@ -190,8 +214,10 @@ def best_of(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 def neighbours(rows: DataFrame, is_query, k: int = NEAREST, bound: float = BOUND) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row that ``is_query`` selects.
 
-    Score is the cosine in double precision. Queries with equal vectors are
-    searched once. A query without any other usable row has no result; an empty
+    Score is the cosine in double precision of the vectors as they came. Rows with
+    a null id, an unusable vector, or one of another length than most, take no part
+    (see usable). Of equal scores the smaller vec_id is nearer. Queries with equal
+    vectors are searched once, and rows that repeat an id count once. A query without any other usable row has no result; an empty
     table gives no rows; columns but vec_id and embedding are ignored.
     """
     vectors = staged(usable(rows), "vectors")

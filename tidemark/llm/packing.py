@@ -3,11 +3,13 @@
 Texts are cut into pieces of at most the largest length. Pieces are dealt by hash,
 sorted longest first and packed in blocks of BLOCK pieces. A piece goes to the
 open bin with the least room that holds it; if there is none, a bin is opened.
-Which length to open is weighed jointly: a block is packed once for every policy
-(the cheapest length per unit of room, or one of the permitted lengths, larger
-where a piece needs it), every bin is then downsized to the cheapest length that
-holds its contents, and the packing with the least total cost stays. A length's
-cost is its room plus OVERHEAD, what a sequence costs whatever it holds.
+Which length to open is decided jointly, bin by bin: each permitted length is filled
+in thought with the largest of the pieces still to come that fit, downsized to that,
+and the length with the least cost per unit of content is opened. A block so has bins
+of several lengths. It is also packed with each one length throughout (a larger one
+where a piece needs it), every bin is downsized to the least length that holds its
+contents, and the packing with the least total cost stays. A length's cost is its
+room plus OVERHEAD, what a sequence costs whatever it holds.
 
 A block's size doesn't depend on the data's, so more data means more blocks; each
 leaves a few part-filled bins, well under one in a hundred.
@@ -27,6 +29,7 @@ from tidemark.llm.common import table
 LENGTHS = (1024, 2048, 4096, 8192, 16384)  # permitted, in code points
 OVERHEAD = 64
 BLOCK = 16384  # pieces that are packed together
+AHEAD = 64  # pieces that a length is filled with in thought, at most
 
 PACKED = "doc_id long, piece int, start long, length long, bin string, bin_length long, bin_offset long"
 
@@ -35,19 +38,30 @@ def cost(length: int, overhead: int = OVERHEAD) -> int:
     return length + overhead
 
 
-def opening(policy: int | None, piece: int, lengths: list[int], overhead: int) -> int:
-    """The length to open for a piece: the policy's, or else the cheapest per unit that holds it (of equals the longest)."""
-    if policy is not None:
-        return next(n for n in lengths if n >= max(policy, piece))
-    return min((n for n in lengths if n >= piece), key=lambda n: (cost(n, overhead) / n, -n))
+def outlook(sizes: list[int], at: int, length: int, lengths: list[int], overhead: int) -> float:
+    """Cost per unit of content of a bin opened with piece ``at``, were it filled with later pieces; sizes are negative and ascend."""
+    room, held = length + sizes[at], -sizes[at]
+    for _ in range(AHEAD):
+        at = bisect.bisect_left(sizes, -room, at + 1)  # the largest later piece that fits
+        if at == len(sizes) or not sizes[at]:
+            break
+        room, held = room + sizes[at], held - sizes[at]
+    return cost(lengths[bisect.bisect_left(lengths, held)], overhead) / max(1, held)
+
+
+def opening(policy: int | None, sizes: list[int], at: int, lengths: list[int], overhead: int) -> int:
+    """The length to open for piece ``at``: the policy's or the next that holds it; without one that with the best outlook, of equals the longest."""
+    able = lengths[bisect.bisect_left(lengths, max(policy or 0, -sizes[at])) :]
+    return able[0] if policy is not None else min(able, key=lambda n: (outlook(sizes, at, n, lengths, overhead), -n))
 
 
 def best_fit(pieces: list[int], lengths: list[int], policy: int | None, overhead: int) -> tuple[list[int], list[int]]:
     """The bin of each piece (given longest first) and the length each bin is opened with."""
     rooms: list[int] = []  # rooms of open bins, sorted, without repeats
     bins_by_room: dict[int, list[int]] = {}
+    sizes = [-p for p in pieces]
     opened, where = [], []
-    for piece in pieces:
+    for number, piece in enumerate(pieces):
         at = bisect.bisect_left(rooms, piece)
         if at < len(rooms):
             room = rooms[at]
@@ -56,7 +70,7 @@ def best_fit(pieces: list[int], lengths: list[int], policy: int | None, overhead
                 del bins_by_room[room], rooms[at]
         else:
             bin_ = len(opened)
-            room = opening(policy, piece, lengths, overhead)
+            room = opening(policy, sizes, number, lengths, overhead)
             opened.append(room)
         where.append(bin_)
         left = room - piece
@@ -95,8 +109,8 @@ def pack(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...]
     ``length`` is a document's length, code points of ``text`` by default. Pieces
     of one document follow each other in ``start`` and cover it. Documents of no
     length keep a row with an empty piece. Rows that repeat a doc_id are packed
-    each; an empty table gives no rows; other columns are ignored. Only ids and
-    lengths are shuffled.
+    each; an empty table gives no rows; other columns are ignored. Ties of length go
+    by doc_id and piece. Only ids and lengths are shuffled.
     """
     length = F.length("text") if length is None else length
     pieces = pieces_of(docs, length, max(lengths))
