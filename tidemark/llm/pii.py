@@ -22,13 +22,16 @@ import bisect
 import functools
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import staged, table
+from tidemark.llm.url_filter import semi_join
 
 WINDOW = 8  # words on either side of an entity that tell copies from different contexts
 ALPHA = 1.25
@@ -50,8 +53,7 @@ WORD = "[^\\p{L}\\p{N}]+"  # what separates words
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.LongType())])
-PLACE = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
+TOGETHER = 64  # texts whose words are held at once
 
 
 def luhn(digits: str) -> bool:
@@ -133,11 +135,6 @@ def free_words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(PLACE))
-def words_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(PLACE.names, w, strict=True)) for w in free_words(t)] if t else [] for t in text], dtype=object)
-
-
 @F.pandas_udf(T.StructType([T.StructField("spans", T.ArrayType(SPAN)), T.StructField("near", T.ArrayType(NEAR))]))
 def find_udf(text: pd.Series) -> pd.DataFrame:
     spans = [base_spans(t) if t else [] for t in text]
@@ -160,8 +157,18 @@ def holders(found: DataFrame) -> DataFrame:
 
 def places(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, term, start, end) of all words outside spans of the texts with the given digests, each text once."""
-    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(digests.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    return texts.select("digest", F.explode(words_udf("text")).alias("w")).select("digest", F.lower("w.term").alias("term"), "w.start", "w.end")
+
+    def run(batches):
+        for batch in batches:
+            digests, texts = batch.column("digest"), batch.column("text")
+            for i in range(0, len(texts), TOGETHER):
+                found = [free_words(t.as_py() or "") for t in texts[i : i + TOGETHER]]
+                rows = pa.array(np.repeat(digests[i : i + TOGETHER].to_numpy(), [len(f) for f in found]))
+                term, start, end = ([w[k] for f in found for w in f] for k in range(3))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["digest", "term", "start", "end"])
+
+    texts = semi_join(docs.select(F.xxhash64("text").alias("digest"), "text"), digests, "digest").dropDuplicates(["digest"])
+    return texts.mapInArrow(run, "digest long, term string, start int, end int").withColumn("term", F.lower("term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 from tidemark.llm.graph import components
-from tidemark.llm.url_filter import KEYS_A_BLOCK, bloom_filter, bloom_keys, possible
+from tidemark.llm.url_filter import semi_join
 
 BITS = 3  # fingerprints link at so many differing bits or fewer
 WORDS = 3  # words of a shingle
@@ -50,8 +50,7 @@ NEAR_BITS = 28  # differing bits of the first fingerprint word within which simi
 WIDE_BITS = 44  # and of both words together; at 0.8 about 19 of 128 are expected, 24 for sets of five, between unlike texts 64
 SKETCH = 1 << 18  # counters of shingles, by hash; a power of two
 TILE = 1024  # counters in a row of the sketch
-BLOOM_BLOCKS = 1 << 16  # of 64 bytes, at most, in the filter for texts of clusters
-CLUSTER_CHARS = 16 << 20  # characters of a cluster's texts in one of the parts that meet in a task
+CLUSTER_CHARS = 6 << 20  # characters of a cluster's texts in one of the parts that meet in a task
 
 
 def shingle_hashes(text: str | None, size: int = WORDS) -> list[int]:
@@ -320,8 +319,8 @@ def read_sets(docs: DataFrame) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
             key, fp, fp2 = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
+            for text in batch.column("text"):  # one text at a time
+                s = shingle_set(text.as_py())
                 key.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 fp.append(majority(s))
                 fp2.append(majority(remixed(s)))
@@ -373,9 +372,9 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            digests, texts = batch.column("digest").to_numpy(), batch.column("text").to_pylist()
+            digests, texts = batch.column("digest").to_numpy(), batch.column("text")
             for i in range(0, len(texts), 512):
-                found = [prefix(t, levels) for t in texts[i : i + 512]]
+                found = [prefix(t.as_py(), levels) for t in texts[i : i + 512]]
                 h = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(digests[i : i + 512], [len(f) for f in found]))], ["h", "digest"])
 
@@ -395,7 +394,7 @@ def block_links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, cell_rows:
     rows = staged(prefixes(docs, levels), "prefixes")
     shared = rows.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("h")
     named = sets.groupBy("digest").agg(F.min(F.struct("fp", "fp2")).alias("f")).select("digest", "f.fp", "f.fp2")
-    members = staged(rows.join(shared, "h", "left_semi").distinct().join(named, "digest").select("h", "fp", "fp2").distinct(), "members")
+    members = staged(semi_join(rows, shared, "h").distinct().join(named, "digest").select("h", "fp", "fp2").distinct(), "members")
     blocks = members.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp", "fp2")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "fp", "fp2")).alias("m2"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     once = staged(blocks.where("n > 1").groupBy("n", "m1", "m2").agg(F.min(F.struct("h", "a", "b")).alias("x")).select("n", "x.h", "x.a", "x.b"), "blocks")
     pairs = once.where("n = 2 and a < b").select("a", "b").distinct().where(differing("a", "b") <= NEAR_BITS)
@@ -432,13 +431,6 @@ def similar_links(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": keys[linked], "b": keys[label[linked]]})
 
 
-def of_digests(texts: DataFrame, digests: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with a digest in ``digests``, distinct; most others go at a bounded Bloom filter, before the join's shuffle."""
-    blocks = min(BLOOM_BLOCKS, max(1, -(-digests.count() // KEYS_A_BLOCK)))
-    words = F.broadcast(bloom_filter(digests, blocks, "digest"))  # BLOOM_BLOCKS rows of 72 bytes at most
-    return possible(bloom_keys(texts, blocks, "digest").join(words, "_block"), "_possible").where("_possible").drop("_possible").join(digests, "digest", "left_semi")
-
-
 def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFrame:
     """``docs(doc_id, text, ...)`` to (doc_id, digest, root), a row for each row; digest is the text's hash, root names its group.
 
@@ -456,7 +448,7 @@ def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFram
     named = keys.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", F.coalesce("root", "fp").alias("cluster"))
     several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     wanted = staged(named.join(several, "cluster"), "clusters")
-    texts = of_digests(docs.select(F.xxhash64("text").alias("digest"), "text"), wanted.select("digest").distinct()).dropDuplicates(["digest"])
+    texts = semi_join(docs.select(F.xxhash64("text").alias("digest"), "text"), wanted.select("digest"), "digest").dropDuplicates(["digest"])
     members = staged(wanted.join(texts, "digest").select("cluster", "key", "text"), "members")
     parts = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("text")) / F.lit(part_chars)).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
