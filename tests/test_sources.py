@@ -120,6 +120,32 @@ def test_incremental_stage(spark, tmp_path):
     assert run()[1] == []
 
 
+def test_incremental_stage_with_odd_names_and_compaction(spark, tmp_path):
+    root, home = f"{tmp_path}/my proj [1]", f"{tmp_path}/a stage"
+    stage.refresh(spark, home, [root], logs.turn_records)
+    empty = stage.load(spark, home)
+    assert empty.count() == 0 and {"file_path", "dedup_key", "output"} <= set(empty.columns)
+    names = ["a b/x y", "100%/z", "c[d]/{e}", "f*g/ü+h", "plain/q?"]
+    for i, n in enumerate(names):
+        write(f"{root}/{n}.jsonl", [turn(f"t{i}")])
+
+    def run():
+        counts = {r.state: r.files for r in stage.refresh(spark, home, [root], logs.turn_records).collect()}
+        return counts, sorted(r.dedup_key for r in stage.load(spark, home).collect())
+
+    every = [f"t{i}:r1" for i in range(5)]
+    assert run() == ({"new": 5}, every)
+    write(f"{root}/{names[2]}.jsonl", [turn("t2"), turn("t9")])
+    assert run() == ({"unchanged": 4, "changed": 1}, [*every, "t9:r1"])
+    os.remove(f"{root}/{names[0]}.jsonl")
+    assert run() == ({"unchanged": 4, "removed": 1}, [*every[1:], "t9:r1"])
+    assert stage.compact(spark, home) == 3
+    assert sorted(os.listdir(f"{home}/v1/records")) == sorted(os.listdir(f"{home}/v1/manifest")) and len(os.listdir(f"{home}/v1/records")) == 1
+    assert sorted(r.dedup_key for r in stage.load(spark, home).collect()) == [*every[1:], "t9:r1"]
+    assert run() == ({"unchanged": 4}, [*every[1:], "t9:r1"])
+    assert stage.compact(spark, f"{tmp_path}/none") == 0 and stage.load(spark, f"{tmp_path}/none").columns == ["file_path"]
+
+
 def test_now():
     from datetime import UTC, datetime
 

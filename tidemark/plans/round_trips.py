@@ -81,6 +81,17 @@ def price_files(spark, d):
     return prices.flat_prices(docs).select("model", "input", "output")
 
 
+@query("select 'm' || p_partkey as model, cast(p_size as double) / 1e6 as input, case when p_partkey % 2 = 0 then p_retailprice / 1e6 else 0 end as output from part where p_partkey % 3 > 0 and p_brand in ('Brand#1', 'Brand#2')")
+def nested_price_files(spark, d):
+    """Parts as models of their brand's provider, a document for each brand and size; two providers are asked for."""
+    part, odd = table(spark, d, "part"), F.col("p_partkey") % 3 == 0
+    cost = F.struct(F.when(~odd, F.col("p_size").cast("double")).alias("input"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("output"))
+    pairs = part.select("p_brand", "p_size", F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), F.to_json(F.struct(cost.alias("cost")))).alias("pair"))
+    models = pairs.groupBy("p_brand", "p_size").agg(F.array_join(F.collect_list("pair"), ",").alias("models"))
+    docs = models.select(F.concat(F.lit('{"'), "p_brand", F.lit('":{"models":{'), "models", F.lit("}}}")).alias("doc"))
+    return prices.nested_prices(docs, ["Brand#1", "Brand#2"]).select("model", "input", "output")
+
+
 @query(f"with {USAGE_SQL} select user_id % {SESSIONS} as session, cast(count(*) as bigint) as n, cast(sum(output) as bigint) as output from usage where user_id % {SESSIONS} <> 3 group by 1")
 def incremental_stage(spark, d):
     """A first scan of half the sessions, then one of all but one: only new and changed files are parsed."""

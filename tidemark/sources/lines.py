@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE = "file_path string, block long, line_no long, value string"
 
 
+def literal(path: str) -> str:
+    """A path whose signs of patterns stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def existing(spark: SparkSession, roots: list[str]) -> list[str]:
-    """Distinct roots that are there; any file system that Spark knows."""
+    """Distinct roots that are there; any file system that Spark knows. Needs a classic session, not Spark Connect."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = ((r, jvm.org.apache.hadoop.fs.Path(r)) for r in dict.fromkeys(r.rstrip("/") for r in roots))
     return [r for r, p in paths if p.getFileSystem(conf).exists(p)]
@@ -34,7 +41,7 @@ def from_paths(spark: SparkSession, paths: list[str], pattern: str | None = None
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.text(paths)
+    rows = reader.text([literal(p) for p in paths])
     lines = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
     return lines.where(F.length("value") > 0)
 
