@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import staged, table
 
 SAMPLES = 32
-PART_CHARS = 4_000_000  # characters of text in a partition, about
+PART_CHARS, MAX_PARTS = 4_000_000, 20_000  # characters of text in a partition, about, and partitions at most: beyond, tasks spill
 SPACE = "[\\x20\\x09-\\x0D]+"
 NO_ID = -(2**63)  # stands for a null doc_id: below all others
 
@@ -95,7 +95,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2)
     sizes = staged(rows.groupBy("key").agg(F.max(half).cast("int").alias("need"), F.sum(F.length("text").cast("long")).alias("chars")), "sizes")
     total = sizes.agg(F.sum("chars")).first()[0] or 0
-    parts = max(1, -(-total // PART_CHARS))
+    parts = min(MAX_PARTS, max(1, -(-total // PART_CHARS)))
     order = staged(next_keys(sizes.select("key", "need")), "order")
     dealt = rows.repartition(parts, "key")
     numbered = dealt.withColumn("row", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"))))
