@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -155,20 +156,25 @@ def holders(found: DataFrame) -> DataFrame:
     return near.groupBy("digest", "entity", "context").agg(F.count("*").alias("copies"))
 
 
-def places(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """(digest, term, start, end) of all words outside spans of the texts with the given digests, each text once."""
+def words_outside(docs: DataFrame, digests: DataFrame, counted: bool = False) -> DataFrame:
+    """(digest, term, start, end) of all words outside spans of the texts with the given digests, each text once; or (digest, term, n), counted in the text."""
 
     def run(batches):
         for batch in batches:
             digests, texts = batch.column("digest"), batch.column("text")
             for i in range(0, len(texts), TOGETHER):
                 found = [free_words(t.as_py() or "") for t in texts[i : i + TOGETHER]]
+                if counted:
+                    found = [list(Counter(w[0] for w in f).items()) for f in found]
                 rows = pa.array(np.repeat(digests[i : i + TOGETHER].to_numpy(), [len(f) for f in found]))
-                term, start, end = ([w[k] for f in found for w in f] for k in range(3))
-                yield pa.RecordBatch.from_arrays([rows, pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["digest", "term", "start", "end"])
+                columns = [pa.array([w[k] for f in found for w in f], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([rows, *columns], names)
 
+    kinds = [pa.string(), pa.int64()] if counted else [pa.string(), pa.int32(), pa.int32()]
+    names = ["digest", "term", "n"] if counted else ["digest", "term", "start", "end"]
     texts = semi_join(docs.select(F.xxhash64("text").alias("digest"), "text"), digests, "digest").dropDuplicates(["digest"])
-    return texts.mapInArrow(run, "digest long, term string, start int, end int").withColumn("term", F.lower("term"))
+    schema = "digest long, term string, n long" if counted else "digest long, term string, start int, end int"
+    return texts.mapInArrow(run, schema).withColumn("term", F.lower("term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
@@ -176,7 +182,7 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support:
     held = staged(holders(found), "holders")
     often = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support).select("entity")
     held = staged(held.join(often, "entity"), "held")  # other entities have too few contexts for any term
-    counted = places(docs, held).groupBy("digest", "term").agg(F.count("*").alias("n"))
+    counted = words_outside(docs, held, counted=True)
     contexts = held.join(counted, "digest").groupBy("term", "entity", "context").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
     pairs = staged(contexts.groupBy("term", "entity").agg(F.sum("n").alias("f_te"), F.count("*").alias("contexts")), "pairs")
     entities = pairs.groupBy("entity").agg(F.sum("f_te").alias("f_e"))
@@ -193,7 +199,7 @@ def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support:
 def term_spans(found: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest, terms): each text's spans (start, end, ratio) of terms that disclose an entity in it, in order; texts without any are absent."""
     rated = staged(holders(found).join(terms, "entity").groupBy("digest", "term").agg(F.max("ratio").alias("ratio")), "rated")
-    hits = places(docs, rated).join(rated, ["digest", "term"])
+    hits = words_outside(docs, rated).join(rated, ["digest", "term"])
     return hits.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
 
 
