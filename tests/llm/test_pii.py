@@ -137,8 +137,8 @@ def brute_disclosing(texts, alpha, support):
 def test_disclosing_terms_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [r.text or "" for r in docs.collect()]
-    for alpha, support in ((4.0, 2), (P.ALPHA, P.SUPPORT)):
-        got = {(r.term, r.entity): r.ratio for r in P.disclosing(P.found_spans(docs), docs, alpha, support).collect()}
+    for alpha, support, few in ((4.0, 2, P.FEW), (4.0, 2, 3), (P.ALPHA, P.SUPPORT, P.FEW)):  # few = 3: entities of both kinds
+        got = {(r.term, r.entity): r.ratio for r in P.disclosing(P.found_spans(docs), docs, alpha, support, few).collect()}
         want = brute_disclosing(texts, alpha, support)
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         assert len(want) > 0 or support > 2

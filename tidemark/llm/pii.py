@@ -22,8 +22,9 @@ import bisect
 import functools
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import staged, table
-from tidemark.llm.url_filter import semi_join
+from tidemark.llm.url_filter import marked
 
 WINDOW = 8  # words on either side of an entity that tell copies from different contexts
 ALPHA = 1.25
 REMOVE = 0.95
 SUPPORT = 3
+FEW = 100_000  # texts with an entity whose pairs need no sums by context before their shuffle
 NAME_LENGTH = 3  # letters of a name in the local part of an address, at least
 CLASS_DIGITS = {"card": 6, "phone": 4}  # leading digits that name an issuer, and a country with an area
 
@@ -54,6 +56,8 @@ WORD = "[^\\p{L}\\p{N}]+"  # what separates words
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.LongType())])
+COUNTED = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+PLACED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
 TOGETHER = 64  # texts whose words are held at once
 
 
@@ -156,51 +160,84 @@ def holders(found: DataFrame) -> DataFrame:
     return near.groupBy("digest", "entity", "context").agg(F.count("*").alias("copies"))
 
 
-def words_outside(docs: DataFrame, digests: DataFrame, counted: bool = False) -> DataFrame:
-    """(digest, term, start, end) of all words outside spans of the texts with the given digests, each text once; or (digest, term, n), counted in the text."""
+def texts_with(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(digest, text, items) of the texts that ``items(digest, items)`` has a row for, each text once.
+
+    Copies of a text become one before the shuffle, and texts that aren't wanted hardly reach it.
+    """
+    texts = marked(docs.select(F.xxhash64("text").alias("digest"), "text"), items.select("digest"), "digest").where("_possible")
+    return texts.select("digest", "text").dropDuplicates(["digest"]).join(items, "digest")
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, text, items) to (items, words): the words outside spans with their counts, and their number as that of the empty word."""
+    for batch in batches:
+        for part in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
+            words = [Counter(w[0].lower() for w in free_words(t.as_py() or "")) for t in part.column("text")]
+            made = pa.array([[{"term": "", "n": c.total()}, *({"term": w, "n": n} for w, n in c.items())] for c in words], COUNTED)
+            yield pa.RecordBatch.from_arrays([part.column("items"), made], ["items", "words"])
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, text, items) to (digest, terms): the places of the text's words that its items (term, ratio) name."""
+    for batch in batches:
+        for part in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
+            ratios = [{x["term"]: x["ratio"] for x in items.as_py()} for items in part.column("items")]
+            terms = [[{"start": a, "end": b, "ratio": r[low]} for w, a, b in free_words(t.as_py() or "") if (low := w.lower()) in r] for t, r in zip(part.column("text"), ratios, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(terms, PLACED)], ["digest", "terms"])
 
-    def run(batches):
-        for batch in batches:
-            digests, texts = batch.column("digest"), batch.column("text")
-            for i in range(0, len(texts), TOGETHER):
-                found = [free_words(t.as_py() or "") for t in texts[i : i + TOGETHER]]
-                if counted:
-                    found = [list(Counter(w[0] for w in f).items()) for f in found]
-                rows = pa.array(np.repeat(digests[i : i + TOGETHER].to_numpy(), [len(f) for f in found]))
-                columns = [pa.array([w[k] for f in found for w in f], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([rows, *columns], names)
 
-    kinds = [pa.string(), pa.int64()] if counted else [pa.string(), pa.int32(), pa.int32()]
-    names = ["digest", "term", "n"] if counted else ["digest", "term", "start", "end"]
-    texts = semi_join(docs.select(F.xxhash64("text").alias("digest"), "text"), digests, "digest").dropDuplicates(["digest"])
-    schema = "digest long, term string, n long" if counted else "digest long, term string, start int, end int"
-    return texts.mapInArrow(run, schema).withColumn("term", F.lower("term"))
+def word_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term_hash, f_t): occurrences of words in all texts, exact for those of ``terms(term_hash)``; most others share the null row."""
+    wanted = staged(terms.select("term_hash").distinct(), "terms")
+    words = docs.select(F.explode(F.split(F.lower("text"), WORD)).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("term_hash"))
+    known = marked(words, wanted, "term_hash").select(F.when(F.col("_possible"), F.col("term_hash")).alias("term_hash"))
+    return staged(known.groupBy("term_hash").agg(F.count("*").alias("f_t")), "words")
+
+
+def met(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(term, entity, context, n): the words of the texts of ``items(digest, items)`` with each of their entities, n with the texts' copies."""
+    schema = f"items {items.schema['items'].dataType.simpleString()}, words array<struct<term:string,n:long>>"
+    words = texts_with(docs, items).mapInArrow(counted, schema)
+    rows = words.select("items", F.inline("words")).select("term", "n", F.inline("items"))
+    return rows.select("term", "entity", "context", (F.col("n") * F.col("copies")).alias("n"))
+
+
+def pairs_of(docs: DataFrame, held: DataFrame, support: int, few: int = FEW) -> DataFrame:
+    """(term, entity, f_te) of terms and entities that meet in ``support`` contexts; the empty term has the entity's f_e.
+
+    ``held(digest, entity, context, copies, texts)`` has the number of texts with the entity. With at most
+    ``few`` texts, so few rows a pair, pairs are shuffled once; with more they are first summed up by context.
+    """
+    item = F.struct("entity", "context", "copies")
+    kinds = [staged(held.where(kind).groupBy("digest").agg(F.collect_list(item).alias("items")), "held") for kind in (F.col("texts") <= few, F.col("texts") > few)]
+    rows = [met(docs, kinds[0]).repartition("term", "entity")]
+    if not kinds[1].isEmpty():
+        rows.append(met(docs, kinds[1]))
+    parts = [r.groupBy("term", "entity", "context").agg(F.sum("n").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("f_te"), F.count("*").alias("contexts")) for r in rows]
+    return staged(reduce(DataFrame.unionByName, parts).where(F.col("contexts") >= support).drop("contexts"), "pairs")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, few: int = FEW) -> DataFrame:
     """(term, entity, ratio) of disclosing terms, ratio = PMI / IC."""
     held = staged(holders(found), "holders")
-    often = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support).select("entity")
-    held = staged(held.join(often, "entity"), "held")  # other entities have too few contexts for any term
-    counted = words_outside(docs, held, counted=True)
-    contexts = held.join(counted, "digest").groupBy("term", "entity", "context").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
-    pairs = staged(contexts.groupBy("term", "entity").agg(F.sum("n").alias("f_te"), F.count("*").alias("contexts")), "pairs")
-    entities = pairs.groupBy("entity").agg(F.sum("f_te").alias("f_e"))
-    words = docs.select(F.explode(F.split(F.lower("text"), WORD)).alias("word")).where("word <> ''")
-    counts = staged(words.groupBy(F.xxhash64("word").alias("term_hash")).agg(F.count("*").alias("f_t")), "words")
+    often = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.count("*").alias("texts")).where(F.col("contexts") >= support)
+    pairs = pairs_of(docs, held.join(often.select("entity", "texts"), "entity"), support, few)  # other entities have too few contexts for any term
+    entities = pairs.where("term = ''").select("entity", F.col("f_te").alias("f_e"))
+    candidates = pairs.where("term <> ''").withColumn("term_hash", F.xxhash64("term"))
+    counts = word_counts(docs, candidates)
     total = counts.agg(F.sum("f_t")).first()[0] or 0
     n, f_te, f_e = F.lit(float(total)), F.col("f_te"), F.col("f_e")
-    candidates = pairs.where(F.col("contexts") >= support).withColumn("term_hash", F.xxhash64("term"))
-    rated = candidates.join(entities, "entity").join(counts, "term_hash").withColumn("f_t", F.greatest("f_t", "f_te"))
+    rated = candidates.join(entities, "entity").join(counts, "term_hash", "left").withColumn("f_t", F.greatest("f_t", "f_te"))
     ratio = F.log2(f_te * n / (F.col("f_t") * f_e)) / -F.log2(f_e / n)
     return rated.where(f_e < n).withColumn("ratio", ratio).where(F.col("ratio") >= 1 / alpha).select("term", "entity", "ratio")
 
 
 def term_spans(found: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest, terms): each text's spans (start, end, ratio) of terms that disclose an entity in it, in order; texts without any are absent."""
-    rated = staged(holders(found).join(terms, "entity").groupBy("digest", "term").agg(F.max("ratio").alias("ratio")), "rated")
-    hits = words_outside(docs, rated).join(rated, ["digest", "term"])
-    return hits.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
+    rated = holders(found).join(terms, "entity").groupBy("digest", "term").agg(F.max("ratio").alias("ratio"))
+    of_text = staged(rated.groupBy("digest").agg(F.collect_list(F.struct("term", "ratio")).alias("items")), "rated")
+    return texts_with(docs, of_text).mapInArrow(placed, "digest long, terms array<struct<start:int,end:int,ratio:double>>")
 
 
 def id_key() -> Column:

@@ -78,12 +78,17 @@ def possible(keyed: DataFrame, name: str) -> DataFrame:
     return keyed.withColumn(name, every).drop("_block", *[f"_{x}{i}" for x in ("bit", "word") for i in range(8)])
 
 
+def marked(rows: DataFrame, wanted: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """``rows`` with _possible: whether the key may be among ``wanted``, which is read twice. A Bloom filter of bounded size tells; it never misses a key."""
+    blocks = min(max_blocks, max(1, -(-wanted.count() // KEYS_A_BLOCK)))
+    words = F.broadcast(bloom_filter(wanted, blocks, key))  # max_blocks rows of 72 bytes at most
+    return possible(bloom_keys(rows, blocks, key).join(words, "_block", "left"), "_possible")
+
+
 def semi_join(rows: DataFrame, keys: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows whose ``key`` is in ``keys``, exactly; a Bloom filter of bounded size takes most others out before the join's shuffle."""
     wanted = staged(keys.select(key).distinct(), "keys")
-    blocks = min(max_blocks, max(1, -(-wanted.count() // KEYS_A_BLOCK)))
-    words = F.broadcast(bloom_filter(wanted, blocks, key))  # max_blocks rows of 72 bytes at most
-    return possible(bloom_keys(rows, blocks, key).join(words, "_block"), "_possible").where("_possible").drop("_possible").join(wanted, key, "left_semi")
+    return marked(rows, wanted, key, max_blocks).where("_possible").drop("_possible").join(wanted, key, "left_semi")
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
