@@ -31,13 +31,17 @@ def test_rates_over_files(spark, tmp_path):
 
 def test_keep_max_sink(spark, tmp_path):
     folder = f"file://{tmp_path}/best"
-    merge = dedup.keep_max_sink(folder, buckets=4)
+    merge = dedup.keep_max_sink(folder)
     batches = [[("k", 5, "a", 1), (None, 7, "a", 2)], [("k", 9, "a", 3), ("j", 1, "a", 4)], [("k", 2, "a", 5)]]
     for epoch, rows in enumerate(batches):
         for _ in range(2 if epoch == 1 else 1):  # a batch that is repeated
             merge(spark.createDataFrame(rows, USAGE), epoch)
-    best = dedup.best_rows(spark, folder)
-    assert sorted(((r.dedup_key, r.output) for r in best.collect()), key=str) == [("j", 1), ("k", 9), (None, 7)]
+    assert dedup.best_rows(spark, f"{folder}-none") is None
+    for dropped in (None, 1, 0):
+        if dropped is not None:
+            assert dedup.compact(spark, folder) == dropped
+        best = dedup.best_rows(spark, folder)
+        assert sorted(((r.dedup_key, r.output) for r in best.collect()), key=str) == [("j", 1), ("k", 9), (None, 7)]
 
 
 def test_session_stream(spark, tmp_path):

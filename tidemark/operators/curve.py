@@ -71,7 +71,8 @@ def curve(minutes: DataFrame, now: Now, keys: list[str] | None = None) -> DataFr
     """(keys, series, id, hour, tokens) of the series today, typical and predicted; numbers are cut to whole tokens.
 
     Lines end exactly: today at now, the others at id 1440 (hour 24) with the whole
-    day's figure. The predicted line begins at now.
+    day's figure. The predicted line begins at now. A sample point gives its rows of
+    all series at once, so the joins and windows before are run once.
     """
     keys = keys or []
     parts = curve_parts(minutes, now, keys)
@@ -79,18 +80,21 @@ def curve(minutes: DataFrame, now: Now, keys: list[str] | None = None) -> DataFr
     whole, last = F.col("id") <= 1435, F.col("id") == 1439
     share = F.col("projected") * F.col("share")
 
-    def points(series: str, where: Column, tokens: Column, id_: Column | None = None) -> DataFrame:
+    def point(series: str, where: Column, tokens: Column, id_: Column | None = None) -> Column:
         id_ = F.col("id") if id_ is None else id_
-        return parts.where(where).select(*keys, F.lit(series).alias("series"), id_.cast("int").alias("id"), (id_ / 60.0).alias("hour"), tokens.cast("long").alias("tokens"))
+        return F.when(where, F.struct(F.lit(series).alias("series"), id_.cast("int").alias("id"), (id_ / 60.0).alias("hour"), tokens.cast("long").alias("tokens")))
 
     some, forecast = F.col("typical_cum").isNotNull(), F.col("projected").isNotNull()
-    out = points("today", (F.col("id") <= m) & (step | (F.col("id") == m)), F.col("cum"))
-    out = out.unionByName(points("typical", some & step & whole, F.col("typical_cum")))
-    out = out.unionByName(points("typical", some & last, F.col("typical_cum"), F.lit(1440)))
-    out = out.unionByName(points("predicted", forecast & step & whole & (F.col("id") >= m), share))
+    made = [
+        point("today", (F.col("id") <= m) & (step | (F.col("id") == m)), F.col("cum")),
+        point("typical", some & step & whole, F.col("typical_cum")),
+        point("typical", some & last, F.col("typical_cum"), F.lit(1440)),
+        point("predicted", forecast & step & whole & (F.col("id") >= m), share),
+        point("predicted", forecast & last, F.col("projected"), F.lit(1440)),
+    ]
     if m % STEP:
-        out = out.unionByName(points("predicted", forecast & (F.col("id") == m), F.col("now_cum")))
-    return out.unionByName(points("predicted", forecast & last, F.col("projected"), F.lit(1440)))
+        made.append(point("predicted", forecast & (F.col("id") == m), F.col("now_cum")))
+    return parts.select(*keys, F.inline(F.array_compact(F.array(*made))))
 
 
 def projection(minutes: DataFrame, now: Now, keys: list[str] | None = None) -> DataFrame:

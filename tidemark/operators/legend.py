@@ -40,9 +40,10 @@ def bands(points: DataFrame, ids: list[str]) -> DataFrame:
 def dense_by_model(values: DataFrame, point: str, keys: list[str] | None = None) -> DataFrame:
     """``values(keys, point, model, tokens)`` with a row for every point and model of a key, 0 where there was none."""
     keys = keys or []
-    models = F.collect_set("model").over(Window.partitionBy(*keys))  # over points and models, a few hundred rows a key
-    every = values.select(*keys, point, models.alias("_models"))
-    points = every.select(*keys, point, F.explode("_models").alias("model")).distinct()
+    models = values.groupBy(*keys).agg(F.collect_set("model").alias("_models"))  # a key has a few dozen models
+    every = values.select(*keys, point).distinct()
+    every = every.join(models, keys) if keys else every.join(F.broadcast(models))  # without keys one row
+    points = every.select(*keys, point, F.explode("_models").alias("model"))
     return points.join(values, [*keys, point, "model"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
 
 

@@ -308,20 +308,20 @@ def recent_days_today_missing(spark, d):
 # --- the intraday curve
 
 
-def curve_sql(keys: str = "") -> str:
+def curve_sql(keys: str = "", minute: int = MINUTE) -> str:
     """Dense form of the curve, with the parts of all series in ``parts``."""
     k, on, by = (f"{keys}, ", f"{keys}, ", f"partition by {keys} ") if keys else ("", "", "")
     every = f"(select distinct {keys} from mt)" if keys else "(select 1 as one)"
     using = f"{keys}, id" if keys else "id"
     return f"""{USAGE_SQL}, mt as (select {k}day, minute, sum({TOTAL}) as tokens from usage where day <= '{TODAY}' group by {k}day, minute),
-points as (select distinct cast(i as int) as id from (select unnest(range(0, 1440, 5)) as i union all select {MINUTE} union all select 1439)),
+points as (select distinct cast(i as int) as id from (select unnest(range(0, 1440, 5)) as i union all select {minute} union all select 1439)),
 dt as (select {k}day, sum(tokens) as day_total from mt group by {k}day),
 c as (select {k}dt.day, id, any_value(day_total) as day_total, coalesce(sum(mt.tokens), 0) as cum from dt cross join points left join mt on mt.day = dt.day and mt.minute <= id{f' and mt.{keys} = dt.{keys}' if keys else ''} group by {f'dt.{keys}, ' if keys else ''}dt.day, id),
 ty as (select {k}id, list_reduce(list(cast(cum as double) order by day), lambda a, b: a + b) / count(*) as typical_cum, list_reduce(list(cast(cum as double) / cast(day_total as double) order by day), lambda a, b: a + b) / count(*) as share, count(*) as prior_days
   from c where day < '{TODAY}' and day_total > 0 group by {k}id),
 td as (select {k}id, cum from c where day = '{TODAY}'),
 j as (select {k}id, coalesce(cum, 0) as cum, typical_cum, share, prior_days from (select * from {every} cross join points) left join ty using ({using}) left join td using ({using})),
-w as (select *, max(case when id = {MINUTE} then cum end) over ({by}) as now_cum, max(case when id = {MINUTE} then share end) over ({by}) as now_share from j),
+w as (select *, max(case when id = {minute} then cum end) over ({by}) as now_cum, max(case when id = {minute} then share end) over ({by}) as now_share from j),
 parts as (select *, case when now_share >= 0.05 and now_cum > 0 then now_cum / now_share end as projected from w)""".replace(f"select {k}dt.day", f"select {f'dt.{keys}, ' if keys else ''}dt.day")
 
 
@@ -344,6 +344,18 @@ def curve_predicted(spark, d):
     return curve.curve(minutes(spark, d), NOW).where("series = 'predicted'").drop("series")
 
 
+ODD = Now(TODAY, 872)  # no sample point's minute
+
+
+@query(f"""with {curve_sql(minute=ODD.minute)}, s as (select 'today' as series, id, cum as v from parts where id <= {ODD.minute}
+union all select 'typical', id, typical_cum from parts where id % 5 = 0 and id <= 1435 union all select 'typical', 1440, typical_cum from parts where id = 1439
+union all select 'predicted', id, case when id = {ODD.minute} then now_cum else projected * share end from parts where projected is not null and (id % 5 = 0 or id = {ODD.minute}) and id between {ODD.minute} and 1435
+union all select 'predicted', 1440, projected from parts where id = 1439)
+select series, id, id / 60.0::double as hour, cast(trunc(v) as bigint) as tokens from s where v is not null""")
+def curve_odd_minute(spark, d):
+    return curve.curve(minutes(spark, d), ODD)
+
+
 @query(f"with {curve_sql()} select (select count(distinct day) - 1 from usage) as prior_days, cast(now_cum as bigint) as today_tokens, cast(trunc(typical_cum) as bigint) as typical_total, coalesce(cast(cast(trunc(projected) as bigint) as varchar), 'n/a') as projection from parts where id = 1439")
 def curve_summary(spark, d):
     rows = minutes(spark, d)
@@ -402,6 +414,14 @@ def headline_text(spark, d):
     return board(spark, d).select("day", "headline")
 
 
+@query(f"""with {BOARD_SQL}, shown as (select day, day = '{TODAY}' as is_today, total_tokens, total_cost * pt / case when total_tokens > 0 then total_tokens end as cost, avg_tokens, pt,
+  (pt - avg_tokens)::double / case when avg_tokens > 0 then avg_tokens end * 100 as percent from h, a, f)
+select day, case when not is_today then 'Showing ' || day when pt is null or total_tokens <= 0 then 'Projected — warming up'
+  else 'Projected ~' || {short_sql('pt')} || ' · ~' || printf('$%.2f', cost) || coalesce('   vs 7d ' || case when percent >= 0 then '▲ ' else '▼ ' end || cast(cast(round_even(abs(percent), 0) as bigint) as varchar) || '%', '') end as subtitle from shown""")
+def subtitle_text(spark, d):
+    return board(spark, d).select("day", "subtitle")
+
+
 # --- fees
 
 SETTING_ROWS = [(v, p, c) for v, p, c in (("claude", "max5x", None), ("claude", "custom", 0.0), ("claude", "custom", 80.0), ("gpt", "pro", None), ("gpt", "api", 50.0), ("gpt", "unknown", 9.0), ("gpt", None, None))]
@@ -449,6 +469,13 @@ def visible_payback(spark, d):
     return breakeven.visible(events_break_even(spark, d)).select("vendor")
 
 
+@query(f"""with {EVEN_SQL}, t as (select *, month_to_date_cost / monthly_fee as times from even where monthly_fee is not null or month_to_date_cost > 0)
+select vendor, printf('$%.2f', month_to_date_cost) || ' of ' || printf('$%.2f', monthly_fee) || ' · ' || case when times >= 10 then cast(cast(round_even(times, 0) as bigint) as varchar) else printf('%.1f', round_even(times, 1)) end || '×'
+  || coalesce(' · broke even ' || strftime(cast(broke_even_on as date), '%b ') || extract(day from cast(broke_even_on as date)), '') as detail from t""")
+def payback_detail(spark, d):
+    return breakeven.visible(events_break_even(spark, d)).select("vendor", "detail")
+
+
 @query(f"with {DAILY_SQL} select provider, day, round(sum(total_cost) over (partition by provider order by day), 8) as running from daily where day like '2024-01-%'")
 def month_running_cost(spark, d):
     month = days_of(spark, d).where(month_of(F.col("day")) == NOW.month)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import dedup
 from tidemark.plans.events import USAGE_SQL, table, usage
-from tidemark.plans.queries import query
+from tidemark.plans.queries import MERGED_SQL, merged, query
 from tidemark.schema import COUNTERS
-from tidemark.sources import logs, prices, stage
+from tidemark.sources import logs, prices, read_usage, reports, stage
 from tidemark.sources.lines import read_lines
 from tidemark.sources.shared import scratch
 from tidemark.streaming import dedup as stream_dedup
@@ -33,9 +34,9 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("user_id") % SESSIONS).alias("session"), "event_id", F.to_json(body).alias("value"))
 
 
-def written(lines: DataFrame, name: str) -> str:
+def written(lines: DataFrame, name: str, folder: str | None = None) -> str:
     """Lines as text files below a new folder, a file for each session, in the order of event_id."""
-    folder = scratch(lines.sparkSession, name)
+    folder = folder or scratch(lines.sparkSession, name)
     ordered = lines.repartition(SESSIONS, "session").sortWithinPartitions("session", "event_id")
     ordered.select("session", "value").write.partitionBy("session").text(folder)
     return folder
@@ -71,6 +72,58 @@ def counter_logs(spark, d):
     return records.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read")])
 
 
+def renamed(spark: SparkSession, folder: str, prefix: str) -> None:
+    """Give the files of a folder's sessions, one each, names with a prefix and the ending of logs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(path(f"{folder}/session=*/part-*")):
+        old = part.getPath()
+        files.rename(old, path(f"{old.getParent()}/{prefix}{old.getName()}.jsonl"))
+
+
+@query(f"with {USAGE_SQL} select 'user-' || user_id % {SESSIONS} as tenant, cast(count(*) as bigint) as n, cast(sum(output) as bigint) as output from usage where user_id % {SESSIONS} % 3 > 0 group by 1")
+def rollout_scan(spark, d):
+    """Files below sessions/ whose names begin with rollout- are logs with counters; others beside them aren't read."""
+    body = F.struct(
+        F.lit("event_msg").alias("type"),
+        F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        F.struct(F.lit("token_count").alias("type"), F.struct(F.struct(F.lit(0).alias("input_tokens"), F.col("sum").alias("output_tokens")).alias("total_token_usage")).alias("info")).alias("payload"),
+    )
+    session = F.col("user_id") % SESSIONS
+    growing = F.sum("output").over(Window.partitionBy(session).orderBy("event_id"))
+    lines = usage(spark, d).withColumn("sum", growing).select(session.alias("session"), "event_id", F.to_json(body).alias("value"))
+    base = scratch(spark, "rollouts")
+    for prefix, some in (("rollout-", "session % 3 > 0"), ("other-", "session % 3 = 0")):
+        folder = f"{base}/sessions/{prefix}kind"
+        written(lines.where(some), "", folder)
+        renamed(spark, folder, prefix)
+    number = F.regexp_extract("file_path", "session=([0-9]+)", 1)
+    return logs.counters(spark, [base]).groupBy(F.concat(F.lit("user-"), number).alias("tenant")).agg(F.count("*").alias("n"), F.sum("output").alias("output"))
+
+
+@query(f"""with {USAGE_SQL} select 'claude-native' as provider, coalesce(dedup_key, '') as dedup_key, cast(max(output) as bigint) as output, 1 as n from usage where dedup_key is not null group by dedup_key
+union all select 'claude-native', '', output, cast(count(*) as int) from usage where dedup_key is null group by output""")
+def provider_registry(spark, d):
+    """Providers by name: a folder that is named twice counts once, and one that isn't there has no records."""
+    base = scratch(spark, "providers")
+    folder = f"{base}/projects/all"
+    written(turn_lines(spark, d), "", folder)
+    renamed(spark, folder, "")
+    rows = read_usage(spark, {"claude-native": [base, f"{base}/", f"{base}-absent"], "codex": [f"{base}-absent"]}, "t")
+    return rows.where("tenant = 't'").groupBy("provider", F.coalesce("dedup_key", F.lit("")).alias("dedup_key"), "output").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"with {MERGED_SQL} select cast(row_number() over (order by day) as int) as place, day, cast(total_tokens as varchar) as total_tokens from merged")
+def daily_series(spark, d):
+    """The daily report as a written file's lines, whose places come from the file: days ascend."""
+    path = scratch(spark, "daily")
+    reports.write_tsv(reports.daily_report(merged(spark, d)), path, ["day"])
+    lines = read_lines(spark, [path], "*.csv")
+    place = F.row_number().over(Window.orderBy("block", "line_no")).cast("int").alias("place")  # a line a day
+    field = F.split("value", "\t")
+    return lines.select(place, field[0].alias("day"), field[5].alias("total_tokens"))
+
+
 @query("select 'm' || p_partkey as model, cast(p_size as double) as input, case when p_partkey % 2 = 0 then p_retailprice else 0 end as output from part where p_partkey % 3 > 0")
 def price_files(spark, d):
     """Parts as price entries, some of them without a usable input price, a document for each brand and size."""
@@ -148,6 +201,46 @@ def stream_sliding(spark, d):
     return rows.select(F.unix_seconds("start").alias("start"), *COUNTERS)
 
 
+@query(f"with {USAGE_SQL}, t as (select *, cast(epoch(date_trunc('second', ts)) as bigint) // 60 * 60 as last from usage) select last - k * 60 as start, {SUMS} from t, unnest(range(0, 60)) as u(k) group by 1")
+def stream_sliding_minute(spark, d):
+    return complete(rates.sliding(event_stream(spark, d, "events")), "minutes").select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
+@query(f"with {USAGE_SQL} select cast(epoch(date_trunc('second', ts)) as bigint) // 300 * 300 as start, {SUMS} from usage group by 1")
+def stream_refresh(spark, d):
+    """Log lines taken up by a query that runs on by a timer, until all that was there is in its result."""
+    folder, out, epochs = written(turn_lines(spark, d), "lines"), scratch(spark, "refreshed"), []
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
+        epochs.append(epoch)
+
+    records = logs.turn_records(rates.stream_lines(spark, folder, "*.txt"))
+    running = rates.refreshing(rates.tumbling(records), save, scratch(spark, "refreshed-progress"), every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{out}/{epochs[-1]}").select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
+LATE = 600  # seconds
+CLOSED_SQL = f"""{USAGE_SQL}, t as (select *, event_id % 10 = 0 as late, cast(epoch(date_trunc('second', ts)) as bigint) as second from usage),
+w as (select max(second) filter (not late) - {LATE} as first_mark, max(second) - {LATE} as last_mark from t)"""
+
+
+@query(f"with {CLOSED_SQL} select second // 300 * 300 as start, {SUMS} from t, w where (not late or second // 300 * 300 + 300 > first_mark) and second // 300 * 300 + 300 <= last_mark group by 1")
+def stream_late_rows(spark, d):
+    """Append mode: windows come once, when the watermark has passed them, and a tenth of the rows, which is late, is dropped for those."""
+    folder, out, progress = scratch(spark, "late"), scratch(spark, "closed"), scratch(spark, "closed-progress")
+    rows = usage(spark, d).select("event_id", "epoch", *COUNTERS)
+    for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        rows.where(part).write.mode("append").parquet(folder)
+        stream = rates.tumbling(spark.readStream.schema(rows.schema).parquet(folder), late=f"{LATE} seconds")
+        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
 @query(BEST_SQL)
 def stream_dedup_keep_max(spark, d):
     stream, folder = event_stream(spark, d, "events"), scratch(spark, "best")

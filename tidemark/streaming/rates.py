@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import COUNTERS
 
@@ -18,12 +21,25 @@ def stream_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Da
     return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.lit(None).cast("long").alias("line_no"), "value").where(F.length("value") > 0)
 
 
+def refreshing(stream: DataFrame, save: Callable[[DataFrame, int], None], progress: str, mode: str = "complete", every: str = "60 seconds") -> StreamingQuery:
+    """A running query that hands ``save`` the result anew ``every`` so often, until it is stopped.
+
+    ``progress`` is a shared folder of its own; a query that is started again with
+    it goes on where it was. ``save`` may see a batch twice, after a failure.
+    """
+    return stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", progress).trigger(processingTime=every).start()
+
+
 def with_watermark(usage: DataFrame, late: str) -> DataFrame:
     return usage.withColumn("ts", F.timestamp_seconds("epoch")).withWatermark("ts", late)
 
 
 def tumbling(usage: DataFrame, width: str = "5 minutes", late: str = "10 minutes", keys: list[str] | None = None) -> DataFrame:
-    """The four counters of each window; rows later than ``late`` no longer change a window that was given out."""
+    """The four counters of each window.
+
+    In append mode a window is given out once, ``late`` after its end, and rows that
+    come for it afterwards are dropped. In complete mode late rows always count.
+    """
     window = F.window("ts", width)
     return with_watermark(usage, late).groupBy(*(keys or []), window).agg(*[F.sum(c).alias(c) for c in COUNTERS]).select(*(keys or []), F.col("window.start").alias("start"), *COUNTERS)
 

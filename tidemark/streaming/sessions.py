@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,18 +17,25 @@ STATE = "model string, input long, cached long, output long"
 def session_deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Records of one session's new events; the state is the model and the counters as last seen."""
     model, *seen = state.get if state.exists else (None, 0, 0, 0)
-    out = []
-    for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-        if not pd.isna(row.context_model):
-            model = row.context_model
-        if pd.isna(row.input) or pd.isna(row.output):
-            continue
-        now = [int(row.input), 0 if pd.isna(row.cached) else int(row.cached), int(row.output)]
-        grown, cached, output = (max(0, a - b) for a, b in zip(now, seen, strict=True))
-        seen = now
-        out.append((key[0], int(row.seq), model, max(0, grown - cached), output, 0, cached))
+    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    named = rows["context_model"].astype(object).ffill()
+    rows["model"] = named.where(named.notna(), model)
+    model = rows["model"].iloc[-1]
+    events = rows[rows["input"].notna() & rows["output"].notna()]
+    counts = events[["input", "cached", "output"]].astype("Int64").fillna(0).to_numpy("int64")  # not floats, which lose digits
+    grown = np.maximum(0, np.diff(counts, axis=0, prepend=np.array([seen], "int64")))
+    if len(counts):
+        seen = counts[-1].tolist()
     state.update((model, *seen))
-    yield pd.DataFrame(out, columns=["session", "seq", "model", "input", "output", "cache_creation", "cache_read"])
+    yield pd.DataFrame({
+        "session": key[0],
+        "seq": events["seq"].astype("int64"),
+        "model": events["model"],
+        "input": np.maximum(0, grown[:, 0] - grown[:, 1]),
+        "output": grown[:, 2],
+        "cache_creation": 0,
+        "cache_read": grown[:, 1],
+    })
 
 
 def counter_stream(events: DataFrame) -> DataFrame:
