@@ -102,3 +102,15 @@ def test_doubles_stay_doubles_and_ties(spark):
     assert O.usable(df).schema["vector"].dataType.simpleString() == "array<double>"
     got = O.neighbours(df, F.col("vec_id") % 50 == 0)
     assert compare(got.collect(), brute(near)) == 1.0
+
+
+def test_ties_between_different_vectors(spark):
+    """Multiples of a vector by powers of two have the same cosine to the last bit: the smaller ids are nearer."""
+    draw = np.random.default_rng(5)
+    v = draw.standard_normal(32).astype(np.float32)
+    rows = [(i, draw.standard_normal(32).astype(np.float32).tolist()) for i in range(1, 60)]
+    rows += [(100 + i, (v * np.float32(2.0 ** (i % 7 - 3))).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = O.neighbours(df, F.col("vec_id") % 50 == 0).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [101, 102, 103, 104, 105]
+    assert len({r.score for r in got}) == 1

@@ -81,3 +81,13 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = G.edited_fingerprints(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, long), (2, "a b"), (3, long + " w1")]
+    got = {r.doc_id: r for r in G.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (edited, _) in brute_edits(rows).items():
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[d].near_edited - similarity(dict(rows)[d], edited)) < 0.3
+    assert got[1].n_chars == len(long) and got[3].near_next == 0.0

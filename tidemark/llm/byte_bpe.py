@@ -270,6 +270,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     offsets, both as little-endian unsigned 32-bit integers.
 
     A null or empty text has no tokens. A text of any length is encoded whole.
+    Rows that repeat are encoded alike; an empty table gives no rows.
     Columns of ``docs`` with these names are replaced, the others stay as they
     are. No special tokens exist: their strings are ordinary text.
     """

@@ -111,7 +111,8 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Each row's own and edited fingerprints and their likeness, and that to the next document's.
 
     Equal texts have equal fingerprints; texts without words are like each other
-    only. An empty table gives no rows; columns but doc_id and text are ignored.
+    only. Texts count whole, however long. An empty table gives no rows; columns
+    but doc_id and text are ignored.
     """
     texts = edited_texts(docs)
     sides = texts.select("key", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x")).select("key", "row", "x.side", "x.text")
