@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,15 @@ from tidemark.sources.shared import scratch
 from tidemark.streaming import dedup as stream_dedup
 from tidemark.streaming import rates, sessions
 
-SESSIONS = 16
+SESSIONS = 16  # where files are renamed or listed one by one
+USERS = 10  # of a session elsewhere, so that sessions grow in number with the table, not in size
 
 
-def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def few_users() -> Column:
+    return F.expr(f"user_id div {USERS}")
+
+
+def turn_lines(spark: SparkSession, sf_dir: str, session: Column | None = None) -> DataFrame:
     """Events as JSON lines with a usage in each turn: (session, event_id, value)."""
     rows = usage(spark, sf_dir)
     body = F.struct(
@@ -31,13 +36,14 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(*[F.col(c).alias(n) for c, n in zip(COUNTERS, ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"), strict=True)]).alias("usage"),
         ).alias("message"),
     )
-    return rows.select((F.col("user_id") % SESSIONS).alias("session"), "event_id", F.to_json(body).alias("value"))
+    session = F.col("user_id") % SESSIONS if session is None else session
+    return rows.select(session.alias("session"), "event_id", F.to_json(body).alias("value"))
 
 
 def written(lines: DataFrame, name: str, folder: str | None = None) -> str:
     """Lines as text files below a new folder, a file for each session, in the order of event_id."""
     folder = folder or scratch(lines.sparkSession, name)
-    ordered = lines.repartition(SESSIONS, "session").sortWithinPartitions("session", "event_id")
+    ordered = lines.repartition("session").sortWithinPartitions("session", "event_id")
     ordered.select("session", "value").write.partitionBy("session").text(folder)
     return folder
 
@@ -51,11 +57,11 @@ def best(rows: DataFrame) -> DataFrame:
 
 @query(BEST_SQL)
 def turn_logs(spark, d):
-    lines = read_lines(spark, [written(turn_lines(spark, d), "turns")], "*.txt")
+    lines = read_lines(spark, [written(turn_lines(spark, d, few_users()), "turns")], "*.txt")
     return best(dedup.keep_max(logs.turn_records(lines), order=("file_path", "block", "line_no")))
 
 
-@query(f"""with {USAGE_SQL}, s as (select *, user_id % {SESSIONS} as session, event_type in ('click', 'purchase') as is_count from usage),
+@query(f"""with {USAGE_SQL}, s as (select *, user_id // {USERS} as session, event_type in ('click', 'purchase') as is_count from usage),
 filled as (select *, last_value(case when not is_count then model end ignore nulls) over (partition by session order by event_id rows between unbounded preceding and current row) as context from s),
 deltas as (select context, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from filled where is_count window w as (partition by session order by event_id))
 select coalesce(context, '') as model, cast(count(*) as bigint) as n, cast(sum(greatest(0, input - cache_creation)) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_creation) as bigint) as cache_read from deltas group by 1""")
@@ -67,7 +73,7 @@ def counter_logs(spark, d):
         F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.struct(F.when(counts, "token_count").alias("type"), F.when(~counts, F.col("model")).alias("model"), F.when(counts, info).alias("info")).alias("payload"),
     )
-    lines = rows.select((F.col("user_id") % SESSIONS).alias("session"), "event_id", F.to_json(body).alias("value"))
+    lines = rows.select(few_users().alias("session"), "event_id", F.to_json(body).alias("value"))
     records = logs.counter_records(read_lines(spark, [written(lines, "counters")], "*.txt"))
     return records.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read")])
 
@@ -249,11 +255,11 @@ def stream_dedup_keep_max(spark, d):
     return best(stream_dedup.best_rows(spark, folder))
 
 
-@query(f"""with {USAGE_SQL}, s as (select *, user_id % {SESSIONS} as session from usage),
+@query(f"""with {USAGE_SQL}, s as (select *, user_id // {USERS} as session from usage),
 deltas as (select session, event_id, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from s window w as (partition by session order by event_id))
 select session || '' as session, event_id as seq, greatest(0, input - cache_creation) as input, output, cache_creation as cache_read from deltas""")
 def stream_counter_delta(spark, d):
-    rows = usage(spark, d).select((F.col("user_id") % SESSIONS).cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("context_model"), "input", F.col("cache_creation").alias("cached"), "output")
+    rows = usage(spark, d).select(few_users().cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("context_model"), "input", F.col("cache_creation").alias("cached"), "output")
     stream = spark.readStream.schema(sessions.EVENTS).parquet(streamed(rows, "sessions", "seq"))
     out = scratch(spark, "deltas")
     query = sessions.counter_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "deltas-progress")).trigger(availableNow=True).start()
