@@ -53,7 +53,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     null text has no runs; a null doc_id counts as the empty text.
     """
     runs = F.regexp_extract_all("text", F.lit(f"({RUN}{{{MIN_LENGTH},}})"), F.lit(1))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run")).withColumn("run", F.translate("run", UPPER, LOWER))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run"))
+    rows = rows.withColumn("run", F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(F.translate("run", UPPER, LOWER)))  # most have no capitals
     drawn = rows.withColumn("h", F.crc32(F.concat_ws(":", "doc", "run").cast("binary")))
     at = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
@@ -61,8 +62,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, n) of words that are long and frequent enough; counts pre-aggregate, so a frequent word is no hot key."""
-    return words.where(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    """(word, n) of words that are long and frequent enough; counts pre-aggregate, so a frequent word is no hot key.
+
+    Length is asked of the counted words: Catalyst would else work each occurrence's word out twice.
+    """
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counted.where(F.when(F.length("word") >= min_length, F.col("n")) >= min_count)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
