@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, html_text, merkle, onebit_search, packing, pii, simhash_vptree, spelling, token_records, toxicity, url_filter, weighted_fingerprint
+from tidemark.llm import byte_bpe, html_text, merkle, onebit_search, packing, pii, simhash_vptree, sorted_projection, spelling, token_records, toxicity, url_filter, weighted_fingerprint
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_token_records": token_records.op9_token_records,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op11_sorted_projection": sorted_projection.op11_sorted_projection,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
