@@ -11,6 +11,7 @@ from tidemark.plans.events import USAGE_SQL, table, usage
 from tidemark.plans.queries import MERGED_SQL, merged, query
 from tidemark.schema import COUNTERS
 from tidemark.sources import logs, prices, read_usage, reports, stage
+from tidemark.sources.growing import growing_lines
 from tidemark.sources.lines import read_lines
 from tidemark.sources.shared import scratch
 from tidemark.streaming import dedup as stream_dedup
@@ -230,6 +231,39 @@ def stream_refresh(spark, d):
     return spark.read.parquet(f"{out}/{epochs[-1]}").select(F.unix_seconds("start").alias("start"), *COUNTERS)
 
 
+STEPS = 3
+
+
+def grown(lines: DataFrame, home: str, step: int, progress: str) -> None:
+    """Let each session's file below ``home`` grow to all lines with a step up to this one.
+
+    The longer file is written beside the old one, which it begins like, and takes
+    its name, so a job that runs again does no harm.
+    """
+    spark = lines.sparkSession
+    folder = written(lines.where(F.col("step") <= step), f"{progress}-{step}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(home))
+    for part in files.globStatus(path(f"{folder}/session=*/part-*")):
+        name = path(f"{home}/{part.getPath().getParent().getName()}.jsonl")
+        files.delete(name, False)
+        files.rename(part.getPath(), name)
+
+
+@query(BEST_SQL)
+def stream_growing_logs(spark, d):
+    """Log files that grow between the runs of a stream: each run reads what was appended, and goes on from the checkpoint."""
+    per_step = F.ntile(STEPS).over(Window.partitionBy("session").orderBy("event_id"))
+    lines = turn_lines(spark, d, few_users()).withColumn("step", per_step)
+    home, out, progress = scratch(spark, "growing"), scratch(spark, "grown"), scratch(spark, "grown-progress")
+    for step in range(1, STEPS + 1):
+        grown(lines, home, step, "growing-step")
+        records = logs.turn_records(growing_lines(spark, [home]))
+        records.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return best(dedup.keep_max(spark.read.parquet(out), order=("file_path", "block", "line_no")))
+
+
 LATE = 600  # seconds
 CLOSED_SQL = f"""{USAGE_SQL}, t as (select *, event_id % 10 = 0 as late, cast(epoch(date_trunc('second', ts)) as bigint) as second from usage),
 w as (select max(second) filter (not late) - {LATE} as first_mark, max(second) - {LATE} as last_mark from t)"""
