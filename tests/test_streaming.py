@@ -1,10 +1,17 @@
 import json
 import os
+import random
+from datetime import datetime, timedelta
+
+import pytest
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import counters, rollup
+from tidemark.operators.dedup import keep_max
 from tidemark.sources import logs
-from tidemark.streaming import dedup, rates, sessions
+from tidemark.streaming import dedup, deltas, rates, sessions
+from tidemark.streaming.state import keyed_state
 
 USAGE = "dedup_key string, output long, file_path string, line_no long"
 
@@ -44,18 +51,108 @@ def test_keep_max_sink(spark, tmp_path):
         assert sorted(((r.dedup_key, r.output) for r in best.collect()), key=str) == [("j", 1), ("k", 9), (None, 7)]
 
 
-def test_session_stream(spark, tmp_path):
-    root = f"{tmp_path}/events"
-    first = [("s", 1, None, 100, 40, 10), ("s", 2, "gpt-5.5", None, None, None), ("s", 3, None, 300, 140, 30), ("u", 1, None, 5, None, 1)]
-    second = [("s", 4, None, 50, 20, 5), ("s", 5, None, 80, 60, 9)]
-    spark.createDataFrame(first, sessions.EVENTS).coalesce(1).write.parquet(f"{root}/1")
-    out = []
-    for batch in (None, second):
-        if batch:
-            spark.createDataFrame(batch, sessions.EVENTS).coalesce(1).write.parquet(f"{root}/2")
-        stream = spark.readStream.schema(sessions.EVENTS).option("recursiveFileLookup", True).parquet(root)
-        query = sessions.counter_stream(stream).writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        query.awaitTermination(180)
-    got = sorted((r.session, r.seq, r.model, r.input, r.cache_read, r.output) for r in out if r.session == "s")
-    assert got == [("s", 1, None, 60, 40, 10), ("s", 3, "gpt-5.5", 100, 100, 20), ("s", 4, "gpt-5.5", 0, 0, 0), ("s", 5, "gpt-5.5", 0, 40, 4)]
-    assert [r.input for r in out if r.session == "u"] == [5]
+START = datetime(2026, 6, 3)
+
+
+def chained(rows):
+    """(session, seq, model, input, cached, output) with each row due where its session's last one ended."""
+    ends, out = {}, []
+    for session, seq, *rest in rows:
+        out.append((session, seq, ends.get(session, 0), seq + 1, *rest, START + timedelta(seconds=seq)))
+        ends[session] = seq + 1
+    return out
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """State stores and their Python workers are slow to start."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def run_batches(spark, tmp_path, batches, schema, make):
+    """The rows that ``make`` of a stream gives, batch by batch, with the number of rows in its state after each."""
+    root, out, states = f"{tmp_path}/in", [], []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(root)
+        got = []
+        with keyed_state(spark):
+            stream = make(spark.readStream.schema(schema).parquet(root))
+            query = stream.writeStream.foreachBatch(lambda df, _, got=got: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            query.awaitTermination(180)
+        out.append(got)
+        states.append(sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]))
+    return out, states
+
+
+SESSIONS = chained([
+    ("s", 1, None, 100, 40, 10), ("s", 2, "gpt-5.5", None, None, None), ("s", 3, None, 300, 140, 30), ("u", 1, None, 5, None, 1),
+    ("s", 4, None, 50, 20, 5), ("s", 5, None, 80, 60, 9), ("s", 6, "gpt-6", 80, 60, None), ("s", 7, None, 90, 60, 10),
+])
+SESSION_DELTAS = [("s", 1, None, 60, 40, 10), ("s", 3, "gpt-5.5", 100, 100, 20), ("s", 4, "gpt-5.5", 0, 0, 0), ("s", 5, "gpt-5.5", 0, 40, 4), ("s", 7, "gpt-6", 10, 0, 1), ("u", 1, None, 5, 0, 1)]
+
+
+def deltas_of(batches):
+    return sorted(((r.session, r.seq, r.model, r.input, r.cache_read, r.output) for got in batches for r in got), key=str)
+
+
+def test_session_rows_in_any_order_over_batches(spark, few_partitions, tmp_path):
+    """Rows ahead of a gap wait; rows that come again, within a batch or later, count once."""
+    s = SESSIONS
+    batches = [[s[5], s[2]], [s[7], s[0], s[0], s[3]], [s[0], s[6]], [s[2], s[1], s[4]]]
+    out, states = run_batches(spark, tmp_path, batches, sessions.EVENTS, sessions.counter_stream)
+    assert [len(b) for b in out] == [0, 2, 0, 4]
+    assert deltas_of(out) == SESSION_DELTAS
+    assert states[2] > states[3]  # rows that waited are gone
+
+
+def test_session_rows_shuffled_equal_the_window_form(spark, few_partitions, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"s{i % 7}", i, rng.choice([None, None, f"m{i}"]), *(rng.choice([(None, None, None), tuple(rng.randrange(1000) for _ in range(3))]))) for i in range(400)]
+    events = chained(rows)
+    batch = spark.createDataFrame(events, sessions.EVENTS)
+    filled = counters.forward_fill(batch, "context_model", ["session"], ["seq"]).where("input is not null and output is not null")
+    want = counters.normalised(counters.counter_delta(filled, ["input", "cached", "output"], ["session"], ["seq"]))
+    mixed = rng.sample(events, len(events))
+    out, _ = run_batches(spark, tmp_path, [mixed[i::3] for i in range(3)], sessions.EVENTS, sessions.counter_stream)
+    assert deltas_of(out) == sorted(((r.session, r.seq, r.context_model, r.input, r.cache_read, r.output) for r in want.collect()), key=str)
+
+
+def test_idle_sessions_expire(spark, few_partitions, tmp_path):
+    """Rows that still wait are given out, and the state shrinks."""
+    s = SESSIONS
+    later = ("v", 1, 0, 2, None, 7, 0, 2, START + timedelta(seconds=500))
+    out, states = run_batches(spark, tmp_path, [[s[0], s[2], s[4], s[3]], [later]], sessions.EVENTS, lambda events: sessions.counter_stream(events, idle=60))
+    assert deltas_of(out[:1]) == [("s", 1, None, 60, 40, 10), ("u", 1, None, 5, 0, 1)]
+    assert deltas_of(out[1:]) == sorted([("s", 3, None, 100, 100, 20), ("s", 4, None, 0, 0, 0), ("v", 1, None, 7, 0, 2)], key=str)
+    assert states[1] < states[0]
+
+
+def test_signed_minutes_after_every_batch(spark, few_partitions, tmp_path):
+    """Sums equal those of a batch over all rows so far: growing and repeated turns, a larger duplicate on an older day, ties, rows without a key."""
+    day = 86_400
+    batches = [
+        [("k", "f", 1, 2 * day, "m", 1, 5, 0, 0), ("k", "f", 2, 2 * day, "m", 2, 7, 0, 0), (None, "f", 3, 2 * day, "m", 3, 1, 0, 0), ("j", "g", 1, 60, None, 4, 4, 1, 1)],
+        [("k", "f", 9, 60, "n", 9, 9, 9, 9), ("j", "f", 8, 60, None, 5, 4, 0, 0), (None, "f", 4, 2 * day, "m", 3, 1, 0, 0)],
+        [("k", "f", 1, 2 * day, "m", 1, 5, 0, 0), ("l", None, 1, 3 * day, "m", 1, 0, 0, 0)],
+    ]
+    schema = f"dedup_key string, {deltas.ROW}"
+    folder = f"file://{tmp_path}/sums"
+    add = deltas.minutes_sink(folder)
+    assert deltas.minutes(spark, folder) is None
+    out, _ = run_batches(spark, tmp_path, batches, schema, deltas.signed_best)
+    assert [len(b) for b in out] == [3, 5, 1]
+    seen = []
+    for i, (rows, signed) in enumerate(zip(batches, out, strict=True)):
+        seen += rows
+        for _ in range(2 if i == 1 else 1):  # a batch that is repeated
+            add(spark.createDataFrame(signed, deltas.SIGNED), i)
+        best = rollup.with_local_time(keep_max(spark.createDataFrame(seen, schema)))
+        want = rollup.minute_matrix(best).collect()
+        for dropped in (None, *([1, 0] if i else [0])):
+            if dropped is not None:
+                assert deltas.compact(spark, folder) == dropped
+            got = deltas.minutes(spark, folder).drop("records").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -10,12 +10,13 @@ from tidemark.operators import dedup
 from tidemark.plans.events import USAGE_SQL, table, usage
 from tidemark.plans.queries import MERGED_SQL, merged, query
 from tidemark.schema import COUNTERS
-from tidemark.sources import logs, prices, read_usage, reports, stage
+from tidemark.sources import days, logs, prices, read_usage, reports, rollups, stage
 from tidemark.sources.growing import growing_lines
 from tidemark.sources.lines import read_lines
 from tidemark.sources.shared import scratch
 from tidemark.streaming import dedup as stream_dedup
-from tidemark.streaming import rates, sessions
+from tidemark.streaming import deltas, rates, sessions
+from tidemark.streaming.state import keyed_state
 
 SESSIONS = 16  # where files are renamed or listed one by one
 USERS = 10  # of a session elsewhere, so that sessions grow in number with the table, not in size
@@ -165,6 +166,49 @@ def incremental_stage(spark, d):
     return stage.load(spark, home).groupBy(session.alias("session")).agg(F.count("*").alias("n"), F.sum("output").alias("output"))
 
 
+def day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn_lines with a file for each day and a thousand users."""
+    lines = turn_lines(spark, sf_dir, F.concat_ws("-", "day", F.expr("user_id div 1000")))
+    return lines.withColumn("day", F.substring("session", 1, 10))
+
+
+LAST_DAY, GONE_DAY = "2024-01-30", "2024-01-07"
+
+
+def two_refreshes(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, DataFrame]:
+    """A stage by dates, first with the last day's files half written, then with them grown and one day's files removed."""
+    lines, home = day_files(spark, sf_dir), scratch(spark, name)
+    rest = written(lines.where(f"day not in ('{LAST_DAY}', '{GONE_DAY}')"), f"{name}-rest")
+    gone = written(lines.where(f"day = '{GONE_DAY}'"), f"{name}-gone")
+    half = written(lines.where(f"day = '{LAST_DAY}' and event_id % 2 = 0"), f"{name}-half")
+    days.refresh(spark, home, [rest, gone, half], logs.turn_records, "*.txt")
+    rollups.refresh(spark, home)
+    whole = written(lines.where(f"day = '{LAST_DAY}'"), f"{name}-whole")
+    rewritten = days.refresh(spark, home, [rest, whole], logs.turn_records, "*.txt")
+    if set(rewritten) != {LAST_DAY, GONE_DAY}:
+        raise AssertionError(f"rewrote {rewritten}")
+    rollups.refresh(spark, home)
+    return home, lines
+
+
+@query(f"with {USAGE_SQL} select day as date, cast(count(*) as bigint) as n, cast(sum(output) as bigint) as output from usage where day between '2024-01-05' and '2024-01-31' and day <> '{GONE_DAY}' group by day")
+def stage_by_date(spark, d):
+    """A stage whose second refresh rewrites the two dates that changed, read for a range of dates."""
+    home, _ = two_refreshes(spark, d, "dates")
+    return days.load(spark, home, logs.turn_records, "2024-01-05", "2024-01-31").groupBy("date").agg(F.count("*").alias("n"), F.sum("output").alias("output"))
+
+
+@query(f"""with {USAGE_SQL}, there as (select * from usage where day <> '{GONE_DAY}'),
+top as (select dedup_key, max(output) as output from there where dedup_key is not null group by 1),
+best as (select u.* from there u left join top t on u.dedup_key = t.dedup_key where u.dedup_key is null or u.output = t.output
+  qualify u.dedup_key is null or row_number() over (partition by u.dedup_key order by day, cast(user_id // 1000 as varchar), event_id) = 1)
+select day, minute, {SUMS}, cast(count(*) as bigint) as records from best group by day, minute""")
+def maintained_minutes(spark, d):
+    """Sums of minutes that two refreshes have kept up to date: days that grew or went, and keys that move to another day by that."""
+    home, lines = two_refreshes(spark, d, "maintained")
+    return rollups.minutes(spark, home)
+
+
 def streamed(frame: DataFrame, name: str, order: str = "event_id") -> str:
     """Rows as a few Parquet files, in order, for a file stream to take up."""
     folder = scratch(frame.sparkSession, name)
@@ -293,9 +337,24 @@ def stream_dedup_keep_max(spark, d):
 deltas as (select session, event_id, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from s window w as (partition by session order by event_id))
 select session || '' as session, event_id as seq, greatest(0, input - cache_creation) as input, output, cache_creation as cache_read from deltas""")
 def stream_counter_delta(spark, d):
+    """Rows of a session come in any order over the batches; each is due where the one before it ends."""
+    session = Window.partitionBy("session").orderBy("seq")
     rows = usage(spark, d).select(few_users().cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("context_model"), "input", F.col("cache_creation").alias("cached"), "output")
-    stream = spark.readStream.schema(sessions.EVENTS).parquet(streamed(rows, "sessions", "seq"))
+    chained = rows.withColumns({"next": F.col("seq") + 1, "due": F.coalesce(F.lag(F.col("seq") + 1).over(session), F.lit(0).cast("long")), "mixed": F.xxhash64("seq")})
+    stream = spark.readStream.schema(sessions.EVENTS).option("maxFilesPerTrigger", 2).parquet(streamed(chained, "sessions", "mixed"))
     out = scratch(spark, "deltas")
-    query = sessions.counter_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "deltas-progress")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with keyed_state(spark):
+        query = sessions.counter_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "deltas-progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(out).select("session", "seq", "input", "output", "cache_read")
+
+
+@query(f"""with {USAGE_SQL}, best as (select * from usage qualify dedup_key is null or row_number() over (partition by dedup_key order by output desc, 'user-' || user_id, event_id) = 1)
+select day, minute, {SUMS}, cast(count(*) as bigint) as records from best group by day, minute""")
+def stream_signed_minutes(spark, d):
+    """Sums of minutes over a stream of growing duplicates: a better row takes its predecessor back, on whatever day that was."""
+    folder = scratch(spark, "signed")
+    with keyed_state(spark):
+        signed = deltas.signed_best(event_stream(spark, d, "events"))
+        signed.writeStream.outputMode("append").foreachBatch(deltas.minutes_sink(folder)).option("checkpointLocation", scratch(spark, "signed-progress")).trigger(availableNow=True).start().awaitTermination()
+    return deltas.minutes(spark, folder)

@@ -1,4 +1,4 @@
-"""Counter deltas and forward fill per session, over a stream."""
+"""Counter deltas and forward fill per session, over a stream whose rows come in any order."""
 
 from __future__ import annotations
 
@@ -7,41 +7,105 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-EVENTS = "session string, seq long, context_model string, input long, cached long, output long"
+#: due is the place at which a row follows, next the one at which its successor does: lines have their byte offset and the next line's.
+EVENTS = "session string, seq long, due long, next long, context_model string, input long, cached long, output long, ts timestamp"
 DELTAS = "session string, seq long, model string, input long, output long, cache_creation long, cache_read long"
-STATE = "model string, input long, cached long, output long"
-
-
-def session_deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Records of one session's new events; the state is the model and the counters as last seen."""
-    model, *seen = state.get if state.exists else (None, 0, 0, 0)
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    named = rows["context_model"].astype(object).ffill()
-    rows["model"] = named.where(named.notna(), model)
-    model = rows["model"].iloc[-1]
-    events = rows[rows["input"].notna() & rows["output"].notna()]
-    counts = events[["input", "cached", "output"]].astype("Int64").fillna(0).to_numpy("int64")  # not floats, which lose digits
-    grown = np.maximum(0, np.diff(counts, axis=0, prepend=np.array([seen], "int64")))
-    if len(counts):
-        seen = counts[-1].tolist()
-    state.update((model, *seen))
-    yield pd.DataFrame({
-        "session": key[0],
-        "seq": events["seq"].astype("int64"),
-        "model": events["model"],
-        "input": np.maximum(0, grown[:, 0] - grown[:, 1]),
-        "output": grown[:, 2],
-        "cache_creation": 0,
-        "cache_read": grown[:, 1],
-    })
-
-
-def counter_stream(events: DataFrame) -> DataFrame:
+SEEN = "next long, model string, input long, cached long, output long"
+HELD = EVENTS.removeprefix("session string, ").removesuffix(", ts timestamp")
+COLUMNS = [c.split()[0] for c in HELD.split(", ")]
+
+
+def in_turn(rows: pd.DataFrame, place: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows that follow one another from ``place`` on, and those that are ahead of a gap; rows that were there before are left out."""
+    rows = rows[rows["due"] >= place].sort_values("due", kind="stable").drop_duplicates("due")
+    due, after = rows["due"].to_numpy("int64"), rows["next"].to_numpy("int64")
+    fits = due == np.concatenate([[place], after[:-1]])
+    n = len(rows) if fits.all() else int(np.argmin(fits))
+    return rows.iloc[:n], rows.iloc[n:]
+
+
+class SessionCounters(StatefulProcessor):
+    """Value state: the place reached, model and counters as last seen. List state: rows ahead of a gap. A timer ends idle sessions."""
+
+    def __init__(self, idle: float | None = None):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", SEEN)
+        self.ahead = handle.getListState("ahead", HELD)
+
+    def records(self, session: str, rows: pd.DataFrame, model, counts: list[int]) -> tuple[pd.DataFrame, object, list[int]]:
+        """The records of rows in their order, and model and counters after them."""
+        named = rows["context_model"].astype(object).ffill()
+        named = named.where(named.notna(), model)
+        some = (rows["input"].notna() & rows["output"].notna()).to_numpy()
+        events = rows[some]
+        now = events[["input", "cached", "output"]].astype("Int64").fillna(0).to_numpy("int64")  # not floats, which lose digits
+        grown = np.maximum(0, np.diff(now, axis=0, prepend=np.array([counts], "int64")))
+        out = pd.DataFrame({
+            "session": session,
+            "seq": events["seq"].astype("int64"),
+            "model": named[some],
+            "input": np.maximum(0, grown[:, 0] - grown[:, 1]),
+            "output": grown[:, 2],
+            "cache_creation": 0,
+            "cache_read": grown[:, 1],
+        })
+        return out, named.iloc[-1], now[-1].tolist() if len(now) else counts
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        place, model, *counts = self.seen.get() if self.seen.exists() else (0, None, 0, 0, 0)
+        before = [pd.DataFrame(list(self.ahead.get()), columns=COLUMNS)] if self.ahead.exists() else []
+        held, latest = before, None
+        for pdf in rows:
+            new = pdf[COLUMNS]
+            latest = max((t for t in (latest, pdf["ts"].max()) if not pd.isna(t)), default=None)
+            held = [*held, new[new["due"] >= place]]
+            if not (new["due"] == place).any():
+                continue
+            ready, rest = in_turn(pd.concat(held), place)
+            held = [rest] if len(rest) else []
+            place = int(ready["next"].iloc[-1])
+            out, model, counts = self.records(key[0], ready, model, counts)
+            yield out
+        self.seen.update((place, None if pd.isna(model) else model, *counts))
+        kept = in_turn(pd.concat(held), place)[1] if held else []
+        if len(kept):
+            self.ahead.put([tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in row) for row in kept.itertuples(index=False)])
+        elif before:
+            self.ahead.clear()
+        if self.idle is not None and latest is not None:
+            old = list(self.handle.listTimers())
+            for timer in old:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max([*old, int(latest.timestamp() * 1000) + int(self.idle * 1000)]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, model, *counts = self.seen.get() if self.seen.exists() else (0, None, 0, 0, 0)
+        if self.ahead.exists():
+            left = pd.DataFrame(list(self.ahead.get()), columns=COLUMNS).sort_values("due", kind="stable")
+            yield self.records(key[0], left, model, counts)[0]
+        self.ahead.clear()
+        self.seen.clear()
+
+
+def counter_stream(events: DataFrame, idle: float | None = None) -> DataFrame:
     """``events`` (EVENTS) to DELTAS: rows with a context_model set the model, rows with counters give records.
 
-    Events of a session must come in order from batch to batch; within a batch
-    they are sorted by seq.
+    A session's rows form a chain from due 0 on, each due where the one before has
+    its next, and are taken in that order, whatever batches they come in: rows
+    ahead of a gap wait in the state, rows that come again are passed over. Without
+    ``idle`` state is never dropped, and rows may come however late; ts isn't read.
+    With it, in seconds, ts drives a watermark that is ``idle`` behind the newest
+    row: rows older than that are dropped, and a session whose last row is ``idle``
+    older than that ends. Its rows that still wait are then given out as if nothing
+    were missing between them, and its state goes. Start the query within
+    ``state.keyed_state``.
     """
-    return events.groupBy("session").applyInPandasWithState(session_deltas, DELTAS, STATE, "append", GroupStateTimeout.NoTimeout)
+    if idle is not None:
+        events = events.withWatermark("ts", f"{idle} seconds")
+    mode = "None" if idle is None else "EventTime"
+    return events.groupBy("session").transformWithStateInPandas(SessionCounters(idle), DELTAS, "Append", mode)
