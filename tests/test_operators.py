@@ -224,3 +224,18 @@ def test_models_map_and_labels(spark):
     assert rollup.models_map(mm).first().by_model == {"a": 5, "b": 6}
     got = [r.day for r in windows.sparse_labels(days(spark, [(f"2026-06-{d:02d}", 1, 1) for d in range(1, 15)])).orderBy("day").collect()]
     assert got == ["2026-06-01", "2026-06-04", "2026-06-07", "2026-06-10", "2026-06-13"]
+
+
+def test_totals_in_one_aggregation(spark):
+    """Null buckets are told apart from subtotals; one shuffle of rows; the whole is there for no rows too."""
+    rows = spark.createDataFrame([("t", 1, 5), ("t", None, 7), ("u", 1, 1), (None, 2, 3)], "tenant string, bucket int, tokens long")
+    out = rollup.totals(rows, [["tenant", "bucket"], ["tenant"], []], ["tokens"])
+    want = [("t", 1, 5, 0), ("t", None, 7, 0), ("u", 1, 1, 0), (None, 2, 3, 0), ("t", None, 12, 1), ("u", None, 1, 1), (None, None, 3, 1), (None, None, 16, 2)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = rollup.totals(rows, [["tenant", "bucket"], ["tenant"], []], ["tokens"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    whole = rollup.with_total(rows, "bucket", "tokens")
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted([(1, 6), (None, 7), (2, 3), (None, 16)], key=str)
+    assert rollup.with_total(rows.limit(0), "bucket", "tokens").collect() == [(None, None)]
+    by_tenant = rollup.with_total(rows, "bucket", "tokens", ["tenant"])
+    assert sorted(map(tuple, by_tenant.collect()), key=str) == sorted([w[:3] for w in want if w[3] < 2], key=str)

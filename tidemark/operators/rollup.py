@@ -62,12 +62,29 @@ def rebucket(minutes: DataFrame, size: int = 5, keys: list[str] | None = None) -
     return minutes.groupBy(*(keys or []), "day", bucket).agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
 
+def totals(rows: DataFrame, levels: list[list[str]], values: list[str]) -> DataFrame:
+    """Sums of ``values`` by each of several lists of columns, in one aggregation, with ``level``, the list's place.
+
+    Columns that a level doesn't group by are null in its rows; a null that comes
+    from the rows is told apart by the level. Columns are in order of first mention.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    ids = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level): place for place, level in enumerate(levels)}
+    sums = rows.groupingSets([[F.col(c) for c in level] for level in levels], *columns).agg(*[F.sum(v).alias(v) for v in values], F.grouping_id().alias("_id"))
+    level = F.lit(None).cast("int")
+    for number, place in ids.items():
+        level = F.when(F.col("_id") == number, place).otherwise(level)
+    return sums.withColumn("level", level).drop("_id")
+
+
 def with_total(rows: DataFrame, by: str, value: str, keys: list[str] | None = None) -> DataFrame:
-    """``value`` summed by ``by``, and a row with a null ``by`` for the whole."""
-    keys = keys or []
-    parts = rows.groupBy(*keys, by).agg(F.sum(value).alias(value))
-    whole = parts.groupBy(*keys).agg(F.sum(value).alias(value)).withColumn(by, F.lit(None).cast(rows.schema[by].dataType))
-    return parts.unionByName(whole)
+    """``value`` summed by ``by``, and a row with a null ``by`` for the whole, which without keys is there for no rows too."""
+    if keys:
+        return totals(rows, [[*keys, by], keys], [value]).select(*keys, by, value)
+    kinds = {c: rows.schema[c].dataType for c in (by, value)}
+    empty = rows.sparkSession.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()], F.lit(0).alias("_rows"))
+    sums = totals(rows.select(by, value, F.lit(1).alias("_rows")).union(empty), [[by], []], [value, "_rows"])
+    return sums.where("level = 1 or _rows > 0").select(by, value)
 
 
 def models_map(minute_models: DataFrame, keys: list[str] | None = None) -> DataFrame:

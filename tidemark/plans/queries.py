@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import formats
 from tidemark.functions.models import fast_tier, hashed_key, short_name, total, vendor_class
 from tidemark.functions.timeutil import Now, instant, month_of
-from tidemark.operators import breakeven, counters, curve, dashboard, dedup, legend, pricing, rollup, windows
+from tidemark.operators import breakeven, counters, curve, dashboard, dedup, legend, pricing, rollup, segments, windows
 from tidemark.plans.events import NOW, USAGE_SQL, table, usage
 from tidemark.schema import COUNTERS, SETTINGS
 from tidemark.sources import reports
@@ -145,6 +145,17 @@ def session_usage(spark, d):
     return counters.normalised(grown).select("event_id", F.coalesce("context", F.lit("")).alias("model"), *COUNTERS)
 
 
+@query(f"""with {USAGE_SQL} select event_id, coalesce(last_value({CONTEXT} ignore nulls) over (order by event_id rows between unbounded preceding and current row), '') as model,
+greatest(0, input - coalesce(lag(input) over (order by event_id), 0)) as grown, cast(sum(output) over (order by event_id rows between unbounded preceding and current row) as bigint) as running from usage""")
+def one_huge_session(spark, d):
+    """All events as one session, in segments of a thousand."""
+    rows = contexts(spark, d).select("event_id", "context", "input", "output", F.lit("all").alias("session"), F.expr("event_id div 1000").alias("segment"))
+    seen = segments.carried(rows, ["session"], "segment", ["event_id"], {"model": F.col("context")}, {"previous": F.col("input")}, {"running": F.col("output")})
+    zero = F.lit(0).cast("long")
+    grown = F.greatest(zero, F.col("input") - F.coalesce("previous", zero))
+    return seen.select("event_id", F.coalesce("model", F.lit("")).alias("model"), grown.alias("grown"), "running")
+
+
 @query(f"""with {USAGE_SQL}, s as (select event_id, case event_type when 'view' then strftime(ts, '%Y-%m-%d') when 'click' then strftime(ts, '%Y-%m-%dT%H:%M:%S')
   when 'purchase' then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123Z' when 'signup' then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' else strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' end as t, ts, event_type from usage)
 select event_id, t, case event_type when 'view' then -1 when 'click' then -1 when 'signup' then cast(epoch(date_trunc('second', ts)) as bigint) - 7200 else cast(epoch(date_trunc('second', ts)) as bigint) end as epoch from s""")
@@ -173,6 +184,16 @@ def scan_totals(spark, d):
     return totals(table(spark, d, "documents").where(F.length("text") > 0).select(F.col("text").alias("value")))
 
 
+@query(f"""with {USAGE_SQL}, t as (select nullif(model, '<synthetic>') as model, day, provider, {TOTAL} as tokens from usage)
+select coalesce(provider, '') as provider, coalesce(day, '') as day, coalesce(model, '') as model, cast(case grouping_id(provider, day, model) when 0 then 0 when 1 then 1 when 3 then 2 else 3 end as int) as level, cast(sum(tokens) as bigint) as tokens
+from t group by grouping sets ((provider, day, model), (provider, day), (provider), ())""")
+def subtotals(spark, d):
+    """Tokens by provider, day and model, with all subtotals; records without a model aren't taken for one."""
+    rows = usage(spark, d).select(F.nullif("model", F.lit("<synthetic>")).alias("model"), "day", "provider", total().alias("tokens"))
+    out = rollup.totals(rows, [["provider", "day", "model"], ["provider", "day"], ["provider"], []], ["tokens"])
+    return out.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("provider", "day", "model")], "level", "tokens")
+
+
 LISTING = "select page_id, 'p' || page_id as path, page_id % 7 as mtime, length(html) as size from pages where page_id % 5 <> {gone}"
 
 

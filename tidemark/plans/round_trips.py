@@ -19,6 +19,7 @@ from tidemark.streaming import deltas, rates, sessions
 from tidemark.streaming.state import keyed_state
 
 SESSIONS = 16  # where files are renamed or listed one by one
+SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in COUNTERS)
 USERS = 10  # of a session elsewhere, so that sessions grow in number with the table, not in size
 
 
@@ -238,7 +239,6 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
-SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in COUNTERS)
 
 
 @query(f"with {USAGE_SQL} select cast(epoch(date_trunc('second', ts)) as bigint) // 300 * 300 as start, {SUMS} from usage group by 1")
@@ -308,6 +308,18 @@ def stream_growing_logs(spark, d):
     return best(dedup.keep_max(spark.read.parquet(out), order=("file_path", "block", "line_no")))
 
 
+@query(f"with {USAGE_SQL}, t as (select *, cast(epoch(date_trunc('second', ts)) as bigint) // 60 * 60 as last from usage) select last - k * 60 as start, {SUMS} from t, unnest(range(0, 60)) as u(k) group by 1")
+def stream_sliding_panes(spark, d):
+    """The windows of stream_sliding_minute from panes of a minute. A row long after all others closes the last window, without being in one that comes out."""
+    rows = usage(spark, d).select("event_id", "epoch", *COUNTERS)
+    month = 31 * 86_400
+    end = rows.agg(F.max("event_id") + 1, F.max("epoch") + 3 * month).withColumns({c: F.lit(0).cast("long") for c in COUNTERS})
+    folder, out = streamed(rows.union(end), "panes"), scratch(spark, "closed-panes")
+    stream = rates.paned(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder), late=f"{month} seconds")
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "panes-progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.unix_seconds("start").alias("start"), *COUNTERS)
+
+
 LATE = 600  # seconds
 CLOSED_SQL = f"""{USAGE_SQL}, t as (select *, event_id % 10 = 0 as late, cast(epoch(date_trunc('second', ts)) as bigint) as second from usage),
 w as (select max(second) filter (not late) - {LATE} as first_mark, max(second) - {LATE} as last_mark from t)"""

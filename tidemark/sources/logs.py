@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.models import dedup_key, fast_tier
 from tidemark.functions.timeutil import instant
-from tidemark.operators.counters import counter_delta, forward_fill, normalised
 from tidemark.operators.dedup import keep_max
+from tidemark.operators.segments import session_records
 from tidemark.sources.lines import read_lines
 
 NEEDLE = "input_tokens"  # in every line that matters, so that others aren't parsed
@@ -58,7 +58,8 @@ def counter_records(lines: DataFrame, tenant: str | None = None) -> DataFrame:
     """Records of logs with cumulative counters: deltas within a file, models from the context lines before.
 
     The model is carried before token events are chosen, deltas are taken among
-    them only. Only a few numbers of each line are shuffled, by file.
+    them only. Only a few numbers of each line are shuffled, by file and block, so
+    that a huge file's blocks go to many tasks.
     """
     rows = decoded(lines.where(F.col("value").contains(NEEDLE) | F.col("value").contains("turn_context")), EVENT)
     counts, zero = F.col("j.payload.info.total_token_usage"), F.lit(0).cast("long")
@@ -74,10 +75,8 @@ def counter_records(lines: DataFrame, tenant: str | None = None) -> DataFrame:
         F.when(counts.isNotNull(), F.coalesce(counts["cached_input_tokens"], zero)).alias("cached"),
         counts["output_tokens"].alias("output"),
     )
-    session, order = ["file_path"], ["block", "line_no"]
-    filled = forward_fill(narrow, "model", session, order)
-    events = filled.where(F.col("is_count") & F.col("epoch").isNotNull() & F.col("input").isNotNull() & F.col("output").isNotNull())
-    records = normalised(counter_delta(events, ["input", "cached", "output"], session, order))
+    event = F.col("is_count") & F.col("epoch").isNotNull() & F.col("input").isNotNull() & F.col("output").isNotNull()
+    records = session_records(narrow, "model", F.coalesce(event, F.lit(False)), ["file_path"], "block", ["line_no"])
     return records.withColumns({"tenant": F.lit(tenant).cast("string"), "provider": F.lit("codex"), "dedup_key": F.lit(None).cast("string")}).select(*RECORD)
 
 

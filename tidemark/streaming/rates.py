@@ -48,3 +48,16 @@ def sliding(usage: DataFrame, width: str = "60 minutes", step: str = "1 minute",
     """As tumbling, for windows that begin every ``step``."""
     window = F.window("ts", width, step)
     return with_watermark(usage, late).groupBy(*(keys or []), window).agg(*[F.sum(c).alias(c) for c in COUNTERS]).select(*(keys or []), F.col("window.start").alias("start"), *COUNTERS)
+
+
+def paned(usage: DataFrame, width: str = "60 minutes", step: str = "1 minute", late: str = "10 minutes", keys: list[str] | None = None) -> DataFrame:
+    """As sliding in append mode, from panes: each row is summed once into its pane of ``step``, and only panes are copied into the windows they lie in.
+
+    ``width`` is a multiple of ``step``. A window comes once, when the watermark has
+    passed its panes and itself; rows that come for it afterwards are dropped.
+    """
+    keys = keys or []
+    sums = [F.sum(c).alias(c) for c in COUNTERS]
+    panes = with_watermark(usage, late).groupBy(*keys, F.window("ts", step)).agg(*sums)
+    windows = panes.groupBy(*keys, F.window(F.window_time("window"), width, step)).agg(*sums)
+    return windows.select(*keys, F.col("window.start").alias("start"), *COUNTERS)
