@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as C
 from tests.llm.test_packing import whole
 from tests.llm.test_pii import brute
@@ -40,6 +42,27 @@ def test_stages_on_odd_rows(spark):
     assert packed.groupBy("doc_id").count().count() == 4 and packed.where("doc_id = 4").count() == 10
 
 
+@pytest.mark.parametrize("number", range(4))
+def test_columns_with_the_stages_own_names(spark, number):
+    """Columns of any name come out as they went in; packing says what it returns."""
+    names = "root _id id _digest digest _spans spans _terms terms _toxicity score _kept_id kept_id kept_digest row key fp cluster".split()
+    own = {3: "call +1 (017) 555-7713 now or never", 4: "mail a.person@mail.example and more words here", 5: "six words that have no copy", 6: None}
+    rows = [(i, text, "en", "s", len(text or ""), *[f"{n}-{i}" for n in names]) for i, text in own.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    if number == 0:
+        out = toxicity.without_toxic(docs, spark.createDataFrame([(3, 0), (4, 1)], "doc_id long, toxic int"))
+    else:
+        out = C.STAGES[number][1](spark, docs, "")
+    if number == 3:
+        assert out.groupBy("doc_id").count().count() == 4
+        return
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got.keys() == own.keys() and all(r[n] == f"{n}-{i}" for i, r in got.items() for n in names)
+    changed = {3: "call [PHONE] now or never", 4: "mail [EMAIL] and more words here"} if number == 2 else {}
+    assert {i: r.text for i, r in got.items()} == own | changed
+
+
 def test_stages_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -123,17 +123,26 @@ def test_edges_of_the_input(spark):
     docs = spark.createDataFrame(rows, schema)
     got = {(r.doc_id, r.component_id) for r in S.near_groups(docs).collect()}
     assert got == {(3, 1), (1, 1), (7, 7), (8, 7), (None, None)}
-    kept = S.dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 7, None]
     assert S.near_groups(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_long_path(spark):
-    from tidemark.llm.graph import components
-
-    edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.root for r in components(edges).collect()} == {0}
+@pytest.mark.parametrize("order", ["ascending", "mixed"])
+def test_components_of_a_long_path(spark, monkeypatch, order):
+    """Two paths of 10,000 nodes take a bounded number of rounds; a star with a large centre and a node of two components too."""
+    from tidemark.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, name, staged=graph.staged: written.append(name) or staged(df, name))
+    place = list(range(10_000))
+    if order == "mixed":
+        random.Random(2).shuffle(place)
+    paths = [(a + base, b + base) for base in (0, 50_000) for a, b in zip(place, place[1:], strict=False)]
+    star = [(90_000 + i, 99_999) for i in range(200)]
+    edges = spark.createDataFrame([*paths, *star, (7, 7), (99_999, 90_000)], "a long, b long")
+    found = {r.node: r.root for r in graph.components(edges).collect()}
+    assert {found[i] for i in range(10_000)} == {0} and {found[50_000 + i] for i in range(10_000)} == {50_000}
+    assert {found[i] for i in (*range(90_000, 90_200), 99_999)} == {90_000} and len(found) == 20_201
+    assert written.count("edges") <= (3 if order == "ascending" else 12) and written.count("labels") <= 40
 
 
 def brute_similar(texts):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.sources.shared import scratch
 
@@ -24,6 +25,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a table in one, ``row``, which no helping column's name can clash with; ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A vocabulary file: in ``folder``, $TOKENIZER_DIR, or the installed package of public tokenizers."""
     folder = folder or os.environ.get("TOKENIZER_DIR")

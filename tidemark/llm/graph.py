@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 
 
+def followed(label: DataFrame) -> DataFrame:
+    """``label(node, to)`` with each pointer followed to its end, twice as far in each round; ends point at themselves, and others at smaller nodes."""
+    while True:
+        ahead = label.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("next"))
+        step = label.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        step = staged(step, "labels")
+        label = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(node, root)``, root the smallest node that can be reached.
 
-    Each round takes every node's smallest neighbour (or itself) as its label,
-    renames both ends of all edges, and drops edges that have become loops, so
-    the graph shrinks to nothing; labels are composed along the way. A group-by
-    with a minimum pre-aggregates, so a node with very many edges sends one row
-    per task. Every round is written to the shared folder. No edges give no rows.
+    Each round points every node at its smallest neighbour (or itself), follows the
+    pointers to their ends, renames both ends of all edges, and drops edges that have
+    become loops. A node that stays its own end in one round has a smaller neighbour
+    in the next, so two rounds at least halve the nodes, and a path of any order takes
+    as many rounds as the logarithm of its length. A group-by with a minimum
+    pre-aggregates, so a node with very many edges sends one row per task. Every
+    round is written to the shared folder. No edges give no rows.
     """
     both = edges.select("a", "b").where("a <> b")
     both = staged(both.union(both.select("b", "a")).distinct(), "edges")
     names = None
     while not both.isEmpty():
-        label = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"), "labels")
+        label = followed(staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"), "labels"))
         if names is None:
             names = label
         else:

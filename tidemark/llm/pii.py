@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import staged, table, whole_row
 from tidemark.llm.url_filter import marked
 
 WINDOW = 8  # words on either side of an entity that tell copies from different contexts
@@ -282,7 +282,7 @@ def sanitise_udf(text: pd.Series, spans: pd.Series, terms: pd.Series) -> pd.Seri
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data taken out of ``text`` and n_chars brought up to date.
 
-    All rows and columns stay; null and empty texts stay null and empty, rows that
+    All rows and columns stay, whatever those are called; null and empty texts stay null and empty, rows that
     repeat an id and a text are changed alike. Texts without a digit or @ can't hold a base span,
     so they pass through and only the others are joined with their spans.
     """
@@ -290,15 +290,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     some = docs.where(suspect)
     found = found_spans(some)
     terms = term_spans(found, disclosing(found, docs), some)
-    spans = found.where(F.size("spans") > 0).select(id_key().alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
-    terms = terms.select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms"))
-    both = spans.join(terms, "_digest", "left")
-    keyed = some.withColumns({"_id": id_key(), "_digest": F.xxhash64("text")}).join(both, ["_id", "_digest"], "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(sanitise_udf("text", F.coalesce("_spans", F.array().cast(T.ArrayType(SPAN))), F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,ratio:double>>"))))
-    done = keyed.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns).unionByName(docs.where(~suspect))
+    spans = found.where(F.size("spans") > 0).select(id_key(), "digest", "spans").dropDuplicates(["id", "digest"])
+    keyed = some.select(whole_row(docs), "text", id_key(), F.xxhash64("text").alias("digest"))
+    both = keyed.join(spans.join(terms, "digest", "left"), ["id", "digest"], "left")
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(sanitise_udf("text", F.coalesce("spans", F.array().cast(T.ArrayType(SPAN))), F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,ratio:double>>"))))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    done = both.withColumn("text", clean).select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    return done.unionByName(docs.where(~suspect))
 
 
 def listed(spans: Column) -> Column:

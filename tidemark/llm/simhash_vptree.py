@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import staged, whole_row
 from tidemark.llm.graph import components
 from tidemark.llm.url_filter import semi_join
 
@@ -282,18 +282,6 @@ def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return fps.join(named.select("fp", "root").join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of each near-duplicate group, with all columns of ``docs``.
-
-    The row with the group's component_id stays; rows that repeat a doc_id count
-    as copies. Rows with a null doc_id stay as they are: they can't be named as a
-    group's representative.
-    """
-    keep = near_groups(docs.where("doc_id is not null"), bits).select(F.col("component_id").alias("_kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Hashes of a text's distinct LIKE_WORDS-word shingles, in order."""
     return np.unique(np.array(shingle_hashes(text, LIKE_WORDS), dtype=np.uint64))
@@ -460,11 +448,12 @@ def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFram
 
 
 def dedup_similar(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar texts, with all columns of ``docs``: the smallest doc_id, null last, then the smallest digest."""
+    """One row of each group of similar texts, with all columns of ``docs``, whatever those are called: the smallest doc_id, null last, then the smallest digest."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    keep = similar_groups(docs).groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_digest"]))
-    return kept.dropDuplicates(["root"]).select(*docs.columns)
+    keep = similar_groups(docs).groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    return kept.dropDuplicates(["root"]).select("row.*")
 
 
 def op3_simhash_vptree(spark, sf_dir):

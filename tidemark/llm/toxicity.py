@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import staged, table, whole_row
 
 MAX_ROWS = 20_000  # labelled rows that a model is fitted on, at most
 SIGNIFICANT = 15.0  # chi-square of a word and the label
@@ -162,12 +162,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with their columns.
+    """The rows of ``docs`` that score under ``threshold``, with their columns, whatever those are called.
 
     Null and empty texts score by the bias alone and repeated rows alike; rows
     without a label or an id are scored as all others. Without labels nothing goes.
     """
-    return scored(docs, fit(docs, labels), score="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return scored(docs.select(whole_row(docs), "text"), fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
 def op5_toxicity(spark, sf_dir):
