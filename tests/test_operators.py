@@ -239,3 +239,15 @@ def test_totals_in_one_aggregation(spark):
     assert rollup.with_total(rows.limit(0), "bucket", "tokens").collect() == [(None, None)]
     by_tenant = rollup.with_total(rows, "bucket", "tokens", ["tenant"])
     assert sorted(map(tuple, by_tenant.collect()), key=str) == sorted([w[:3] for w in want if w[3] < 2], key=str)
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_maps_merge_key_by_key(spark, fan):
+    rows = [("t", "d", i % 3, {"a": i, "b": 1} if i % 2 else {"c": 5}) for i in range(40)] + [("t", "d", 0, None), ("u", "d", 0, {})]
+    merged = rollup.merge_maps(spark.createDataFrame(rows, "tenant string, day string, minute int, by_model map<string,bigint>"), keys=["tenant"], fan=fan)
+    want = {}
+    for tenant, _, minute, by in rows:
+        slot = want.setdefault((tenant, minute), {})
+        for k, v in (by or {}).items():
+            slot[k] = slot.get(k, 0) + v
+    assert {(r.tenant, r.minute): r.by_model for r in merged.collect()} == want

@@ -151,3 +151,17 @@ def test_now():
 
     assert Now.at(datetime(2026, 6, 7, 16, 30, tzinfo=UTC), "Asia/Singapore") == Now("2026-06-08", 30)
     assert Now.at(datetime(2026, 6, 7, 16, 30)).month == "2026-06"
+
+
+def test_every_line_is_accounted_for(spark, tmp_path):
+    """Fates, bytes and the dropped lines themselves; records as without the account; one reading of the files."""
+    lines = [turn(), turn("m2"), "{" + turn()[1:-1], turn("b1", input_tokens="1"), turn("b2", output_tokens=None), turn("b3", ts="2026-06-03"), json.dumps({"type": "x"}), "input_tokens", '{"input_tokens": 1}', '[1, "input_tokens"]', "é"]
+    write(f"{tmp_path}/logs/a.jsonl", lines)
+    read = read_lines(spark, [f"{tmp_path}/logs"])
+    found = logs.judged_turns(read)
+    assert found.metrics == {"lines": 11, "bytes": sum(len(x.encode()) for x in lines), "record": 2, "other": 2, "not json": 2, "wrong type": 2, "no usage": 2, "no instant": 1}
+    reasons = {r.value: r.reason for r in found.dropped.collect()}
+    assert reasons == {lines[2]: "not json", lines[7]: "not json", lines[3]: "wrong type", lines[9]: "wrong type", lines[4]: "no usage", lines[8]: "no usage", lines[5]: "no instant"}
+    assert sorted(map(tuple, found.records.collect()), key=str) == sorted(map(tuple, logs.turn_records(read).select(*logs.RECORD).collect()), key=str)
+    none = logs.judged_turns(read_lines(spark, [f"{tmp_path}/absent"]))
+    assert none.records.count() == none.dropped.count() == 0

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.models import listed_model, total
 from tidemark.functions.timeutil import day_key, minute_of_day
 from tidemark.schema import COUNTERS
 
+#: Maps of a slot that are merged at once.
+MAP_FAN = 64
 TOKENS = [f"{c}_tokens" for c in COUNTERS]
 
 
@@ -91,3 +93,32 @@ def models_map(minute_models: DataFrame, keys: list[str] | None = None) -> DataF
     """A map from model to tokens for each day and minute, for presentation."""
     pairs = F.array_sort(F.collect_list(F.struct("model", "tokens")))
     return minute_models.groupBy(*(keys or []), "day", "minute").agg(F.map_from_entries(pairs).alias("by_model"))
+
+
+def add_maps(a: Column, b: Column) -> Column:
+    """Two maps from model to tokens, added up key by key; a null map adds nothing."""
+    none = F.create_map().cast("map<string,bigint>")
+    zero = F.lit(0).cast("long")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+
+
+def merge_maps(rows: DataFrame, by_model: str = "by_model", keys: list[str] | None = None, fan: int = MAP_FAN) -> DataFrame:
+    """One map for each day and minute from maps of several rows, without taking them apart.
+
+    Equal maps of a slot become one first. Then its maps are merged in groups of
+    about ``fan``, dealt by their hash, and the groups' maps likewise until a slot has
+    one group, so that a slot with very many maps isn't gathered in one step.
+    """
+    slot = [*(keys or []), "day", "minute"]
+    none = F.create_map().cast("map<string,bigint>")
+    merged = F.aggregate("maps", none, add_maps).alias("by_model")
+    entries = F.array_sort(F.map_entries(F.coalesce(by_model, none))).alias("entries")
+    alike = rows.select(*slot, entries).groupBy(*slot, "entries").agg(F.count("*").alias("n"))
+    times = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["key"], e["value"] * F.col("n"))))
+    rows = alike.select(*slot, times.alias("by_model"))
+    most = rows.groupBy(*slot).count().agg(F.max("count")).first()[0] or 0
+    while most > fan:
+        most = -(-most // fan)
+        part = F.pmod(F.xxhash64(F.lit(most), F.array_sort(F.map_entries("by_model"))), F.lit(most)).alias("part")
+        rows = rows.groupBy(*slot, part).agg(F.collect_list("by_model").alias("maps")).select(*slot, merged)
+    return rows.groupBy(*slot).agg(F.collect_list("by_model").alias("maps")).select(*slot, merged)

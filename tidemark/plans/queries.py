@@ -194,6 +194,16 @@ def subtotals(spark, d):
     return out.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("provider", "day", "model")], "level", "tokens")
 
 
+@query(f"""with {USAGE_SQL}, m as (select day, minute, model, cast(sum({TOTAL}) as bigint) as tokens from usage group by day, minute, model)
+select day, minute, string_agg(model || '=' || tokens, ' ' order by model) as by_model from m group by day, minute""")
+def minute_maps(spark, d):
+    """Maps from model to tokens of each provider's and user's minutes, merged into one a minute as maps."""
+    own = rollup.models_map(rollup.minute_by_model(usage(spark, d), ["provider", "user_id"]), ["provider", "user_id"])
+    merged = rollup.merge_maps(own)
+    pairs = F.transform(F.array_sort(F.map_entries("by_model")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return merged.select("day", "minute", F.array_join(pairs, " ").alias("by_model"))
+
+
 LISTING = "select page_id, 'p' || page_id as path, page_id % 7 as mtime, length(html) as size from pages where page_id % 5 <> {gone}"
 
 

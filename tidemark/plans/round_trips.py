@@ -81,6 +81,31 @@ def counter_logs(spark, d):
     return records.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read")])
 
 
+FATE_SQL = "case event_id % 12 when 1 then 'not json' when 2 then 'wrong type' when 3 then 'no usage' when 4 then 'no instant' when 5 then 'other' else 'record' end"
+
+
+@query(f"""with {USAGE_SQL}, f as (select {FATE_SQL} as fate, output from usage)
+select fate, cast(count(*) as bigint) as lines, cast(sum(case when fate = 'record' then output else 0 end) as bigint) as output from f group by fate union all select 'lines', count(*), 0 from f""")
+def judged_lines(spark, d):
+    """Log lines of which some are broken in one of four ways, some about something else: each is counted, and the dropped ones are kept with their reasons."""
+    odd = F.col("event_id") % 12
+    broken = (
+        F.when(odd == 1, F.expr("left(value, length(value) - 1)"))
+        .when(odd == 2, F.regexp_replace("value", '"input_tokens":([0-9]+)', '"input_tokens":"$1"'))
+        .when(odd == 3, F.regexp_replace("value", '"output_tokens":', '"other_tokens":'))
+        .when(odd == 4, F.regexp_replace("value", '("timestamp":"[0-9-]+)T[^"]*"', '$1"'))
+        .when(odd == 5, F.lit('{"type":"summary"}'))
+        .otherwise(F.col("value"))
+    )
+    lines = turn_lines(spark, d, few_users()).withColumn("value", broken)
+    found = logs.judged_turns(read_lines(spark, [written(lines, "broken")], "*.txt"))
+    zero = F.lit(0).cast("long")
+    good = found.records.agg(F.lit("record").alias("fate"), F.count("*").alias("lines"), F.sum("output").alias("output"))
+    bad = found.dropped.groupBy(F.col("reason").alias("fate")).agg(F.count("*").alias("lines"), zero.alias("output"))
+    counted = spark.createDataFrame([(k, found.metrics[k], 0) for k in ("other", "lines")], "fate string, lines long, output long")
+    return good.unionByName(bad).unionByName(counted)
+
+
 def renamed(spark: SparkSession, folder: str, prefix: str) -> None:
     """Give the files of a folder's sessions, one each, names with a prefix and the ending of logs."""
     path = spark._jvm.org.apache.hadoop.fs.Path

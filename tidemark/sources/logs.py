@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.models import dedup_key, fast_tier
 from tidemark.functions.timeutil import instant
 from tidemark.operators.dedup import keep_max
 from tidemark.operators.segments import session_records
 from tidemark.sources.lines import read_lines
+from tidemark.sources.shared import scratch
 
 NEEDLE = "input_tokens"  # in every line that matters, so that others aren't parsed
 
@@ -32,26 +36,79 @@ def decoded(lines: DataFrame, schema: str) -> DataFrame:
     return parsed.where(F.col("j").isNotNull() & F.col("j._corrupt").isNull()).drop("value")
 
 
-def turn_records(lines: DataFrame, tenant: str | None = None) -> DataFrame:
-    """Records of logs with a usage in each turn, repeats included."""
-    rows = decoded(lines.where(F.col("value").contains(NEEDLE)), TURN).withColumn("epoch", instant(F.col("j.timestamp")))
+def kept_turns() -> Column:
+    """What a decoded line of turns must have: the two counts and an instant."""
     usage = F.col("j.message.usage")
-    some = usage["input_tokens"].isNotNull() & usage["output_tokens"].isNotNull() & F.col("epoch").isNotNull()
-    zero = F.lit(0).cast("long")
-    return rows.where(some).select(
+    return usage["input_tokens"].isNotNull() & usage["output_tokens"].isNotNull() & F.col("epoch").isNotNull()
+
+
+def turn_columns(tenant: str | None) -> list[Column]:
+    """RECORD from a decoded line ``j`` and its epoch."""
+    usage, zero = F.col("j.message.usage"), F.lit(0).cast("long")
+    return [
         F.lit(tenant).cast("string").alias("tenant"),
         F.lit("claude-native").alias("provider"),
-        "file_path",
-        "block",
-        "line_no",
-        "epoch",
+        F.col("file_path"),
+        F.col("block"),
+        F.col("line_no"),
+        F.col("epoch"),
         fast_tier(F.col("j.message.model"), usage["speed"]).alias("model"),
         usage["input_tokens"].alias("input"),
         usage["output_tokens"].alias("output"),
         F.coalesce(usage["cache_creation_input_tokens"], zero).alias("cache_creation"),
         F.coalesce(usage["cache_read_input_tokens"], zero).alias("cache_read"),
         dedup_key(F.col("j.message.id"), F.col("j.requestId")).alias("dedup_key"),
+    ]
+
+
+def turn_records(lines: DataFrame, tenant: str | None = None) -> DataFrame:
+    """Records of logs with a usage in each turn, repeats included."""
+    rows = decoded(lines.where(F.col("value").contains(NEEDLE)), TURN).withColumn("epoch", instant(F.col("j.timestamp")))
+    return rows.where(kept_turns()).select(*turn_columns(tenant))
+
+
+#: What may become of a line: a record; another line, that isn't about usage; or one of the reasons to drop it.
+FATES = ["record", "other", "not json", "wrong type", "no usage", "no instant"]
+
+
+class Judged(NamedTuple):
+    """Records, dropped lines (file_path, block, line_no, reason, value), and the number of lines by fate, of all lines, and of their bytes."""
+
+    records: DataFrame
+    dropped: DataFrame
+    metrics: dict[str, int]
+
+
+def judged_turns(lines: DataFrame, tenant: str | None = None) -> Judged:
+    """As turn_records, with what becomes of every line, from one reading.
+
+    Records and dropped lines are written side by side to the shared folder, other
+    lines are only counted. A line isn't json if it can't be parsed as such, is of
+    a wrong type if a used field is, and else lacks usage or an instant.
+    """
+    spark = lines.sparkSession
+    about, usage = F.col("value").contains(NEEDLE), F.col("j.message.usage")
+    parsed = lines.withColumn("j", F.when(about, F.from_json("value", TURN, {"columnNameOfCorruptRecord": "_corrupt"}))).withColumn("epoch", instant(F.col("j.timestamp")))
+    bad = F.col("j").isNull() | F.col("j._corrupt").isNotNull()
+    fate = (
+        F.when(~about, "other")
+        .when(bad & F.try_parse_json("value").isNull(), "not json")
+        .when(bad, "wrong type")
+        .when(usage["input_tokens"].isNull() | usage["output_tokens"].isNull() | usage.isNull(), "no usage")
+        .when(F.col("epoch").isNull(), "no instant")
+        .otherwise("record")
     )
+    seen = Observation()
+    size = F.coalesce(F.sum(F.octet_length("value")), F.lit(0))
+    counts = [F.count(F.when(F.col("fate") == f, 1)).alias(f) for f in FATES]
+    rows = parsed.withColumn("fate", fate).observe(seen, F.count("*").alias("lines"), size.alias("bytes"), *counts).where("fate <> 'other'")
+    value = F.when(F.col("fate") != "record", F.col("value")).alias("value")
+    folder = scratch(spark, "judged")
+    rows.select(*turn_columns(tenant), value, "fate").write.partitionBy("fate").parquet(folder)
+    schema = StructType([*turn_records(lines).schema.fields, StructField("value", StringType()), StructField("fate", StringType())])
+    read = spark.read.schema(schema).parquet(folder)
+    dropped = read.where("fate <> 'record'").select("file_path", "block", "line_no", F.col("fate").alias("reason"), "value")
+    return Judged(read.where("fate = 'record'").select(*RECORD), dropped, seen.get)
 
 
 def counter_records(lines: DataFrame, tenant: str | None = None) -> DataFrame:
