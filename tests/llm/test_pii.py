@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii as P
 
@@ -120,9 +121,10 @@ def brute_disclosing(texts, alpha, support):
         every.update(w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w)
         taken = {i for _, a, b in spans for i in range(a, b)}
         free = [m[0].lower() for m in regex.finditer(r"[\p{L}\p{N}]+", text) if taken.isdisjoint(range(*m.span()))]
-        for entity, context in P.nearby(text, spans):
-            words_of[entity] += len(free)
-            for w in free:
+        for entity, context, passages in P.nearby(text, spans):
+            here = [w for p in passages for w in free[p * P.PASSAGE : (p + 1) * P.PASSAGE]]
+            words_of[entity] += len(here)
+            for w in here:
                 meets[w, entity] += 1
                 contexts[w, entity].add(context)
     n, out = sum(every.values()), {}
@@ -164,3 +166,33 @@ def test_a_very_long_text_with_many_entities(spark):
     rows = {r.doc_id: r for r in P.detect(docs).collect()}
     assert len(rows[1].spans) == 16_000 and not rows[2].spans
     assert "@" not in {r.doc_id: r.text for r in P.sanitise(docs).collect()}[1]
+
+
+def test_passages_of_an_entity():
+    words = [f"w{i}" for i in range(3 * P.PASSAGE)]
+
+    def of(at):
+        text = " ".join([*words[:at], "a.person@mail.example", *words[at:]])
+        return {e: p for e, _, p in P.nearby(text, P.base_spans(text))}["email:@mail.example"]
+
+    assert of(0) == of(5) == [0] and of(P.PASSAGE - 1) == [0] and of(P.PASSAGE) == [0, 1] and of(P.PASSAGE + 1) == [1] and of(3 * P.PASSAGE) == [2]
+    assert P.nearby("a@b.example", P.base_spans("a@b.example")) == [("email:a@b.example", P.nearby("a@b.example", P.base_spans("a@b.example"))[0][1], [0]), ("email:@b.example", P.nearby("a@b.example", P.base_spans("a@b.example"))[1][1], [0])]
+
+
+def test_pairs_grow_in_proportion_to_long_texts(spark):
+    """Texts of many words and many addresses of shared domains; results equal brute force."""
+
+    def texts(n):
+        return [" ".join(f"x{t}y{i} common person{i}@mail{i % 50}.example" for i in range(n)) for t in range(4)]
+
+    rows = {}
+    for n in (500, 2000):
+        docs = spark.createDataFrame(list(enumerate(texts(n))), "doc_id long, text string")
+        held = P.holders(P.found_spans(docs))
+        items = held.groupBy("digest").agg(F.collect_list(F.struct("entity", "context", "copies", "passages")).alias("items"))
+        rows[n] = P.met(docs, items).count()
+    assert rows[2000] < 5 * rows[500]
+    docs = spark.createDataFrame(list(enumerate(texts(500))), "doc_id long, text string")
+    got = {(r.term, r.entity): r.ratio for r in P.disclosing(P.found_spans(docs), docs, 100.0, 2).collect()}
+    want = brute_disclosing(texts(500), 100.0, 2)
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

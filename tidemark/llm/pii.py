@@ -4,8 +4,10 @@ Base spans are e-mail addresses, IP addresses, card and telephone numbers. Each
 value found is a protected entity, and so is each class that it belongs to, as most
 values stand in too few documents to count with: an address's domain and the names
 in its local part, a network, an area code, a card's issuer. Words outside spans
-are counted in the documents that an entity stands in: with f(t) occurrences of term t, f(t, e) of them in
-documents with entity e, f(e) words in those and n words in all,
+are counted in the passages that an entity stands in, PASSAGE words each, so that a
+long text with many words and many entities has no product of both: with f(t)
+occurrences of term t, f(t, e) of them outside spans in passages with entity e, f(e)
+words in those and n words in all, where f(t) and n count all words of all texts,
 
     PMI(t, e) = log2(f(t, e) n / (f(t) f(e))),    IC(e) = -log2(f(e) / n).
 
@@ -36,6 +38,7 @@ from tidemark.llm.common import staged, table, whole_row
 from tidemark.llm.url_filter import marked
 
 WINDOW = 8  # words on either side of an entity that tell copies from different contexts
+PASSAGE = 256  # words outside spans
 ALPHA = 1.25
 REMOVE = 0.95
 SUPPORT = 3
@@ -55,8 +58,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = "[^\\p{L}\\p{N}]+"  # what separates words
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.LongType())])
-COUNTED = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.LongType()), T.StructField("passages", T.ArrayType(T.IntegerType()))])
+COUNTED = pa.list_(pa.struct([("words", pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))), ("items", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("copies", pa.int64())])))]))
 PLACED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
 TOGETHER = 64  # texts whose words are held at once
 
@@ -109,24 +112,33 @@ def entities(kind: str, value: str) -> list[str]:
     return [f"{kind}:{digits}", f"{kind}:{digits[:CLASS_DIGITS[kind]]}*"]
 
 
-def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
-    """(entity, context) for each entity and class of a text; context is a hash of the words within WINDOW words of its places."""
+def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, list[int]]]:
+    """(entity, context, passages) for each entity and class of a text.
+
+    context is a hash of the words within WINDOW words of its places, passages are
+    those that it stands in, two where it stands between them.
+    """
     words = [m.span() for m in word_pattern().finditer(text)]
     starts, ends = [w[0] for w in words], [w[1] for w in words]
-    near: dict[str, set[str]] = {}
+    free = [a for _, a, _ in free_words(text, spans)]
+    near: dict[str, tuple[set[str], set[int]]] = {}
     for kind, start, end in spans:
         left, right = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
         at = (*range(max(0, left - WINDOW), left), *range(right, min(len(words), right + WINDOW)))
         context = " ".join(text[a:b] for a, b in (words[i] for i in at))
+        before = bisect.bisect_left(free, start)
+        passages = {max(0, min(i, len(free) - 1)) // PASSAGE for i in (before - 1, before)}
         for entity in entities(kind, text[start:end]):
-            near.setdefault(entity, set()).add(context)
-    return [(e, xxhash.xxh64_intdigest("\n".join(sorted(c)).encode("utf-8", "replace")) - (1 << 63)) for e, c in near.items()]
+            contexts, found = near.setdefault(entity, (set(), set()))
+            contexts.add(context)
+            found |= passages
+    return [(e, xxhash.xxh64_intdigest("\n".join(sorted(c)).encode("utf-8", "replace")) - (1 << 63), sorted(p)) for e, (c, p) in near.items()]
 
 
-def free_words(text: str) -> list[tuple[str, int, int]]:
+def free_words(text: str, spans: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """(word, start, end) of the words outside all base spans."""
     taken: list[list[int]] = []
-    for s, e in sorted((s, e) for _, s, e in base_spans(text)):
+    for s, e in sorted((s, e) for _, s, e in (base_spans(text) if spans is None else spans)):
         if taken and s < taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
@@ -155,9 +167,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def holders(found: DataFrame) -> DataFrame:
-    """(digest, entity, context, copies) of the texts that entities stand in."""
-    near = found.select("digest", F.explode("near").alias("n")).select("digest", "n.entity", "n.context")
-    return near.groupBy("digest", "entity", "context").agg(F.count("*").alias("copies"))
+    """(digest, entity, context, passages, copies) of the texts that entities stand in."""
+    near = found.select("digest", F.explode("near").alias("n")).select("digest", "n.entity", "n.context", "n.passages")
+    return near.groupBy("digest", "entity", "context", "passages").agg(F.count("*").alias("copies"))
 
 
 def texts_with(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -169,13 +181,25 @@ def texts_with(docs: DataFrame, items: DataFrame) -> DataFrame:
     return texts.select("digest", "text").dropDuplicates(["digest"]).join(items, "digest")
 
 
+def parts_of(text: str, items: list[dict]) -> list[dict]:
+    """The passages of a text that an item stands in: their words outside spans with their counts, their number as that of the empty word, and the items."""
+    held: dict[int, list[dict]] = {}
+    for x in items:
+        for p in x["passages"]:
+            held.setdefault(p, []).append({k: x[k] for k in ("entity", "context", "copies")})
+    words, out = [w[0].lower() for w in free_words(text)], []
+    for p, some in held.items():
+        counts = Counter(words[p * PASSAGE : (p + 1) * PASSAGE])
+        out.append({"words": [{"term": "", "n": counts.total()}, *({"term": w, "n": n} for w, n in counts.items())], "items": some})
+    return out
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, text, items) to (items, words): the words outside spans with their counts, and their number as that of the empty word."""
+    """(digest, text, items) to (parts): see parts_of."""
     for batch in batches:
         for part in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
-            words = [Counter(w[0].lower() for w in free_words(t.as_py() or "")) for t in part.column("text")]
-            made = pa.array([[{"term": "", "n": c.total()}, *({"term": w, "n": n} for w, n in c.items())] for c in words], COUNTED)
-            yield pa.RecordBatch.from_arrays([part.column("items"), made], ["items", "words"])
+            made = [parts_of(t.as_py() or "", items.as_py()) for t, items in zip(part.column("text"), part.column("items"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, COUNTED)], ["parts"])
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,20 +220,20 @@ def word_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def met(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(term, entity, context, n): the words of the texts of ``items(digest, items)`` with each of their entities, n with the texts' copies."""
-    schema = f"items {items.schema['items'].dataType.simpleString()}, words array<struct<term:string,n:long>>"
-    words = texts_with(docs, items).mapInArrow(counted, schema)
-    rows = words.select("items", F.inline("words")).select("term", "n", F.inline("items"))
+    """(term, entity, context, n): the words of the passages of ``items(digest, items)`` with each of their entities, n with the texts' copies."""
+    schema = "parts array<struct<words:array<struct<term:string,n:bigint>>,items:array<struct<entity:string,context:bigint,copies:bigint>>>>"
+    parts = texts_with(docs, items).mapInArrow(counted, schema).select(F.inline("parts"))
+    rows = parts.select("items", F.inline("words")).select("term", "n", F.inline("items"))
     return rows.select("term", "entity", "context", (F.col("n") * F.col("copies")).alias("n"))
 
 
 def pairs_of(docs: DataFrame, held: DataFrame, support: int, few: int = FEW) -> DataFrame:
     """(term, entity, f_te) of terms and entities that meet in ``support`` contexts; the empty term has the entity's f_e.
 
-    ``held(digest, entity, context, copies, texts)`` has the number of texts with the entity. With at most
+    ``held(digest, entity, context, passages, copies, texts)`` has the number of texts with the entity. With at most
     ``few`` texts, so few rows a pair, pairs are shuffled once; with more they are first summed up by context.
     """
-    item = F.struct("entity", "context", "copies")
+    item = F.struct("entity", "context", "copies", "passages")
     kinds = [staged(held.where(kind).groupBy("digest").agg(F.collect_list(item).alias("items")), "held") for kind in (F.col("texts") <= few, F.col("texts") > few)]
     rows = [met(docs, kinds[0]).repartition("term", "entity")]
     if not kinds[1].isEmpty():
