@@ -28,7 +28,7 @@ RULES = [
 ]
 
 # Parts of host names that put a page's URL on the list.
-LISTED_WORDS = ["casino", "pills", "poker", "porn", "spam", "viagra", "warez"]
+LISTED_WORDS = ["ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam", "track", "viagra", "warez"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = "^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
