@@ -1,6 +1,7 @@
 import zlib
 from hashlib import sha256
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -73,6 +74,9 @@ def test_query_against_brute_force(spark):
     got = result(M.op12_merkle_manifest(spark, d))
     assert got == want
     assert {r[6] for r in got} == {True, False}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    assert sorted(con.execute(M.oracle()).fetchall(), key=str) == want
 
 
 def small(n, source, start=0):

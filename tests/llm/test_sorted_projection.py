@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -66,6 +67,8 @@ def test_groups_of_all_sizes_and_cosines(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = by_hand(rows)
     assert result(P.linked(frame, window=32, tile=64)) == want
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841  read by DuckDB
+    assert sorted(duckdb.sql(P.oracle()).fetchall(), key=str) == want
     assert max(r[1] for r in want) > 400 and sum(r[1] == 1 for r in want) > 60
 
 

@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -69,6 +70,9 @@ def test_query_against_brute_force(spark):
     want = variants_by_hand(words_by_hand(zip(docs["doc_id"], docs["text"], strict=True)))
     got = result(S.op13_spelling_variants(spark, d))
     assert got == want
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(S.oracle()).fetchall()} == want
     assert any(form for form, *_ in got.values()) and any(root != form for form, root, *_ in got.values() if form)
 
 

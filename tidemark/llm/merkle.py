@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table
+from tidemark.llm.crc_sql import CRCS, crc32_sql
 from tidemark.llm.ranks import ranked, whole_groups
 
 FAN = 16
@@ -274,3 +275,41 @@ def all_proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof, folded from the tampered text where it is tampered with."""
     return all_proofs(table(spark, sf_dir, "documents").select(*FIELDS))
+
+
+def levels_sql(name: str, count: int) -> list[str]:
+    """Relations of a forest from {name}0(tree, i, h): {name}r1 to {name}r<count> hold each run's joined hashes, and n, the nodes of its tree's level."""
+    out = []
+    for k in range(1, count + 1):
+        below = f"(select *, count(*) over (partition by tree) as n from {name}{k - 1})"
+        out.append(f"{name}r{k} as materialized (select tree, i // {FAN} as i, n, string_agg(h, '' order by i) as r from {below} group by tree, i // {FAN}, n)")
+        out.append(f"{name}{k} as materialized (select tree, i, case when n = 1 then r else sha256(r) end as h from {name}r{k})")
+    return out
+
+
+def oracle(levels: int = 5, over: int = 3) -> str:
+    """The query in SQL, level by level: for sources of at most 16**levels rows, and at most 16**over sources."""
+
+    def frame(c: str) -> str:
+        return f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(frame(text if c == "text" else c) for c in FIELDS) + ")"
+
+    hit = f"doc_id is not null and {crc32_sql('cast(doc_id as varchar)')} % {TAMPERED} = 0"
+    parts = [
+        CRCS,
+        f"leaves as materialized (select doc_id, coalesce('s' || source, '') as tree, {leaf('text')} as h, case when {hit} then {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} end as changed from documents, crcs)",
+        "d0 as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i from leaves)",
+        *levels_sql("d", levels),
+        f"o0 as materialized (select '' as tree, row_number() over (order by encode(tree)) - 1 as i, h, tree as source from d{levels})",
+        *levels_sql("o", over),
+        f"p0 as (select d0.doc_id, d0.h as leaf, o0.h as subroot, o{over}.h as root, d0.tree, d0.i, o0.i as place, '' as proof, coalesce(changed, d0.h) as folded from d0 join o0 on o0.source = d0.tree, o{over})",
+    ]
+    steps = [("d", k, "p.tree", "p.i") for k in range(1, levels + 1)] + [("o", k, "''", "p.place") for k in range(1, over + 1)]
+    for number, (name, k, tree, index) in enumerate(steps):
+        here = f"{index} // {FAN ** (k - 1)}"
+        left, right = (f"case when n > 1 then {x} else '' end" for x in (f"left(r, cast({HEX} * ({here} % {FAN}) as int))", f"substr(r, cast({HEX} * ({here} % {FAN}) + {HEX + 1} as int))"))
+        sides = f"select p.*, x.n, {left} as a, {right} as b from p{number} p join {name}r{k} x on x.tree = {tree} and x.i = {here} // {FAN}"
+        parts.append(f"p{number + 1} as (select * exclude (n, a, b) replace (proof || a || b as proof, case when n > 1 then sha256(a || folded || b) else folded end as folded) from ({sides}))")
+    return f"with {', '.join(parts)} select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from p{len(steps)}"

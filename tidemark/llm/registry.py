@@ -24,4 +24,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_url_filter": url_filter.oracle()}
+    return {
+        "op7_url_filter": url_filter.oracle(),
+        "op11_sorted_projection": sorted_projection.oracle(),
+        "op12_merkle_manifest": merkle.oracle(),
+        "op13_spelling_variants": spelling.oracle(),
+    }

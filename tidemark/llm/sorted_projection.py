@@ -272,3 +272,15 @@ def linked(rows: DataFrame, vector: str = "embedding", cosine: float = LINK, win
 def op11_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's number of links at a cosine of 0.95 and its component."""
     return linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def oracle() -> str:
+    """The query in SQL, over all pairs."""
+    return f"""
+with recursive v as (select row_number() over () as row, vec_id, cast(embedding as double[]) as e from embeddings),
+good as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs as materialized (select a.row, b.row as other from good a join good b on a.row <> b.row and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {LINK}),
+reach as (select row, row as other from v union select r.row, p.other from reach r join pairs p on p.row = r.other),
+named as (select r.row, min(v.vec_id) as component_id from reach r join v on v.row = r.other group by r.row),
+counts as (select row, count(*) as n from pairs group by row)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept from v join named using (row) left join counts using (row)"""

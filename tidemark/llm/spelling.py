@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table
+from tidemark.llm.crc_sql import CRCS, crc32_sql
 
 # The letters of a word, of which only A-Z are lower-cased; the query's slips of the pen.
 RUN = "[A-Za-z\\u00C0-\\u00FF]"
@@ -267,3 +268,30 @@ def variants(vocab: DataFrame, factor: int = FACTOR, round_blocks: int = ROUND_B
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of six letters or more that occurs five times or more, with its more frequent spelling."""
     return variants(vocabulary(occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def oracle() -> str:
+    """The query in SQL: near words share a pattern with one letter taken or blanked out."""
+    cut = "left({0}, cast({1} as int)) || {2} || substr({0}, cast({1} as int) + 2)"
+    run = RUN.replace("\\u00C0-\\u00FF", "\u00c0-\u00ff")
+    drawn = crc32_sql("coalesce(cast(doc_id as varchar), '') || ':' || run")
+    at = "h % length(run)"
+    return f"""
+with recursive {CRCS},
+found as (select doc_id, translate(unnest(regexp_extract_all(text, '{run}+')), '{UPPER}', '{LOWER}') as run from documents),
+runs as (select doc_id, run, count(*) as n from found where length(run) >= {MIN_LENGTH} group by doc_id, run),
+drawn as (select run, n, {drawn} as h from runs, crcs),
+words as materialized (select word, cast(sum(n) as bigint) as n from (select case when h % {SLIP} = 0 then {cut.format("run", at, "''")} else run end as word, n from drawn)
+  where length(word) >= {MIN_LENGTH} group by word having sum(n) >= {MIN_COUNT}),
+places as (select word, unnest(range(length(word))) as i from words),
+blanked as (select word, {cut.format("word", "i", "'_'")} as pattern from places),
+shorter as (select distinct word, {cut.format("word", "i", "''")} as pattern from places),
+pairs as (select a.word, b.word as other from blanked a join blanked b on a.pattern = b.pattern and a.word <> b.word
+  union all select word, pattern from shorter where pattern in (select word from words)
+  union all select pattern, word from shorter where pattern in (select word from words)),
+near as (select p.word, other, o.n as other_n from pairs p join words o on o.word = other),
+best as (select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by other_n desc, encode(other)) as place from near),
+forms as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= {FACTOR} * w.n then other end as form, case when other_n >= {FACTOR} * w.n then other_n end as form_n
+  from words w left join best b on b.word = w.word and b.place = 1),
+chain as (select word, word as root, form as next from forms union all select c.word, f.word, f.form from chain c join forms f on f.word = c.next)
+select f.word, form, c.root, n, n_near, form_n from forms f join chain c on c.word = f.word and c.next is null"""
