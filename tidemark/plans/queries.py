@@ -323,6 +323,19 @@ def tz_rebucket(spark, d):
     return rollup.with_local_time(usage(spark, d), "+08:00").select("event_id", "day", "minute")
 
 
+# Summer time in central Europe, by UTC.
+SUMMERS = [("2024-03-31 01:00", "2024-10-27 01:00"), ("2025-03-30 01:00", "2025-10-26 01:00")]
+SUMMER_SQL = " or ".join(f"(t >= timestamp '{a}:00' and t < timestamp '{b}:00')" for a, b in SUMMERS)
+
+
+@query(f"""with {USAGE_SQL}, s as (select event_id, ts + to_days(cast(event_id % 700 as int)) as t from usage), l as (select event_id, t + case when {SUMMER_SQL} then interval 2 hour else interval 1 hour end as t from s)
+select event_id, strftime(t, '%Y-%m-%d') as day, cast(extract(hour from t) * 60 + extract(minute from t) as int) as minute from l""")
+def zone_daylight_saving(spark, d):
+    """Events spread over two years, by the days and minutes of a zone that changes its clocks."""
+    spread = usage(spark, d).withColumn("epoch", F.col("epoch") + F.col("event_id") % 700 * 86_400)
+    return rollup.with_local_time(spread, "Europe/Berlin").select("event_id", "day", "minute")
+
+
 RECENT = "with {m}, r as (select day, dense_rank() over (order by day desc) as k from (select distinct day from minutes where day <= '{today}'{but}))  select m.day, m.minute, m.input from minutes m join r using (day) where k <= {n}{but2}"
 
 
