@@ -85,3 +85,60 @@ def test_query_counts_counterfactuals(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = X.fit(docs, labels)
     assert model.mentions == labels.where("toxic in (0, 1)").where(~X.held_out(labels["doc_id"])).count()
+
+
+def least_loss(texts, labels, words, strength):
+    """Weights and bias of the least loss, by Newton steps on dense matrices made from the texts themselves."""
+    x = np.array([[w in t.split() for w in words] for t in texts], float)
+    y = np.array(labels, float)
+    share = np.where(y == 1, (len(y) - y.sum()) / y.sum(), 1.0)
+    changes = []  # of a text's features when an identity term is swapped or mentioned
+    terms = sorted({t for g in X.IDENTITY for t in g})
+    place = {t: i for i, t in enumerate(sorted({*words, *terms}))}
+    order = sorted(terms, key=place.get)
+    for number, text in enumerate(texts):
+        has = set(text.split())
+        for group in X.IDENTITY:
+            for term in has & set(group):
+                for other in set(group) - {term}:
+                    after = (has - {term}) | {other}
+                    changes.append([(w in after) - (w in has) for w in words])
+        drawn = next((t for t in np.roll(order, -(number * 7 + 3) % len(order)) if t not in has), None)
+        if drawn is not None:
+            changes.append([w == drawn for w in words])
+    d = np.array(changes, float)
+    w, b = np.zeros(len(words)), 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        error, curve = (p - y) * share, p * (1 - p) * share
+        step = np.append(x.T @ error + X.RIDGE * w + 2 * strength * d.T @ (d @ w), error.sum())
+        one = np.column_stack([x, np.ones(len(x))])
+        bend = one.T @ (one * curve[:, None])
+        bend[:-1, :-1] += X.RIDGE * np.eye(len(words)) + 2 * strength * d.T @ d
+        move = np.linalg.solve(bend, step)
+        w, b = w - move[:-1], b - move[-1]
+    return w, b
+
+
+def test_fit_against_the_least_loss(spark):
+    """The model's scores are those of the loss's minimum, found another way; with identity terms that are swapped, and mentioned."""
+    rng = np.random.default_rng(4)
+    plain = [f"w{i}" for i in range(12)]
+    texts, labels = [], []
+    for i in range(300):
+        toxic = i % 2
+        some = rng.choice(plain, 4, replace=False).tolist()
+        some += ["awful"] * (rng.random() < (0.8 if toxic else 0.1)) + ["women"] * (rng.random() < (0.5 if toxic else 0.1)) + ["men"] * (rng.random() < 0.2)
+        texts.append(" ".join(some))
+        labels.append(toxic)
+    terms = sorted({t for g in X.IDENTITY for t in g})
+    words = sorted({*plain, "awful", *terms})
+    place = {w: i for i, w in enumerate(words)}
+    pairs = sorted({(i, place[w]) for i, t in enumerate(texts) for w in t.split()})
+    rows, columns = np.array(pairs).T
+    for strength in (0.0, X.SWAPS):
+        w, b = X.fit_weights(rows, columns, np.array(labels, float), len(words), X.swaps(rows, columns, place), X.mentions(rows, columns, len(texts), place), strength)
+        want, bias = least_loss(texts, labels, words, strength)
+        x = np.array([[v in t.split() for v in words] for t in texts], float)
+        score = [1 / (1 + np.exp(-(x @ a + c))) for a, c in ((w, b), (want, bias))]
+        assert np.abs(score[0] - score[1]).max() < 0.02
