@@ -117,3 +117,16 @@ def test_edges_of_the_input(spark, block):
     assert K.pack(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(7, "abc"), (7, "abc"), (None, "d")], "doc_id long, text string")
     assert K.pack(twice).count() == 3
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_one_id_in_very_many_rows_is_dealt_to_several_tasks(spark, doc_id):
+    docs = spark.range(100_000).selectExpr(f"cast({doc_id or 'null'} as bigint) as doc_id", "repeat(cast(id as string), 1 + id % 5) as text", "cast(id as string) as salt", "map(1, id) as other")
+    rows = K.pack(docs)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert rows.columns == ["doc_id", "piece", "start", "length", "bin", "bin_length", "bin_offset"]
+    try:
+        tasks = rows.selectExpr("split(bin, '-')[0] as task").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(t["count"] for t in tasks) == 100_000 and len(tasks) >= 4 and max(t["count"] for t in tasks) < 50_000

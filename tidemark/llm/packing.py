@@ -96,11 +96,12 @@ def pack_block(pieces: list[int], lengths: tuple[int, ...] = LENGTHS, overhead:
 
 
 def pieces_of(docs: DataFrame, length: Column, largest: int) -> DataFrame:
-    """(doc_id, piece, start, length): documents of length 0 or null have one empty piece, long ones several."""
+    """(salt, doc_id, piece, start, length), salt a hash of the whole row: documents of length 0 or null have one empty piece, long ones several."""
     n = F.coalesce(length.cast("long"), F.lit(0).cast("long"))
     last = F.greatest(F.lit(0).cast("long"), F.ceil(n / largest) - 1)
-    cut = docs.select("doc_id", n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_i"))
-    return cut.select("doc_id", F.col("_i").cast("int").alias("piece"), (F.col("_i") * largest).alias("start"), F.least(F.lit(largest).cast("long"), F.col("_n") - F.col("_i") * largest).alias("length"))
+    salt = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    cut = docs.select("doc_id", n.alias("_n"), salt.alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_i"))
+    return cut.select("salt", "doc_id", F.col("_i").cast("int").alias("piece"), (F.col("_i") * largest).alias("start"), F.least(F.lit(largest).cast("long"), F.col("_n") - F.col("_i") * largest).alias("length"))
 
 
 def pack(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, block: int = BLOCK) -> DataFrame:
@@ -114,7 +115,8 @@ def pack(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...]
     """
     length = F.length("text") if length is None else length
     pieces = pieces_of(docs, length, max(lengths))
-    spread = pieces.repartition(F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "length", "doc_id", "piece")
+    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "salt"))  # rows that share an id, or have none, differ in the rest
+    spread = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece"), "length", "doc_id", "piece").drop("salt")
 
     def run(batches):
         from pyspark import TaskContext
