@@ -23,13 +23,15 @@ SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in COUNTERS)
 USERS = 10  # of a session elsewhere, so that sessions grow in number with the table, not in size
 
 
-SHELF = F.expr("p_partkey div 1000").alias("shelf")  # so that price documents grow in number with the table, not in size
-
-
 def few_users() -> Column:
     return F.expr(f"user_id div {USERS}")
 
 
+def shelf() -> Column:
+    """Of a thousand parts, so that price documents grow in number with the table, not in size."""
+    return F.expr("p_partkey div 1000").alias("shelf")
+
+
 def turn_lines(spark: SparkSession, sf_dir: str, session: Column | None = None) -> DataFrame:
     """Events as JSON lines with a usage in each turn: (session, event_id, value)."""
     rows = usage(spark, sf_dir)
@@ -166,7 +168,7 @@ def price_files(spark, d):
     """Parts as price entries, some of them without a usable input price, a document for each brand, size and shelf."""
     part, odd = table(spark, d, "part"), F.col("p_partkey") % 3 == 0
     entry = F.to_json(F.struct(F.when(~odd, F.col("p_size").cast("double")).alias("input_cost_per_token"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("output_cost_per_token")))
-    pairs = part.select("p_brand", "p_size", SHELF, F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), entry).alias("pair"))
+    pairs = part.select("p_brand", "p_size", shelf(), F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), entry).alias("pair"))
     docs = pairs.groupBy("p_brand", "p_size", "shelf").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("doc"))
     return prices.flat_prices(docs).select("model", "input", "output")
 
@@ -176,7 +178,7 @@ def nested_price_files(spark, d):
     """Parts as models of their brand's provider, a document for each brand, size and shelf; two providers are asked for."""
     part, odd = table(spark, d, "part"), F.col("p_partkey") % 3 == 0
     cost = F.struct(F.when(~odd, F.col("p_size").cast("double")).alias("input"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("output"))
-    pairs = part.select("p_brand", "p_size", SHELF, F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), F.to_json(F.struct(cost.alias("cost")))).alias("pair"))
+    pairs = part.select("p_brand", "p_size", shelf(), F.concat(F.lit('"m'), F.col("p_partkey").cast("string"), F.lit('":'), F.to_json(F.struct(cost.alias("cost")))).alias("pair"))
     models = pairs.groupBy("p_brand", "p_size", "shelf").agg(F.array_join(F.collect_list("pair"), ",").alias("models"))
     docs = models.select(F.concat(F.lit('{"'), "p_brand", F.lit('":{"models":{'), "models", F.lit("}}}")).alias("doc"))
     return prices.nested_prices(docs, ["Brand#1", "Brand#2"]).select("model", "input", "output")
