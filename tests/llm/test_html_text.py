@@ -125,3 +125,20 @@ def test_articles_in_wrappers(page):
 
 def test_short_last_paragraph_of_a_page_without_marks():
     assert H.main_text(f"<h1>A title</h1><p>{LONG}</p><p>The end.</p><p>{LONG}</p><p>So it was.</p>") == f"A title\n{LONG}\nThe end.\n{LONG}\nSo it was."
+
+
+PROSE = "This long paragraph of the text has quite a few words in it, as the paragraphs of real articles do, so that nobody would take it for a menu."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><body><nav><a href=a>Home</a></nav><article class='legal'><p>{0}</p><p>{0}</p></article></body></html>",
+        "<html><body><nav><a href=a>Home</a></nav><section id='privacy'><h1>{0}</h1><p>{0}</p></section></body></html>",
+        "<html><body><article class='newsletter'><p>{0}</p><p><label>{0}</label></p></article><div class='cookie'>We use cookies</div></body></html>",
+        "<html><body><article><p>{0}</p><p>{0}</p></article><article class='comment'><p>{0}</p></article><article class='ad'><p>{0}</p></article></body></html>",
+    ],
+)
+def test_articles_about_what_furniture_is_named_for(page):
+    """Legal texts, privacy statements and newsletters are articles; comments and adverts aren't, whatever their element."""
+    assert H.main_text(page.format(PROSE)) == f"{PROSE}\n{PROSE}"

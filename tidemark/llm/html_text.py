@@ -80,17 +80,18 @@ LABELLED = [
 # Words of class, id and role that name furniture, or the article.
 FURNITURE_NAMES = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs byline captcha comment comments complementary consent contentinfo cookie cookies "
-    "copyright dialog disclaimer discussion disqus footer form gdpr header legal links login masthead menu menus modal nav navbar navigation newsletter notice "
-    "notices pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
+    "copyright dialog discussion disqus footer form gdpr header links login masthead menu menus modal nav navbar navigation newsletter notice "
+    "notices pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar trackback widget widgets".split()
 )
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 APART_NAMES = frozenset("comment comments discussion disqus related replies reply respond recommended".split())  # an article in there is none of the page's
+ARTICLE_APART_NAMES = APART_NAMES | frozenset("ad ads advert advertisement adverts promo promoted promotion sponsor sponsored".split())  # as whole names of an article element
 
 # Tags by their part in the layout.
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 APART_TAGS = frozenset("aside dialog footer nav".split())
-FURNITURE_TAGS = frozenset("aside button dialog footer form head header label menu nav noscript option select title".split())
+FURNITURE_TAGS = frozenset("aside button dialog footer form head header menu nav noscript option select title".split())
 RAW_TAGS = frozenset("iframe math noembed noframes object script style svg template textarea video audio canvas".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPEN_TAGS = frozenset("p li dt dd tr td th thead tbody tfoot option rp rt".split())  # their end tags may be left out
@@ -115,11 +116,11 @@ def named(attributes: str) -> tuple[frozenset[str], frozenset[str]]:
 def furniture_level(name: str, parts: frozenset[str], whole: frozenset[str], in_article: bool) -> int:
     """2: furniture with all that is in it, 1: furniture but for an article in it, 0: none.
 
-    An article element is furniture only by a whole name, and an element named
-    after both furniture and an article, as content-sidebar-wrap, is neither.
+    An article element is furniture only by the whole name of an advert, a comment
+    or another story, and an element named after both furniture and an article, as content-sidebar-wrap, is neither.
     """
     if name == "article":
-        return 2 * bool(whole & FURNITURE_NAMES)
+        return 2 * bool(whole & ARTICLE_APART_NAMES)
     names = parts & FURNITURE_NAMES if not parts & ARTICLE_NAMES else whole & FURNITURE_NAMES
     if name in APART_TAGS or names & APART_NAMES:
         return 2
