@@ -36,6 +36,23 @@ def test_rates_over_files(spark, tmp_path):
             assert spark.table("rates_sliding").agg(F.max("input")).first()[0] == 18
 
 
+def test_changed_windows_of_each_tick(spark, few_partitions, tmp_path):
+    """Update mode: a tick writes the windows that it changed; the last of each is the result, also when a batch comes twice."""
+    root, out, schema = f"{tmp_path}/in", f"file://{tmp_path}/out", "epoch long, input long, output long, cache_creation long, cache_read long"
+    for rows in ([(0, 1, 1, 1, 1), (400, 2, 0, 0, 0)], [(10, 5, 0, 0, 0)], [(900, 7, 0, 0, 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(root)
+        stream = rates.tumbling(spark.readStream.schema(schema).parquet(root), late="1 hour")
+        query = rates.refreshing(stream, rates.changes_sink(out), f"{tmp_path}/cp", mode="update", every="1 second")
+        query.processAllAvailable()
+        query.stop()
+    every = spark.read.parquet(f"{out}/*")
+    again = every.where("epoch_no = 1").drop("epoch_no")
+    rates.changes_sink(out)(spark.createDataFrame(again.collect(), again.schema), 1)
+    every = spark.read.parquet(f"{out}/*")
+    assert every.where("input is not null").count() == 4
+    assert sorted((r.start.minute, r.input) for r in rates.latest(every, ["start"]).collect()) == [(0, 6), (5, 2), (15, 7)]
+
+
 def test_keep_max_sink(spark, tmp_path):
     folder = f"file://{tmp_path}/best"
     merge = dedup.keep_max_sink(folder)

@@ -289,20 +289,15 @@ def stream_sliding_minute(spark, d):
 
 @query(f"with {USAGE_SQL} select cast(epoch(date_trunc('second', ts)) as bigint) // 300 * 300 as start, {SUMS} from usage group by 1")
 def stream_refresh(spark, d):
-    """Log lines taken up by a query that runs on by a timer, until all that was there is in its result."""
-    folder, out, epochs = written(turn_lines(spark, d), "lines"), scratch(spark, "refreshed"), []
-
-    def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
-        epochs.append(epoch)
-
+    """Log lines taken up by a query that runs on by a timer, until all that was there is in its result; each tick writes the windows that it changed."""
+    folder, out = written(turn_lines(spark, d), "lines"), scratch(spark, "refreshed")
     records = logs.turn_records(rates.stream_lines(spark, folder, "*.txt"))
-    running = rates.refreshing(rates.tumbling(records), save, scratch(spark, "refreshed-progress"), every="1 second")
+    running = rates.refreshing(rates.tumbling(records), rates.changes_sink(out), scratch(spark, "refreshed-progress"), mode="update", every="1 second")
     try:
         running.processAllAvailable()
     finally:
         running.stop()
-    return spark.read.parquet(f"{out}/{epochs[-1]}").select(F.unix_seconds("start").alias("start"), *COUNTERS)
+    return rates.latest(spark.read.parquet(f"{out}/*"), ["start"]).select(F.unix_seconds("start").alias("start"), *COUNTERS)
 
 
 STEPS = 3

@@ -22,14 +22,31 @@ def stream_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Da
 
 
 def refreshing(stream: DataFrame, save: Callable[[DataFrame, int], None], progress: str, mode: str = "complete", every: str = "60 seconds") -> StreamingQuery:
-    """A running query that hands ``save`` the result anew ``every`` so often, until it is stopped.
+    """A running query that hands ``save`` the result ``every`` so often, until it is stopped.
 
-    ``progress`` is a shared folder of its own; a query that is started again with
-    it goes on where it was. ``save`` may see a batch twice, after a failure.
+    In complete mode that is the whole result, in update mode the rows that have
+    changed, which ``changes_sink`` keeps. ``progress`` is a shared folder of its own; a
+    query that is started again with it goes on where it was. ``save`` may see a batch
+    twice, after a failure.
     """
     return stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", progress).trigger(processingTime=every).start()
 
 
+def changes_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``refreshing`` in update mode: each batch's rows in a folder of its number, so a tick writes what has changed and no more."""
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch_no", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{folder}/{epoch}")
+
+    return save
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of ``changes_sink`` the last of each key. Merging them by itself, and writing that, keeps the folders few."""
+    values = [c for c in rows.columns if c not in (*keys, "epoch_no")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch_no").alias("_last")).select(*keys, "_last.*")
+
+
 def with_watermark(usage: DataFrame, late: str) -> DataFrame:
     return usage.withColumn("ts", F.timestamp_seconds("epoch")).withWatermark("ts", late)
 
