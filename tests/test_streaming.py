@@ -1,7 +1,6 @@
 import json
 import os
 import random
-from datetime import datetime, timedelta
 
 import pytest
 
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import counters, rollup
 from tidemark.operators.dedup import keep_max
 from tidemark.sources import logs
+from tidemark.sources.growing import growing_lines
+from tidemark.sources.lines import read_lines
 from tidemark.streaming import dedup, deltas, rates, sessions
 from tidemark.streaming.state import keyed_state
 
@@ -68,14 +69,11 @@ def test_keep_max_sink(spark, tmp_path):
         assert sorted(((r.dedup_key, r.output) for r in best.collect()), key=str) == [("j", 1), ("k", 9), (None, 7)]
 
 
-START = datetime(2026, 6, 3)
-
-
 def chained(rows):
     """(session, seq, model, input, cached, output) with each row due where its session's last one ended."""
     ends, out = {}, []
     for session, seq, *rest in rows:
-        out.append((session, seq, ends.get(session, 0), seq + 1, *rest, START + timedelta(seconds=seq)))
+        out.append((session, seq, ends.get(session, 0), seq + 1, *rest, seq))
         ends[session] = seq + 1
     return out
 
@@ -140,13 +138,37 @@ def test_session_rows_shuffled_equal_the_window_form(spark, few_partitions, tmp_
 def test_idle_sessions_expire(spark, few_partitions, tmp_path):
     """Rows that still wait are given out, and the state shrinks."""
     s = SESSIONS
-    later = ("v", 1, 0, 2, None, 7, 0, 2, START + timedelta(seconds=500))
+    later = ("v", 1, 0, 2, None, 7, 0, 2, 500)
     out, states = run_batches(spark, tmp_path, [[s[0], s[2], s[4], s[3]], [later]], sessions.EVENTS, lambda events: sessions.counter_stream(events, idle=60))
     assert deltas_of(out[:1]) == [("s", 1, None, 60, 40, 10), ("u", 1, None, 5, 0, 1)]
     assert deltas_of(out[1:]) == sorted([("s", 3, None, 100, 100, 20), ("s", 4, None, 0, 0, 0), ("v", 1, None, 7, 0, 2)], key=str)
     assert states[1] < states[0]
 
 
+def test_growing_counter_logs_equal_a_batch(spark, few_partitions, tmp_path):
+    """Files that grow between runs give the records that a batch reads from them as they are in the end."""
+    def count(n, **more):
+        return {"type": "event_msg", "timestamp": "2026-06-03T01:00:00Z", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n, "cached_input_tokens": n // 2, "output_tokens": n // 10}}}} | more
+
+    context = {"type": "turn_context", "payload": {"model": "gpt-5.5"}}
+    steps = [[count(100), {}, context], [count(300), count(50, timestamp="2026-06-03"), count(400, type="other")], [count(450), {"type": "turn_context", "payload": {}}, count(20)]]
+    root, out = f"{tmp_path}/logs", f"{tmp_path}/out"
+    for i, rows in enumerate(steps):
+        for name in "ab" if i < 2 else "a":
+            os.makedirs(root, exist_ok=True)
+            with open(f"{root}/{name}.jsonl", "a") as f:
+                f.write("".join(f"{json.dumps(r)}\n\n" if r else "not json input_tokens\n" for r in rows))
+        with keyed_state(spark):
+            stream = sessions.counter_stream(sessions.log_events(growing_lines(spark, [root])))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(180)
+    got = sessions.records_of(spark.read.parquet(out), "t")
+    want = logs.counter_records(read_lines(spark, [root]), "t")
+    assert got.columns == want.columns
+    plain = [c for c in want.columns if c not in ("block", "line_no")]
+    assert sorted(map(tuple, got.select(plain).collect()), key=str) == sorted(map(tuple, want.select(plain).collect()), key=str)
+    assert got.count() == 6
+
+
 def test_signed_minutes_after_every_batch(spark, few_partitions, tmp_path):
     """Sums equal those of a batch over all rows so far: growing and repeated turns, a larger duplicate on an older day, ties, rows without a key."""
     day = 86_400

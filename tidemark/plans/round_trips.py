@@ -69,23 +69,33 @@ def turn_logs(spark, d):
     return best(dedup.keep_max(logs.turn_records(lines), order=("file_path", "block", "line_no")))
 
 
-@query(f"""with {USAGE_SQL}, s as (select *, user_id // {USERS} as session, event_type in ('click', 'purchase') as is_count from usage),
+COUNTER_LOGS_SQL = f"""with {USAGE_SQL}, s as (select *, user_id // {USERS} as session, event_type in ('click', 'purchase') as is_count from usage),
 filled as (select *, last_value(case when not is_count then model end ignore nulls) over (partition by session order by event_id rows between unbounded preceding and current row) as context from s),
 deltas as (select context, {', '.join(f"greatest(0, {c} - coalesce(lag({c}) over w, 0)) as {c}" for c in ("input", "output", "cache_creation"))} from filled where is_count window w as (partition by session order by event_id))
-select coalesce(context, '') as model, cast(count(*) as bigint) as n, cast(sum(greatest(0, input - cache_creation)) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_creation) as bigint) as cache_read from deltas group by 1""")
-def counter_logs(spark, d):
-    rows, counts = usage(spark, d), F.col("event_type").isin("click", "purchase")
+select coalesce(context, '') as model, cast(count(*) as bigint) as n, cast(sum(greatest(0, input - cache_creation)) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_creation) as bigint) as cache_read from deltas group by 1"""
+
+
+def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of counters and contexts, of few users a session: (session, event_id, value)."""
+    rows, counts = usage(spark, sf_dir), F.col("event_type").isin("click", "purchase")
     info = F.struct(F.struct(F.col("input").alias("input_tokens"), F.col("cache_creation").alias("cached_input_tokens"), F.col("output").alias("output_tokens")).alias("total_token_usage"))
     body = F.struct(
         F.when(counts, "event_msg").otherwise("turn_context").alias("type"),
         F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.struct(F.when(counts, "token_count").alias("type"), F.when(~counts, F.col("model")).alias("model"), F.when(counts, info).alias("info")).alias("payload"),
     )
-    lines = rows.select(few_users().alias("session"), "event_id", F.to_json(body).alias("value"))
-    records = logs.counter_records(read_lines(spark, [written(lines, "counters")], "*.txt"))
+    return rows.select(few_users().alias("session"), "event_id", F.to_json(body).alias("value"))
+
+
+def by_model(records: DataFrame) -> DataFrame:
     return records.groupBy(F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read")])
 
 
+@query(COUNTER_LOGS_SQL)
+def counter_logs(spark, d):
+    return by_model(logs.counter_records(read_lines(spark, [written(counter_lines(spark, d), "counters")], "*.txt")))
+
+
 FATE_SQL = "case event_id % 12 when 1 then 'not json' when 2 then 'wrong type' when 3 then 'no usage' when 4 then 'no instant' when 5 then 'other' else 'record' end"
 
 
@@ -345,6 +355,20 @@ def stream_sliding_panes(spark, d):
     return spark.read.parquet(out).select(F.unix_seconds("start").alias("start"), *COUNTERS)
 
 
+@query(COUNTER_LOGS_SQL)
+def stream_growing_counters(spark, d):
+    """Logs with counters that grow between the runs of a stream, whose state goes on from line to line."""
+    per_step = F.ntile(STEPS).over(Window.partitionBy("session").orderBy("event_id"))
+    lines = counter_lines(spark, d).withColumn("step", per_step)
+    home, out, progress = scratch(spark, "counting"), scratch(spark, "counted"), scratch(spark, "counted-progress")
+    for step in range(1, STEPS + 1):
+        grown(lines, home, step, "counting-step")
+        with keyed_state(spark):
+            deltas_now = sessions.counter_stream(sessions.log_events(growing_lines(spark, [home])))
+            deltas_now.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return by_model(sessions.records_of(spark.read.parquet(out)))
+
+
 LATE = 600  # seconds
 CLOSED_SQL = f"""{USAGE_SQL}, t as (select *, event_id % 10 = 0 as late, cast(epoch(date_trunc('second', ts)) as bigint) as second from usage),
 w as (select max(second) filter (not late) - {LATE} as first_mark, max(second) - {LATE} as last_mark from t)"""

@@ -7,13 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from tidemark.functions.timeutil import instant
+from tidemark.sources.logs import EVENT, NEEDLE, RECORD
+
 #: due is the place at which a row follows, next the one at which its successor does: lines have their byte offset and the next line's.
-EVENTS = "session string, seq long, due long, next long, context_model string, input long, cached long, output long, ts timestamp"
-DELTAS = "session string, seq long, model string, input long, output long, cache_creation long, cache_read long"
+EVENTS = "session string, seq long, due long, next long, context_model string, input long, cached long, output long, epoch long"
+DELTAS = "session string, seq long, epoch long, model string, input long, output long, cache_creation long, cache_read long"
 SEEN = "next long, model string, input long, cached long, output long"
-HELD = EVENTS.removeprefix("session string, ").removesuffix(", ts timestamp")
+HELD = EVENTS.removeprefix("session string, ")
 COLUMNS = [c.split()[0] for c in HELD.split(", ")]
 
 
@@ -26,6 +30,32 @@ def in_turn(rows: pd.DataFrame, place: int) -> tuple[pd.DataFrame, pd.DataFrame]
     return rows.iloc[:n], rows.iloc[n:]
 
 
+def log_events(lines: DataFrame) -> DataFrame:
+    """Lines of ``sources.growing`` as EVENTS, each file a session: every line is a row, as the chain needs it, most of them without values."""
+    about = F.col("value").contains(NEEDLE) | F.col("value").contains("turn_context")
+    parsed = lines.withColumn("j", F.when(about, F.from_json("value", EVENT, {"columnNameOfCorruptRecord": "_corrupt"})))
+    good, counts = F.col("j").isNotNull() & F.col("j._corrupt").isNull(), F.col("j.payload.info.total_token_usage")
+    epoch = instant(F.col("j.timestamp"))
+    is_count = good & (F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count") & epoch.isNotNull() & counts["input_tokens"].isNotNull() & counts["output_tokens"].isNotNull()
+    return parsed.select(
+        F.col("file_path").alias("session"),
+        F.col("line_no").alias("seq"),
+        F.col("line_no").alias("due"),
+        F.col("next_no").alias("next"),
+        F.when(good & (F.col("j.type") == "turn_context"), F.col("j.payload.model")).alias("context_model"),
+        F.when(is_count, counts["input_tokens"]).alias("input"),
+        F.when(is_count, F.coalesce(counts["cached_input_tokens"], F.lit(0).cast("long"))).alias("cached"),
+        F.when(is_count, counts["output_tokens"]).alias("output"),
+        F.when(good, epoch).alias("epoch"),
+    )
+
+
+def records_of(deltas: DataFrame, tenant: str | None = None) -> DataFrame:
+    """DELTAS of log files as usage records."""
+    fixed = {"tenant": F.lit(tenant).cast("string"), "provider": F.lit("codex"), "block": F.lit(0).cast("long"), "dedup_key": F.lit(None).cast("string")}
+    return deltas.withColumnsRenamed({"session": "file_path", "seq": "line_no"}).withColumns(fixed).select(*RECORD)
+
+
 class SessionCounters(StatefulProcessor):
     """Value state: the place reached, model and counters as last seen. List state: rows ahead of a gap. A timer ends idle sessions."""
 
@@ -48,6 +78,7 @@ class SessionCounters(StatefulProcessor):
         out = pd.DataFrame({
             "session": session,
             "seq": events["seq"].astype("int64"),
+            "epoch": events["epoch"].astype("Int64"),
             "model": named[some],
             "input": np.maximum(0, grown[:, 0] - grown[:, 1]),
             "output": grown[:, 2],
@@ -62,7 +93,7 @@ class SessionCounters(StatefulProcessor):
         held, latest = before, None
         for pdf in rows:
             new = pdf[COLUMNS]
-            latest = max((t for t in (latest, pdf["ts"].max()) if not pd.isna(t)), default=None)
+            latest = max((t for t in (latest, new["epoch"].max()) if not pd.isna(t)), default=None)
             held = [*held, new[new["due"] >= place]]
             if not (new["due"] == place).any():
                 continue
@@ -81,7 +112,7 @@ class SessionCounters(StatefulProcessor):
             old = list(self.handle.listTimers())
             for timer in old:
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max([*old, int(latest.timestamp() * 1000) + int(self.idle * 1000)]))
+            self.handle.registerTimer(max([*old, int((latest + self.idle) * 1000)]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, model, *counts = self.seen.get() if self.seen.exists() else (0, None, 0, 0, 0)
@@ -98,14 +129,14 @@ def counter_stream(events: DataFrame, idle: float | None = None) -> DataFrame:
     A session's rows form a chain from due 0 on, each due where the one before has
     its next, and are taken in that order, whatever batches they come in: rows
     ahead of a gap wait in the state, rows that come again are passed over. Without
-    ``idle`` state is never dropped, and rows may come however late; ts isn't read.
-    With it, in seconds, ts drives a watermark that is ``idle`` behind the newest
+    ``idle`` state is never dropped, and rows may come however late. With it, in
+    seconds, epoch drives a watermark that is ``idle`` behind the newest
     row: rows older than that are dropped, and a session whose last row is ``idle``
     older than that ends. Its rows that still wait are then given out as if nothing
     were missing between them, and its state goes. Start the query within
     ``state.keyed_state``.
     """
     if idle is not None:
-        events = events.withWatermark("ts", f"{idle} seconds")
+        events = events.withColumn("ts", F.timestamp_seconds("epoch")).withWatermark("ts", f"{idle} seconds")
     mode = "None" if idle is None else "EventTime"
     return events.groupBy("session").transformWithStateInPandas(SessionCounters(idle), DELTAS, "Append", mode)
