@@ -3,8 +3,9 @@ import os
 
 import pytest
 
+from tidemark.plans import round_trips
 from tidemark.sources import logs
-from tidemark.sources.growing import GrowingReader, growing_lines, last_line_end, lines_from, opened
+from tidemark.sources.growing import OPENING, GrowingReader, growing_lines, last_line_end, lines_from, opened
 from tidemark.sources.lines import read_lines
 
 
@@ -77,3 +78,25 @@ def test_appended_lines_come_once(spark, tmp_path):
     chain = sorted((r.line_no, r.next_no) for r in rows.where("file_path like '%one%'").collect())
     assert chain[0][0] == 0 and all(a[1] == b[0] for a, b in zip(chain, chain[1:], strict=False))
     assert logs.turn_records(rows).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_small_files_share_tasks(tmp_path, tasks):
+    """Tasks follow bytes, not files, and each line comes once with its file's name."""
+    for i in range(300):
+        append(f"{tmp_path}/{i}.jsonl", f"{i}\nx{i}\nhalf")
+    reader = GrowingReader([str(tmp_path)], "*.jsonl", 64 << 20, tasks)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert tasks <= len(parts) <= 2 * max(tasks, 300 * OPENING // (64 << 20) + 1)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    want = [(f"file:{tmp_path}/{i}.jsonl", at, v) for i in range(300) for at, v in ((0, f"{i}"), (len(f"{i}\n"), f"x{i}"))]
+    assert sorted((r["file_path"], r["line_no"], r["value"]) for r in rows) == sorted(want)
+
+
+def test_sessions_grow_by_steps_of_their_lines(spark, tmp_path):
+    """Files of many sessions are written by executors: each begins like its predecessor, and no other file stays."""
+    lines = spark.range(1000).selectExpr("id % 70 as session", "id as event_id", "concat('é', id) as value", "cast(id div 400 + 1 as int) as step")
+    for step in (1, 2, 3):
+        round_trips.grown(lines, f"file:{tmp_path}/home", step)
+        files = {f"session={s}.jsonl": "".join(f"é{i}\n" for i in range(s, min(1000, 400 * step), 70)) for s in range(70)}
+        assert {f: open(f"{tmp_path}/home/{f}", encoding="utf-8", newline="").read() for f in os.listdir(f"{tmp_path}/home")} == files

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +14,7 @@ from tidemark.plans.events import USAGE_SQL, table, usage
 from tidemark.plans.queries import MERGED_SQL, merged, query
 from tidemark.schema import COUNTERS
 from tidemark.sources import days, logs, prices, read_usage, reports, rollups, stage
-from tidemark.sources.growing import growing_lines
+from tidemark.sources.growing import growing_lines, opened
 from tidemark.sources.lines import read_lines
 from tidemark.sources.shared import scratch
 from tidemark.streaming import dedup as stream_dedup
@@ -313,31 +316,51 @@ def stream_refresh(spark, d):
 STEPS = 3
 
 
-def grown(lines: DataFrame, home: str, step: int, progress: str) -> None:
+def in_steps(lines: DataFrame, name: str) -> DataFrame:
+    """Lines with the step in which each comes, even shares of each session in the order of event_id; written once for all steps."""
+    folder = scratch(lines.sparkSession, name)
+    per_step = F.ntile(STEPS).over(Window.partitionBy("session").orderBy("event_id"))
+    lines.withColumn("step", per_step).write.parquet(folder)
+    return lines.sparkSession.read.parquet(folder)
+
+
+def grown(lines: DataFrame, home: str, step: int) -> None:
     """Let each session's file below ``home`` grow to all lines with a step up to this one.
 
-    The longer file is written beside the old one, which it begins like, and takes
-    its name, so a job that runs again does no harm.
+    Executors write the longer file beside the old one, which it begins like, and give
+    it its name, so a task that runs again does no harm.
     """
-    spark = lines.sparkSession
-    folder = written(lines.where(F.col("step") <= step), f"{progress}-{step}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path(home))
-    for part in files.globStatus(path(f"{folder}/session=*/part-*")):
-        name = path(f"{home}/{part.getPath().getParent().getName()}.jsonl")
-        files.delete(name, False)
-        files.rename(part.getPath(), name)
+
+    def write(batches) -> Iterator:
+        files, base = opened(home)
+        files.create_dir(base, recursive=True)
+        session, out, new = None, None, f"{base}/.{uuid.uuid4().hex}"
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                files.move(new, f"{base}/session={session}.jsonl")
+
+        for batch in batches:
+            for now, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or now != session:
+                    close()
+                    session, out = now, files.open_output_stream(new)
+                out.write(line.encode() + b"\n")
+        close()
+        return iter(())
+
+    ordered = lines.where(F.col("step") <= step).repartition("session").sortWithinPartitions("session", "event_id")
+    ordered.select("session", "value").mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 @query(BEST_SQL)
 def stream_growing_logs(spark, d):
     """Log files that grow between the runs of a stream: each run reads what was appended, and goes on from the checkpoint."""
-    per_step = F.ntile(STEPS).over(Window.partitionBy("session").orderBy("event_id"))
-    lines = turn_lines(spark, d, few_users()).withColumn("step", per_step)
+    lines = in_steps(turn_lines(spark, d, few_users()), "growing-lines")
     home, out, progress = scratch(spark, "growing"), scratch(spark, "grown"), scratch(spark, "grown-progress")
     for step in range(1, STEPS + 1):
-        grown(lines, home, step, "growing-step")
+        grown(lines, home, step)
         records = logs.turn_records(growing_lines(spark, [home]))
         records.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     return best(dedup.keep_max(spark.read.parquet(out), order=("file_path", "block", "line_no")))
@@ -358,11 +381,10 @@ def stream_sliding_panes(spark, d):
 @query(COUNTER_LOGS_SQL)
 def stream_growing_counters(spark, d):
     """Logs with counters that grow between the runs of a stream, whose state goes on from line to line."""
-    per_step = F.ntile(STEPS).over(Window.partitionBy("session").orderBy("event_id"))
-    lines = counter_lines(spark, d).withColumn("step", per_step)
+    lines = in_steps(counter_lines(spark, d), "counting-lines")
     home, out, progress = scratch(spark, "counting"), scratch(spark, "counted"), scratch(spark, "counted-progress")
     for step in range(1, STEPS + 1):
-        grown(lines, home, step, "counting-step")
+        grown(lines, home, step)
         with keyed_state(spark):
             deltas_now = sessions.counter_stream(sessions.log_events(growing_lines(spark, [home])))
             deltas_now.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()

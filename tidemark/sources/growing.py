@@ -4,7 +4,7 @@ Spark's own file stream reads a path once. This source's offset says how many
 bytes of each file were read, always up to the end of a line, so a stream that
 starts again from its checkpoint goes on there and repeats nothing. The driver
 lists files and looks for the last line end of those that changed; executors read
-the new ranges, large ones in pieces.
+the new ranges, large ones in pieces, small ones together.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SCHEMA = "file_path string, line_no long, next_no long, value string"
 #: Bytes of a file that one task reads.
 PIECE = 64 << 20
 CHUNK = 1 << 20
+TAIL = 4 << 10  # bytes that are looked at first for a line end
+OPENING = 256 << 10  # bytes that opening a file counts as
 LOOKING = 16  # threads that look for line ends
 SAFE = "/=:,@&+$!*'();~-._"  # signs of a path that aren't escaped in its name
 
@@ -44,11 +46,11 @@ def uri(root: str, path: str) -> str:
 
 
 def last_line_end(files, path: str, size: int, least: int) -> int:
-    """The offset after the last line end before ``size``; ``least`` if there is none after it. Reads backwards in chunks."""
+    """The offset after the last line end before ``size``; ``least`` if there is none after it. Reads backwards in growing chunks."""
     with files.open_input_file(path) as f:
-        end = size
+        end, chunk = size, TAIL
         while end > least:
-            start = max(least, end - CHUNK)
+            start, chunk = max(least, end - min(chunk, CHUNK)), 2 * chunk
             f.seek(start)
             at = f.read(end - start).rfind(b"\n")
             if at >= 0:
@@ -64,6 +66,27 @@ class Piece(InputPartition):
         self.root, self.path, self.start, self.end, self.whole, self.at_line = root, path, start, end, whole, at_line
 
 
+class Pieces(InputPartition):
+    """Pieces of several files that one task reads."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
+def together(pieces: list[Piece], share: int) -> list[InputPartition]:
+    """Pieces in their order, as many to a task as make up ``share`` bytes; one that is alone stays as it is."""
+    bins: list[list[Piece]] = []
+    room = 0
+    for piece in pieces:
+        cost = piece.end - piece.start + OPENING
+        if cost > room:
+            bins.append([])
+            room = share
+        bins[-1].append(piece)
+        room -= cost
+    return [b[0] if len(b) == 1 else Pieces(b) for b in bins]
+
+
 def lines_from(stream, start: int, end: int, whole: int, at_line: bool) -> Iterator[tuple[int, int, bytes]]:
     """(offset, offset of the next line, line) of lines that begin in [start, end); a piece in a file's middle begins after its first line end.
 
@@ -76,20 +99,21 @@ def lines_from(stream, start: int, end: int, whole: int, at_line: bool) -> Itera
         chunk = stream.read(min(CHUNK, whole - at - len(held)))
         if not chunk:
             return
-        held += chunk
-        while (cut := held.find(b"\n")) >= 0:
-            line, held, first = held[:cut], held[cut + 1 :], at
-            at += cut + 1
+        held, begin = held + chunk, 0
+        while (cut := held.find(b"\n", begin)) >= 0:
+            line, begin, first = held[begin:cut], cut + 1, at
+            at += len(line) + 1
             if not skipping:
                 yield first, at, line
             skipping = False
             if at >= end:
                 return
+        held = held[begin:]
 
 
 class GrowingReader(DataSourceStreamReader):
-    def __init__(self, roots: list[str], pattern: str, piece: int):
-        self.roots, self.pattern, self.piece = roots, pattern, piece
+    def __init__(self, roots: list[str], pattern: str, piece: int, tasks: int = 1):
+        self.roots, self.pattern, self.piece, self.tasks = roots, pattern, piece, tasks
         self.seen: dict[str, tuple[int, int, int]] = {}  # of files that were looked at: size, mtime, last line end
 
     def initialOffset(self) -> dict:
@@ -122,41 +146,46 @@ class GrowingReader(DataSourceStreamReader):
         self.seen = {k: v for k, v in self.seen.items() if k in ends}
         return ends
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """At least ``tasks``, where there is as much to read, of no more than ``piece`` bytes each: their number follows bytes, not files alone."""
+        out: list[Piece] = []
         for key, whole in end.items():
             root, path = json.loads(key)
             first = start.get(key, 0)
             if first > whole:  # the file was written anew, shorter
                 first = 0
             out += [Piece(root, path, at, min(at + self.piece, whole), whole, at == first) for at in range(first, whole, self.piece)]
-        return out
+        total = sum(p.end - p.start + OPENING for p in out)
+        return together(out, min(self.piece, -(-total // self.tasks)))
 
-    def read(self, piece: Piece):
+    def read(self, partition: InputPartition):
         import pyarrow as pa
 
-        files, _ = opened(piece.root)
-        name = uri(piece.root, piece.path)
-        with files.open_input_file(piece.path) as stream:
-            rows: list[tuple[int, int, str]] = []
-            held = 0
-
-            def batch():
-                at, after, values = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(at, pa.int64()), pa.array(after, pa.int64()), pa.array(values)], ["file_path", "line_no", "next_no", "value"])
-
-            for at, after, line in lines_from(stream, piece.start, piece.end, piece.whole, piece.at_line):
-                rows.append((at, after, line.decode("utf-8", "replace")))
-                held += len(line)
-                if len(rows) >= 10_000 or held >= 8 * CHUNK:
-                    yield batch()
-                    rows, held = [], 0
-            if rows:
-                yield batch()
+        systems: dict[str, object] = {}
+        rows: list[tuple[str, int, int, str]] = []
+        held = 0
+
+        def batch():
+            names, at, after, values = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(at, pa.int64()), pa.array(after, pa.int64()), pa.array(values)], ["file_path", "line_no", "next_no", "value"])
+
+        for piece in partition.pieces if isinstance(partition, Pieces) else [partition]:
+            if piece.root not in systems:
+                systems[piece.root] = opened(piece.root)[0]
+            name = uri(piece.root, piece.path)
+            with systems[piece.root].open_input_file(piece.path) as stream:
+                for at, after, line in lines_from(stream, piece.start, piece.end, piece.whole, piece.at_line):
+                    rows.append((name, at, after, line.decode("utf-8", "replace")))
+                    held += len(line)
+                    if len(rows) >= 10_000 or held >= 8 * CHUNK:
+                        yield batch()
+                        rows, held = [], 0
+        if rows:
+            yield batch()
 
 
 class GrowingLines(DataSource):
-    """Options: roots (a JSON list), pattern, piece (bytes of a task)."""
+    """Options: roots (a JSON list), pattern, piece (bytes of a task), tasks (how many there should be at least)."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,7 +195,7 @@ class GrowingLines(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> GrowingReader:
-        return GrowingReader(json.loads(self.options["roots"]), self.options.get("pattern", "*.jsonl"), int(self.options.get("piece", PIECE)))
+        return GrowingReader(json.loads(self.options["roots"]), self.options.get("pattern", "*.jsonl"), int(self.options.get("piece", PIECE)), int(self.options.get("tasks", 1)))
 
 
 def growing_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", piece: int = PIECE) -> DataFrame:
@@ -182,5 +211,5 @@ def growing_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl
     """
     spark.dataSource.register(GrowingLines)
     distinct = list(dict.fromkeys(r.rstrip("/") for r in roots))
-    rows = spark.readStream.format(NAME).option("roots", json.dumps(distinct)).option("pattern", pattern).option("piece", piece).load()
+    rows = spark.readStream.format(NAME).option("roots", json.dumps(distinct)).option("pattern", pattern).option("piece", piece).option("tasks", 2 * spark.sparkContext.defaultParallelism).load()
     return rows.select("file_path", F.lit(0).cast("long").alias("block"), "line_no", "next_no", "value")
