@@ -218,3 +218,37 @@ def test_keys_of_a_group_are_ranked_at_once():
     assert batch([row("k", 5, "f", 2), row("j", 1, "f", 1)], [row("k", 5, None, 3), row("k", 4, "a", 1)]) == [("j", 1, "f", 1, 1, e), ("k", 5, "-", 3, 1, e)]
     assert batch([row("k", 5, "f", 1), row("j", 1, "f", None)]) == [("j", 1, "f", -1, 1, e), ("j", 1, "f", 1, -1, e)]
     assert batch([row("k", 5, None, 3)]) == []
+
+
+def test_session_counters_keep_whole_numbers():
+    """Large counters beside nulls, rows that wait in the state included."""
+    class State:
+        def __init__(self, value=None):
+            self.value = value
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+    big = 2**60 + 1
+    counters = sessions.SessionCounters()
+    counters.seen, counters.ahead = State(), State()
+
+    def batch(*rows):
+        frames = list(counters.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=sessions.COLUMNS, dtype=object)]), None))
+        return [(int(r.seq), r.model, int(r.input), int(r.output), int(r.cache_read)) for f in frames for r in f.itertuples()]
+
+    assert batch((2, 2, 3, None, big, 0, big, None), (1, 1, 2, "m", None, None, None, 7)) == []
+    assert [r[0] for r in counters.ahead.value] == [1, 2] and counters.ahead.value[1][4] == big
+    assert batch((0, 0, 1, None, 5, 2, 1, 3), (0, 0, 1, None, 5, 2, 1, 3)) == [(0, None, 3, 1, 2), (2, "m", big - 5, big - 1, 0)]
+    assert counters.seen.value == (3, "m", big, 0, big) and not counters.ahead.exists()

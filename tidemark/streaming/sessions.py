@@ -21,13 +21,37 @@ HELD = EVENTS.removeprefix("session string, ")
 COLUMNS = [c.split()[0] for c in HELD.split(", ")]
 
 
-def in_turn(rows: pd.DataFrame, place: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+def arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The columns as arrays, numbers as whole ones; ``x?`` tells where x isn't null."""
+    out = {}
+    for c in COLUMNS:
+        values, there = rows[c].to_numpy(), rows[c].notna().to_numpy()
+        if c == "context_model":
+            out[c] = np.where(there, values, None)
+        else:
+            out[c] = np.zeros(len(rows), "int64")
+            out[c][there] = values[there].astype("int64")
+        out[f"{c}?"] = there
+    return out
+
+
+def at(rows: dict[str, np.ndarray], places) -> dict[str, np.ndarray]:
+    return {c: a[places] for c, a in rows.items()}
+
+
+def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+def in_turn(rows: dict[str, np.ndarray], place: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Rows that follow one another from ``place`` on, and those that are ahead of a gap; rows that were there before are left out."""
-    rows = rows[rows["due"] >= place].sort_values("due", kind="stable").drop_duplicates("due")
-    due, after = rows["due"].to_numpy("int64"), rows["next"].to_numpy("int64")
+    order = np.flatnonzero(rows["due"] >= place)
+    order = order[np.argsort(rows["due"][order], kind="stable")]
+    order = order[np.diff(rows["due"][order], prepend=-1) != 0]
+    due, after = rows["due"][order], rows["next"][order]
     fits = due == np.concatenate([[place], after[:-1]])
-    n = len(rows) if fits.all() else int(np.argmin(fits))
-    return rows.iloc[:n], rows.iloc[n:]
+    n = len(order) if fits.all() else int(np.argmin(fits))
+    return at(rows, order[:n]), at(rows, order[n:])
 
 
 def log_events(lines: DataFrame) -> DataFrame:
@@ -67,45 +91,46 @@ class SessionCounters(StatefulProcessor):
         self.seen = handle.getValueState("seen", SEEN)
         self.ahead = handle.getListState("ahead", HELD)
 
-    def records(self, session: str, rows: pd.DataFrame, model, counts: list[int]) -> tuple[pd.DataFrame, object, list[int]]:
+    def records(self, session: str, rows: dict[str, np.ndarray], model, counts: list[int]) -> tuple[pd.DataFrame, object, list[int]]:
         """The records of rows in their order, and model and counters after them."""
-        named = rows["context_model"].astype(object).ffill()
-        named = named.where(named.notna(), model)
-        some = (rows["input"].notna() & rows["output"].notna()).to_numpy()
-        events = rows[some]
-        now = events[["input", "cached", "output"]].astype("Int64").fillna(0).to_numpy("int64")  # not floats, which lose digits
+        last = np.maximum.accumulate(np.where(rows["context_model?"], np.arange(len(rows["due"])), -1))
+        named = np.where(last < 0, model, rows["context_model"][last])
+        some = rows["input?"] & rows["output?"]
+        now = np.stack([rows[c][some] for c in ("input", "cached", "output")], axis=1)
         grown = np.maximum(0, np.diff(now, axis=0, prepend=np.array([counts], "int64")))
         out = pd.DataFrame({
             "session": session,
-            "seq": events["seq"].astype("int64"),
-            "epoch": events["epoch"].astype("Int64"),
+            "seq": rows["seq"][some],
+            "epoch": pd.arrays.IntegerArray(rows["epoch"][some], ~rows["epoch?"][some]),
             "model": named[some],
             "input": np.maximum(0, grown[:, 0] - grown[:, 1]),
             "output": grown[:, 2],
             "cache_creation": 0,
             "cache_read": grown[:, 1],
         })
-        return out, named.iloc[-1], now[-1].tolist() if len(now) else counts
+        return out, named[-1], now[-1].tolist() if len(now) else counts
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         place, model, *counts = self.seen.get() if self.seen.exists() else (0, None, 0, 0, 0)
-        before = [pd.DataFrame(list(self.ahead.get()), columns=COLUMNS)] if self.ahead.exists() else []
+        before = [arrays(pd.DataFrame(list(self.ahead.get()), columns=COLUMNS, dtype=object))] if self.ahead.exists() else []
         held, latest = before, None
         for pdf in rows:
-            new = pdf[COLUMNS]
-            latest = max((t for t in (latest, new["epoch"].max()) if not pd.isna(t)), default=None)
-            held = [*held, new[new["due"] >= place]]
+            new = arrays(pdf)
+            epochs = new["epoch"][new["epoch?"]]
+            latest = max((t for t in (latest, int(epochs.max()) if len(epochs) else None) if t is not None), default=None)
+            held = [*held, at(new, new["due"] >= place)]
             if not (new["due"] == place).any():
                 continue
-            ready, rest = in_turn(pd.concat(held), place)
-            held = [rest] if len(rest) else []
-            place = int(ready["next"].iloc[-1])
+            ready, rest = in_turn(joined(held), place)
+            held = [rest] if len(rest["due"]) else []
+            place = int(ready["next"][-1])
             out, model, counts = self.records(key[0], ready, model, counts)
             yield out
-        self.seen.update((place, None if pd.isna(model) else model, *counts))
-        kept = in_turn(pd.concat(held), place)[1] if held else []
-        if len(kept):
-            self.ahead.put([tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in row) for row in kept.itertuples(index=False)])
+        self.seen.update((place, model, *counts))
+        kept = in_turn(joined(held), place)[1] if held else {"due": []}
+        if len(kept["due"]):
+            columns = [[x if there else None for x, there in zip(kept[c].tolist(), kept[f"{c}?"], strict=True)] for c in COLUMNS]
+            self.ahead.put(list(zip(*columns, strict=True)))
         elif before:
             self.ahead.clear()
         if self.idle is not None and latest is not None:
@@ -117,8 +142,8 @@ class SessionCounters(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, model, *counts = self.seen.get() if self.seen.exists() else (0, None, 0, 0, 0)
         if self.ahead.exists():
-            left = pd.DataFrame(list(self.ahead.get()), columns=COLUMNS).sort_values("due", kind="stable")
-            yield self.records(key[0], left, model, counts)[0]
+            left = arrays(pd.DataFrame(list(self.ahead.get()), columns=COLUMNS, dtype=object))
+            yield self.records(key[0], at(left, np.argsort(left["due"], kind="stable")), model, counts)[0]
         self.ahead.clear()
         self.seen.clear()
 
