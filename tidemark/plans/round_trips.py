@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,19 +219,21 @@ def day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAST_DAY, GONE_DAY = "2024-01-30", "2024-01-07"
 
 
-def two_refreshes(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, DataFrame]:
-    """A stage by dates, first with the last day's files half written, then with them grown and one day's files removed."""
+def two_refreshes(spark: SparkSession, sf_dir: str, name: str, then: Callable[[SparkSession, str], object] | None = None) -> tuple[str, DataFrame]:
+    """A stage by dates, first with the last day's files half written, then with them grown and one day's files removed; ``then`` is what follows each refresh."""
     lines, home = day_files(spark, sf_dir), scratch(spark, name)
     rest = written(lines.where(f"day not in ('{LAST_DAY}', '{GONE_DAY}')"), f"{name}-rest")
     gone = written(lines.where(f"day = '{GONE_DAY}'"), f"{name}-gone")
     half = written(lines.where(f"day = '{LAST_DAY}' and event_id % 2 = 0"), f"{name}-half")
     days.refresh(spark, home, [rest, gone, half], logs.turn_records, "*.txt")
-    rollups.refresh(spark, home)
+    if then:
+        then(spark, home)
     whole = written(lines.where(f"day = '{LAST_DAY}'"), f"{name}-whole")
     rewritten = days.refresh(spark, home, [rest, whole], logs.turn_records, "*.txt")
     if set(rewritten) != {LAST_DAY, GONE_DAY}:
         raise AssertionError(f"rewrote {rewritten}")
-    rollups.refresh(spark, home)
+    if then:
+        then(spark, home)
     return home, lines
 
 
@@ -249,7 +251,7 @@ best as (select u.* from there u left join top t on u.dedup_key = t.dedup_key wh
 select day, minute, {SUMS}, cast(count(*) as bigint) as records from best group by day, minute""")
 def maintained_minutes(spark, d):
     """Sums of minutes that two refreshes have kept up to date: days that grew or went, and keys that move to another day by that."""
-    home, lines = two_refreshes(spark, d, "maintained")
+    home, lines = two_refreshes(spark, d, "maintained", rollups.refresh)
     return rollups.minutes(spark, home)
 
 

@@ -32,7 +32,8 @@ RECORD = ["tenant", "provider", "file_path", "block", "line_no", "epoch", "model
 
 def decoded(lines: DataFrame, schema: str) -> DataFrame:
     """Lines as ``j``; a line that isn't JSON, or has a used field of another type, is dropped. Unknown fields are ignored."""
-    parsed = lines.withColumn("j", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    # From a generator, as conditions on its column aren't pushed below it, where each would parse the line again.
+    parsed = lines.select("*", F.explode(F.array(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))).alias("j"))
     return parsed.where(F.col("j").isNotNull() & F.col("j._corrupt").isNull()).drop("value")
 
 
