@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -189,3 +191,72 @@ def test_similar_groups_against_brute_force(spark, part_chars):
     kept = {r.doc_id for r in S.dedup_similar(docs).collect()}
     assert kept == {g[0] for g in want}
     assert len({c for _, _, c in brute_groups([(i, brute_fingerprint(t)) for i, t in enumerate(texts)])}) > len(want)  # 3 bits find fewer
+
+
+def local_mb(spark):
+    """MB of shuffle files and others that Spark holds on its local disk."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles())
+    return sum(f.length() for f in files) / 1e6
+
+
+def test_few_whole_rows_are_shuffled(spark, tmp_path):
+    """Rows with a text of their own stay where they are: the disk holds no copy of the table while near copies go."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), rng.randbytes(20_000)) for i in range(1000)]
+    rows += [(1000 + i, rows[i][1] + " more", rows[i][2]) for i in range(20)] + rows[30:35]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, payload binary").repartition(8)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, size = spark.read.parquet(f"{tmp_path}/docs"), sum(len(r[2]) for r in rows) / 1e6
+    before = local_mb(spark)
+    kept = S.dedup_similar(docs)
+    built = local_mb(spark)
+    kept.write.parquet(f"{tmp_path}/kept")
+    assert max(built, local_mb(spark)) - before < size / 4
+    got = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
+    assert got.keys() == set(range(1000)) and spark.read.parquet(f"{tmp_path}/kept").count() == 1000
+    assert all(got[i].payload == rows[i][2] for i in range(1000))
+
+
+def test_staged_leaves_no_shuffle_files(spark):
+    df = spark.range(300_000).withColumn("k", F.xxhash64("id")).groupBy("k").agg(F.max("id").alias("id"))
+    before, was = local_mb(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert S.staged(df, "rows").count() == 300_000
+    for _ in range(50):  # files go in the background
+        if local_mb(spark) < before + 1:
+            break
+        time.sleep(0.1)
+    assert local_mb(spark) < before + 1 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_shared_rows_against_brute_force(size):
+    rng = random.Random(size)
+    rows = [(h, d, d & 3 if h % 5 == 0 else -1) for h, d in ((rng.randrange(-60, 60), rng.randrange(-8, 8)) for _ in range(250))]
+    rows += [(-(2**63), 1, -1), (2**63 - 1, 5, -1), (2**63 - 1, 6, -1)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[:2])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("h", "digest", "salt"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+    batches.insert(1, batches[0].slice(0, 0))
+    got = [tuple(r.values()) for b in S.shared_rows(iter(batches)) for r in b.to_pylist()]
+    digests = {h: {d for g, d, _ in rows if g == h} for h, _, _ in rows}
+    assert sorted(got) == sorted({(h, d) for h, d, salt in rows if salt >= 0 or len(digests[h]) > 1})
+    assert list(S.shared_rows(iter([]))) == []
+
+
+def test_common_shingles_and_repeated_rows(spark):
+    """A passage that most texts share is common; near copies with little else are still found. Ids are texts here, one of them empty and one null."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(n))}" for n in [3] * 30 + [9] * 30 + [300] * 30]
+    texts += [passage, passage, passage + " end", "of its own kind", None, "of its own kind"]
+    ids = [f"{i:03}" for i in range(len(texts) - 2)] + ["", None]
+    rows = [*zip(ids, texts, strict=True), (None, texts[-1]), (None, passage), (ids[70], texts[70]), (ids[70], texts[70])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    levels = S.levels_of(S.staged(S.read_sets(docs), "sets").where("tile is not null").select("tile", "counts"))
+    assert S.prefix(passage, levels)[1].all() and not S.prefix("of its own kind", levels)[1].any()
+    assert {r.salt >= 0 for r in S.prefixes(docs, levels).select("salt").distinct().collect()} == {True, False}
+    groups = [{rows[i] for i in g} for g in brute_similar([r[1] for r in rows])]
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or ""))[0] for g in groups]
+    got = S.dedup_similar(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, want)) and {(r.doc_id, r.text) for r in got} <= set(rows)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged, whole_row
 from tidemark.llm.graph import components
-from tidemark.llm.url_filter import semi_join
+from tidemark.llm.url_filter import marked, semi_join
 
 BITS = 3  # fingerprints link at so many differing bits or fewer
 WORDS = 3  # words of a shingle
@@ -50,6 +50,7 @@ NEAR_BITS = 28  # differing bits of the first fingerprint word within which simi
 WIDE_BITS = 44  # and of both words together; at 0.8 about 19 of 128 are expected, 24 for sets of five, between unlike texts 64
 SKETCH = 1 << 18  # counters of shingles, by hash; a power of two
 TILE = 1024  # counters in a row of the sketch
+SALTS = 1024  # parts of the texts with a common shingle; a power of two
 CLUSTER_CHARS = 6 << 20  # characters of a cluster's texts in one of the parts that meet in a task
 
 
@@ -295,10 +296,10 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to (doc_id, digest, key, fp, fp2), a row for each row, and to rows (tile, counts) of a sketch.
+    """``docs(doc_id, text)`` to (doc_id, digest, chars, key, fp, fp2), a row for each row, and to rows (tile, counts) of a sketch.
 
-    digest is the text's hash, key the hash of its shingle set, fp and fp2 are the
-    set's fingerprint words. The sketch counts shingles of all texts by their hash
+    digest is the text's hash, chars its length, key the hash of its shingle set, fp and
+    fp2 are the set's fingerprint words. The sketch counts shingles of all texts by their hash
     modulo SKETCH; each task adds its own counts, TILE of them a row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -314,18 +315,18 @@ def read_sets(docs: DataFrame) -> DataFrame:
                 fp2.append(majority(remixed(s)))
                 np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             n = batch.num_rows
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(key, pa.string()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("digest"), batch.column("chars"), pa.array(key, pa.string()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
             doc_id = batch.column("doc_id").type
         if counts.any():
             tiles = [(i, t.tobytes()) for i, t in enumerate(counts.reshape(-1, TILE)) if t.any()]
             n = len(tiles)
-            columns = [pa.nulls(n, doc_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([t[0] for t in tiles], pa.int32()), pa.array([t[1] for t in tiles], pa.binary())]
+            columns = [pa.nulls(n, doc_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([t[0] for t in tiles], pa.int32()), pa.array([t[1] for t in tiles], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "digest", "key", "fp", "fp2", "tile", "counts"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, digest long, key string, fp long, fp2 long, tile int, counts binary")
+    names = ["doc_id", "digest", "chars", "key", "fp", "fp2", "tile", "counts"]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest long, chars int, key string, fp long, fp2 long, tile int, counts binary")
 
 
 def levels_of(tiles: DataFrame) -> np.ndarray:
@@ -346,27 +347,53 @@ def levels_of(tiles: DataFrame) -> np.ndarray:
     return np.where(counts > usual, np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
 
 
-def prefix(text: str | None, levels: np.ndarray) -> np.ndarray:
-    """The shingles of which one is common to any two sets of similarity LIKE: the first ones, rare ones before common ones."""
+def prefix(text: str | None, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of which one is common to any two sets of similarity LIKE: the first ones, rare ones before common ones; and whether each is common."""
     s = shingle_set(text)
     level = levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
     if level.any():
-        s = s[np.argsort(level, kind="stable")]
-    return s[: len(s) - math.ceil(LIKE * len(s) - 1e-9) + 1]
+        order = np.argsort(level, kind="stable")
+        s, level = s[order], level[order]
+    n = len(s) - math.ceil(LIKE * len(s) - 1e-9) + 1
+    return s[:n], level[:n] > 0
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(h, digest): the prefix shingles of all texts."""
+    """(h, digest, salt): the prefix shingles of all texts; salt is -1 for usual shingles, one of SALTS by digest for common ones."""
 
     def run(batches):
         for batch in batches:
             digests, texts = batch.column("digest").to_numpy(), batch.column("text")
             for i in range(0, len(texts), 512):
-                found = [prefix(t.as_py(), levels) for t in texts[i : i + 512]]
-                h = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(digests[i : i + 512], [len(f) for f in found]))], ["h", "digest"])
+                found, common = zip(*[prefix(t.as_py(), levels) for t in texts[i : i + 512]], strict=True)
+                digest = np.repeat(digests[i : i + 512], [len(f) for f in found])
+                salt = np.where(np.concatenate(common), digest & (SALTS - 1), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(digest), pa.array(salt)], ["h", "digest", "salt"])
 
-    return docs.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "h long, digest long")
+    return docs.select(F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "h long, digest long, salt int")
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, digest, salt), sorted by h and digest, to the different (h, digest) of salted shingles and of those with several digests; one shingle is held beside a batch."""
+
+    def close(h: np.ndarray, digest: np.ndarray, salt: np.ndarray) -> pa.RecordBatch:
+        new = np.diff(h, prepend=h[:1] - 1) != 0
+        first = new | (np.diff(digest, prepend=digest[:1] - 1) != 0)
+        h, digest, salt, new = h[first], digest[first], salt[first], new[first]
+        several = ~(new & np.append(new[1:], True))
+        keep = several | (salt >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(digest[keep])], ["h", "digest"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "digest", "salt")]
+        columns = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+        if cut:
+            yield close(*[c[:cut] for c in columns])
+        held = [c[cut:] for c in columns]
+    if held and len(held[0]):
+        yield close(*held)
 
 
 def differing(a: str, b: str) -> Column:
@@ -376,13 +403,13 @@ def differing(a: str, b: str) -> Column:
 def block_links(docs: DataFrame, sets: DataFrame, levels: np.ndarray, cell_rows: int = CELL) -> DataFrame:
     """Edges (a, b) between the fingerprints in ``sets(digest, fp, fp2)`` that are near each other and whose texts share a prefix shingle.
 
-    Copies pre-aggregate: a shingle counts if it has different digests. Blocks of
-    the same texts, and a pair of near copies has many, are searched once.
+    Prefix shingles are shuffled once, and most go there: a shingle counts if it has
+    different digests, or if it is common; the rows of a common one are dealt to SALTS
+    tasks. Blocks of the same texts, and a pair of near copies has many, are searched once.
     """
-    rows = staged(prefixes(docs, levels), "prefixes")
-    shared = rows.groupBy("h").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most").select("h")
+    rows = prefixes(docs, levels).repartition("h", "salt").sortWithinPartitions("h", "digest").mapInArrow(shared_rows, "h long, digest long")
     named = sets.groupBy("digest").agg(F.min(F.struct("fp", "fp2")).alias("f")).select("digest", "f.fp", "f.fp2")
-    members = staged(semi_join(rows, shared, "h").distinct().join(named, "digest").select("h", "fp", "fp2").distinct(), "members")
+    members = staged(rows.join(named, "digest").select("h", "fp", "fp2").distinct(), "members")
     blocks = members.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp", "fp2")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "fp", "fp2")).alias("m2"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     once = staged(blocks.where("n > 1").groupBy("n", "m1", "m2").agg(F.min(F.struct("h", "a", "b")).alias("x")).select("n", "x.h", "x.a", "x.b"), "blocks")
     pairs = once.where("n = 2 and a < b").select("a", "b").distinct().where(differing("a", "b") <= NEAR_BITS)
@@ -429,31 +456,44 @@ def similar_groups(docs: DataFrame, part_chars: int = CLUSTER_CHARS) -> DataFram
     take part; an empty table gives no rows; other columns are ignored.
     """
     read = staged(read_sets(docs), "sets")
-    fps = read.where("tile is null").select("doc_id", "digest", "key", "fp", "fp2")
+    fps = read.where("tile is null").select("doc_id", "digest", "chars", "key", "fp", "fp2")
     edges = block_links(docs, fps, levels_of(read.where("tile is not null").select("tile", "counts")))
     roots = components(staged(edges, "links"))
-    keys = staged(fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest")), "keys")
-    named = keys.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", F.coalesce("root", "fp").alias("cluster"))
-    several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    wanted = staged(named.join(several, "cluster"), "clusters")
+    keys = staged(fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct("digest", "chars")).alias("x")).select("key", "fp", "x.digest", "x.chars"), "keys")
+    named = keys.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", "chars", F.coalesce("root", "fp").alias("cluster"))
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("n"), F.ceil(F.sum("chars") / F.lit(part_chars)).cast("int").alias("parts"))
+    wanted = staged(named.join(sizes.where("n > 1"), "cluster").select("cluster", "key", "digest", "parts"), "clusters")
     texts = semi_join(docs.select(F.xxhash64("text").alias("digest"), "text"), wanted.select("digest"), "digest").dropDuplicates(["digest"])
-    members = staged(wanted.join(texts, "digest").select("cluster", "key", "text"), "members")
-    parts = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("text")) / F.lit(part_chars)).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(salt, j) * F.col("parts") + F.greatest(salt, j))
-    cells = members.join(parts, "cluster").select("cluster", "key", "text", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(cell)).alias("cell"))
+    cells = wanted.join(texts, "digest").select("cluster", "key", "text", F.explode(F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(cell)).alias("cell"))
     edges = cells.groupBy("cluster", "cell").applyInPandas(lambda pdf: similar_links(pdf), "a string, b string")
     found = components(staged(edges, "similar"))
     return fps.join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "digest", F.coalesce("root", "key").alias("root"))
 
 
+def row_key(doc_id: str) -> list[Column]:
+    """doc_id as two columns without nulls, for joins."""
+    return [F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id")]
+
+
 def dedup_similar(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar texts, with all columns of ``docs``, whatever those are called: the smallest doc_id, null last, then the smallest digest."""
+    """One row of each group of similar texts, with all columns of ``docs``, whatever those are called: the smallest doc_id, null last, then the smallest digest.
+
+    Most rows stay and are the only ones with their doc_id and text. Whole rows are
+    shuffled where that isn't so, or where a Bloom filter can't tell, and no others.
+    """
+    own = ["none", "id", "digest"]
+    rows = staged(similar_groups(docs).groupBy("doc_id", "digest", "root").agg(F.count("*").alias("n")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    keep = similar_groups(docs).groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
-    rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
-    return kept.dropDuplicates(["root"]).select("row.*")
+    kept = rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.digest").alias("digest"))
+    kept = kept.select(*row_key("doc_id"), "digest", F.lit(True).alias("kept"))
+    doubtful = rows.select(*row_key("doc_id"), "digest", "n").join(kept, own, "left").where("kept is null or n > 1")
+    doubtful = staged(doubtful.select(F.xxhash64(*own).alias("h"), *own, F.coalesce("kept", F.lit(False)).alias("kept")), "doubtful")
+    keyed = docs.select(whole_row(docs), *row_key("doc_id"), F.xxhash64("text").alias("digest")).withColumn("h", F.xxhash64(*own))
+    told = marked(keyed, doubtful.select("h"), "h")
+    rest = told.where("_possible").join(doubtful.drop("h"), own, "left").where("kept is null or kept").dropDuplicates(own)
+    return told.where("not _possible").select("row.*").unionByName(rest.select("row.*"))
 
 
 def op3_simhash_vptree(spark, sf_dir):
